@@ -69,7 +69,7 @@ def with_next(docs: DataFrame, stretch_rows: int = STRETCH_ROWS) -> DataFrame:
     count = max(1, min(MOST_STRETCHES, -(-n // stretch_rows), high - low + 1))
     width = -(-(high - low + 1) // count)
     key = F.coalesce(F.col("doc_id"), F.lit(low - 1))
-    placed = docs.withColumn("_key", key).withColumn("_stretch", F.floor((F.greatest(F.col("_key"), F.lit(low)) - low) / width).cast("int"))
+    placed = docs.withColumn("_key", key).withColumn("_stretch", F.expr(f"cast((greatest(_key, {low}L) - {low}L) div {width}L as int)"))
     heads = placed.groupBy("_stretch").agg(F.min("_key").alias("_head"))
     order = Window.orderBy("_stretch")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, packing
+from . import bpe, chat, fingerprint, langid, licenses, packing, simhash, topk, warc
 from .common import table, texts
 
 
@@ -24,6 +24,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.scan_documents(table(spark, sf_dir, "documents"))
+    labels = F.array_sort(F.array_union("base_labels", F.transform("detections", lambda d: d["label"])))
+    score = F.greatest(F.when(F.col("n_base") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform("detections", lambda d: d["score"])), F.lit(0.0)))
+    return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.probe(spark))
     read = chat.format_conversations(turns).select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("said"))
@@ -63,6 +70,23 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.integer_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
+OP6_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings where list_count(embedding) = len(embedding) and len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.v::double[], c.v::double[])::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id != c.vec_id
+)
+select query_id, rank::int as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+"""
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = fingerprint.fingerprint_with_edits(texts(table(spark, sf_dir, "documents")))
     return done.select(
@@ -76,9 +100,44 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs)).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(warc.with_revisits(table(spark, sf_dir, "pages")))
+    return warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+r as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end as first from p)
+select page_id, payload_bytes, payload_digest,
+  case when first < page_id then 'revisit' else 'response' end as record_type,
+  case when first < page_id then first end as refers_to
+from r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_chat": op3_chat, "op4_bpe": op4_bpe, "op7_fingerprint": op7_fingerprint}
+    return {
+        "op1_packing": op1_packing,
+        "op2_licenses": op2_licenses,
+        "op3_chat": op3_chat,
+        "op4_bpe": op4_bpe,
+        "op5_langid": op5_langid,
+        "op6_topk": op6_topk,
+        "op7_fingerprint": op7_fingerprint,
+        "op8_simhash": op8_simhash,
+        "op9_warc": op9_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": OP3_SQL}
+    return {"op3_chat": OP3_SQL, "op6_topk": OP6_SQL, "op9_warc": OP9_SQL}

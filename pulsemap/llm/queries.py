@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, langid, licenses, packing, simhash, topk, warc
+from . import bpe, chat, fingerprint, langid, licenses, packing, pii, simhash, topk, warc
 from .common import table, texts
 
 
@@ -125,6 +125,18 @@ from r
 """
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_spans(texts(table(spark, sf_dir, "documents")), pii.trained(spark))
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.sha2(line(of(*pii.BASE_KINDS)), 256).alias("base_sha256"),
+        line("spans").alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -136,6 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_fingerprint": op7_fingerprint,
         "op8_simhash": op8_simhash,
         "op9_warc": op9_warc,
+        "op10_pii": op10_pii,
     }
 
 

@@ -1 +1 @@
-
+"""Whole analyses and the registered queries."""

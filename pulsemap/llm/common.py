@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.workers import python_ready
+
+__all__ = ["ensure_checkpoint_dir", "python_ready", "saved", "shared_dir", "table", "texts"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,21 +45,3 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def python_ready(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever they run: its source goes out once per application as a zip, by addPyFile."""
-    import tempfile
-    import zipfile
-    from pathlib import Path
-
-    sc = spark.sparkContext
-    if getattr(sc, "_pulsemap_sent", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp()) / "pulsemap_source.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(to))
-    sc._pulsemap_sent = True

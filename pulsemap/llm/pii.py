@@ -263,8 +263,9 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact_documents(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with personal data redacted in ``text``; ``n_chars`` follows; a null text stays null."""
-    found_ = with_spans(docs.withColumn("_text", F.coalesce("text", F.lit(""))), model, "_text")
-    clean = found_.withColumn("_clean", redacted(F.col("_text"), F.col("spans")))
+    # the row travels as one struct, so no column of the input can clash with those of the search
+    found_ = with_spans(docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("body")), model, "body")
+    clean = found_.withColumn("clean", redacted(F.col("body"), F.col("spans")))
     changed = F.size("spans") > 0
-    values = {"text": F.when(changed, F.col("_clean")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("_clean").cast("long")).otherwise(F.col("n_chars"))}
-    return clean.select(*[values[c].alias(c) if c in values else F.col(c) for c in docs.columns])
+    values = {"text": F.when(changed, F.col("clean")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("clean").cast("long")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return clean.select(*[values[c].alias(c) if c in values else F.col("row")[c].alias(c) for c in docs.columns])

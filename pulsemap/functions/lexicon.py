@@ -17,6 +17,7 @@ class Language:
     by_prefix: bool = False
     boilerplate: tuple[str, ...] = ()
     cues: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    stop: tuple[str, ...] = ()
 
 
 # English.
@@ -69,6 +70,24 @@ TURKISH = Language(
     negations_after=frozenset({"degil", "degildi"}),
     intensifiers={"cok": 1.3, "asiri": 1.5, "gercekten": 1.3, "cidden": 1.3, "son": 1.1, "resmen": 1.3, "fazla": 1.2, "bayagi": 1.2, "hic": 1.3},
     by_prefix=True,
+    boilerplate=(
+        "Merhaba", "Merhabalar, iyi günler", "İyi çalışmalar", "Kolay gelsin", "Teşekkürler", "Teşekkür ederim, iyi çalışmalar", "Saygılarımla, Ayşe", "Lütfen acilen çözün.", "Çok sinir bozucu.", "Dönüşünüzü bekliyorum.",
+        "Yardımcı olursanız sevinirim.", "Mağdur durumdayım.", "Değerlendirirseniz sevinirim.", "Yol haritanızda var mı?", "Her gün öğle yemeğinde kullanıyorum.", "Şirketimiz geçen ay bu karta geçti.", "Yaklaşık iki yıldır kullanıcınızım.",
+        "Emeği geçenlere teşekkürler!", "Başarılar!", "5 yıldızı hak ediyor.", "Başka bir sorun yok.", "Çözüm bekliyorum.", "Rezalet.", "Berbat.", "Telefon numaram [phone], beni arayabilirsiniz.", "E-posta adresim [email].", "Bu konuda bilgi verir misiniz?",
+    ),
+    cues={
+        "bug": (r"calism(iyor|adi|az)", r"acilmi", r"okutmu", r"okumu", r"gecmi(yor|di)", r"yuklenm(edi|iyor)", r"baglanmi", r"gelmi(yor|di)", r"donuyor|donmus|donma", r"cok(uyor|tu)", r"kapaniyor", r"\bhata", r"\bsorun(?!suz)", r"\bproblem", r"yavas", r"takil", r"\bbug", r"dus(med|mu)", r"gorunmu", r"yanlis", r"giremiyorum", r"yansimadi", r"iki (kez|kere)", r"zaman asimi", r"cekildi"),
+        "feature_request": (r"eklen(meli|se|ir mi|mesi|irse|sin)", r"\bolsa\b", r"olsa (cok|harika|iyi)", r"keske", r"isti(yoruz|yorum)|isterdim|isterim", r"ozellik", r"secenek", r"olmali", r"lutfen ekle", r"entegrasyon", r"destekle", r"kullanilabilse", r"gecerli olsa", r"eklenebilse", r"harika olur"),
+        "pricing": (r"ucret", r"komisyon", r"kesinti", r"aidat", r"pahali", r"fiyat"),
+    },
+    stop=tuple(
+        """
+        acaba ama ancak artık aslında az bana bazı belki ben beni benim bile bir biraz birçok biri birkaç birşey biz bize bizi bizim bu buna bunda bundan bunu bunun burada bütün çok çünkü da daha
+        de defa değil diye dolayı en eğer gibi hala hatta hem hemen hep hepsi her herhangi herkes hiç için ile ilgili ise işte kadar kendi kez ki kim mı mi mu mü nasıl ne neden nerede nereye niçin niye
+        o olan olarak oldu olduğu olsa olsun olup olur olursa on ona ondan onlar onu onun orada öyle pek rağmen sadece sanki sen siz size sizin şey şeyi şekilde şimdi şu şuna şunu tabi tam tüm üzere ve
+        veya ya yani yine yok zaten zira lütfen gerçekten cidden hâlâ yapıyorum yaptım yapmak etmek ediyorum ettim oluyor olmuyor olması var uygulama uygulamada uygulamayı uygulamanın uygulaması app
+        """.split()
+    ),
 )
 
 
@@ -77,3 +96,19 @@ def language(code: str) -> Language:
         return {"en": ENGLISH, "tr": TURKISH}[code]
     except KeyError:
         raise ValueError(f"unknown language {code!r}") from None
+
+
+def plain_letters(text: str) -> str:
+    return text.translate(str.maketrans("çğıöşüâîûÇĞİÖŞÜ", "cgiosuaiuCGIOSU"))
+
+
+def with_plain_variants(texts: tuple[str, ...]) -> tuple[str, ...]:
+    """The texts and, after them, those that differ when typed without accents."""
+    return texts + tuple(p for t in texts if (p := plain_letters(t)) != t)
+
+
+def stop_words(lang: Language, more: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """Spark's English list, the language's own words in both spellings, and what the caller adds."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return tuple(sorted({*StopWordsRemover.loadDefaultStopWords("english"), *with_plain_variants(lang.stop), *more}))

@@ -14,6 +14,8 @@ from ..functions.workers import python_ready
 
 #: Largest vocabulary; its vectors (terms x dimensions) are broadcast.
 MOST_TERMS, MOST_DIMENSIONS = 50_000, 128
+#: Up to so many texts the decomposition is one of their products, on the driver (at most SMALL x MOST_TERMS floats).
+SMALL = 1000
 
 
 class TfidfEmbedder:
@@ -57,6 +59,16 @@ class TfidfEmbedder:
             self.projection = np.eye(max(1, len(rows)), dtype=np.float32)
             return self
         size, weight = len(rows), self.weight
+        if n <= SMALL:
+            x = np.zeros((n, size), np.float32)
+            for i, r in enumerate(df.select(self.terms(F.col(text)).alias("t")).collect()):
+                for j, w in _weights(r["t"], weight).items():
+                    x[i, j] = w
+            square, left = np.linalg.eigh((x @ x.T).astype(float))
+            top = np.argsort(-square)[:k]
+            top = top[square[top] > 1e-9 * square.max()]
+            self.projection = (x.T @ left[:, top] / np.sqrt(square[top])).astype(np.float32)
+            return self
         sparse = df.select(self.terms(F.col(text)).alias("t")).rdd.map(lambda r: Vectors.sparse(size, sorted(_weights(r["t"], weight).items())))
         python_ready(df.sparkSession)
         self.projection = RowMatrix(sparse.cache()).computeSVD(k).V.toArray().astype(np.float32)

@@ -43,3 +43,79 @@ def recovery(table: DataFrame) -> DataFrame:
         F.sum("n").alias("items"), (F.sum(F.when(F.col("about") == F.col("t"), F.col("n")).otherwise(0)) / F.sum("n")).alias("recovered_share"), F.count(F.when(F.col("about") == F.col("t"), 1)).alias("themes"),
         F.max(F.when(F.col("k") == 1, F.col("p"))).alias("largest_theme"), (F.max(F.when(F.col("k") == 1, F.col("n"))) / F.sum("n")).alias("largest_theme_share"), F.max(F.when(F.col("k") == 1, F.col("n") / F.col("size"))).alias("largest_theme_purity"),
     ).withColumnRenamed("t", "true_theme")
+
+
+def sentiment_quality(scored: DataFrame) -> DataFrame:
+    """(true_polarity, items, recall, mean_sentiment) of rows with sentiment and true_polarity; recall is null for neutral. Zero counts as positive."""
+    right = F.when(F.col("true_polarity") == "positive", F.col("sentiment") >= 0).when(F.col("true_polarity") == "negative", F.col("sentiment") < 0)
+    return scored.groupBy("true_polarity").agg(F.count(F.lit(1)).alias("items"), F.avg(right.cast("double")).alias("recall"), F.avg("sentiment").alias("mean_sentiment"))
+
+
+def sign_accuracy(quality: DataFrame) -> DataFrame:
+    """One row over the positive and negative items: items, sign_accuracy."""
+    polar = quality.filter(F.col("recall").isNotNull())
+    return polar.agg(F.sum("items").alias("items"), (F.sum(F.col("recall") * F.col("items")) / F.sum("items")).alias("sign_accuracy"))
+
+
+def release_matching(radar: DataFrame, named: DataFrame, intended: DataFrame) -> DataFrame:
+    """Whether each release was tied to the intended theme. named: (theme_id, true_theme), intended: (version, intended_theme)."""
+    out = radar.select("version", "theme_id", "verdict").join(intended, "version", "left").join(named.select("theme_id", F.col("true_theme").alias("matched_true_theme")), "theme_id", "left")
+    return out.withColumn("correct", F.coalesce(F.col("matched_true_theme") == F.col("intended_theme"), F.lit(False)))
+
+
+def side_effect_precision(effects: DataFrame, named: DataFrame, events: DataFrame, before: int = 2, after: int = 28) -> DataFrame:
+    """One row: flagged, real, spurious. An effect (theme_id, day) is real if its theme truly spiked about then."""
+    spikes = events.filter("kind = 'spike'").select(F.col("theme").alias("true_theme"), "start_date")
+    told = effects.select("version", "theme_id", "day").join(named, "theme_id", "left")
+    near = F.datediff("start_date", "day").between(-before, after)
+    # theme is the equi-key; a theme has a handful of known events
+    real = told.join(spikes, (told["true_theme"] == spikes["true_theme"]) & near, "left_semi")
+    return told.agg(F.count(F.lit(1)).alias("flagged")).crossJoin(real.agg(F.count(F.lit(1)).alias("real"))).withColumn("spurious", F.col("flagged") - F.col("real"))  # single rows
+
+
+ALERTS, MOVING, GROWTH = ("new", "emerging"), ("new", "emerging", "rising", "declining"), ("spike", "gradual growth")
+
+
+def _within(rows: DataFrame, events: DataFrame, grace: int) -> DataFrame:
+    """Rows (true_theme, day) during one of the events of their theme, or up to grace days after its end; an event without an end goes on."""
+    e = events.select(F.col("theme").alias("_theme"), "start_date", "end_date")
+    during = (F.col("day") >= F.col("start_date")) & (F.col("end_date").isNull() | (F.col("day") <= F.date_add("end_date", grace)))
+    return rows.join(e, (F.col("true_theme") == F.col("_theme")) & during, "left_semi")
+
+
+def alert_log(replayed: DataFrame, trailing: DataFrame, named: DataFrame, events: DataFrame, grace: int = 28) -> DataFrame:
+    """(day, method, theme_id, true_theme, expected): the alerts of the rate test and of the naive rule, and whether a known rise explains each.
+
+    replayed: what ``trends.backtest`` gives; trailing: ``mentions.trailing``, read for the days replayed.
+    """
+    days = replayed.select("day").distinct()
+    tested = replayed.filter(F.col("status").isin(*ALERTS)).select("day", F.lit("rate_test").alias("method"), "theme_id")
+    naive = trailing.filter("naive").join(days, "day", "left_semi").select("day", F.lit("naive_2x").alias("method"), "theme_id")
+    log = tested.unionByName(naive).join(named, "theme_id", "left")
+    known = _within(log, events.filter(F.col("kind").isin(*GROWTH)), grace).select("day", "method", "theme_id", F.lit(True).alias("expected"))
+    return log.join(known, ["day", "method", "theme_id"], "left").select("day", "method", "theme_id", "true_theme", F.coalesce("expected", F.lit(False)).alias("expected"))
+
+
+def detection(log: DataFrame, events: DataFrame) -> DataFrame:
+    """(spike, started, method, first_alert, days_to_detect) for every known spike and method; null where it was missed."""
+    spikes = events.filter("kind = 'spike'").select(F.col("theme").alias("spike"), F.col("start_date").alias("started")).crossJoin(log.sparkSession.createDataFrame([("rate_test",), ("naive_2x",)], "method string"))
+    hits = log.select(F.col("method").alias("_m"), F.col("true_theme").alias("_t"), "day")
+    seen = spikes.join(hits, (F.col("method") == F.col("_m")) & (F.col("spike") == F.col("_t")) & (F.col("day") >= F.col("started")), "left")
+    return seen.groupBy("spike", "started", "method").agg(F.min("day").alias("first_alert")).withColumn("days_to_detect", F.datediff("first_alert", "started"))
+
+
+def alert_summary(log: DataFrame, detected: DataFrame) -> DataFrame:
+    """One row a method: spikes found and missed, days to find them, false alarms as days and as runs of days."""
+    from .mentions import episodes
+
+    false = log.filter(~F.col("expected"))
+    runs = episodes(false.withColumn("theme_id", F.concat_ws("\x1f", "method", "theme_id"))).groupBy(F.substring_index("theme_id", "\x1f", 1).alias("method")).agg(F.count(F.lit(1)).alias("false_alarm_episodes"))
+    days = false.groupBy("method").agg(F.count(F.lit(1)).alias("false_alarm_days"))
+    found = detected.groupBy("method").agg(F.count("days_to_detect").alias("spikes_detected"), F.count(F.lit(1)).alias("spikes_total"), F.median("days_to_detect").alias("median_days_to_detect"))
+    return found.join(runs, "method", "left").join(days, "method", "left").na.fill(0, ["false_alarm_episodes", "false_alarm_days"])
+
+
+def spurious_trend_days(replayed: DataFrame, named: DataFrame, events: DataFrame, horizon: int) -> DataFrame:
+    """One row: days on which a known theme was called moving though no event of its lay within the windows' horizon."""
+    moving = replayed.filter(F.col("status").isin(*MOVING)).join(named, "theme_id").filter("true_theme is not null").select("day", "theme_id", "true_theme")
+    return moving.agg(F.count(F.lit(1)).alias("n")).crossJoin(_within(moving, events, horizon).agg(F.count(F.lit(1)).alias("k"))).select((F.col("n") - F.col("k")).alias("spurious_trend_days"))

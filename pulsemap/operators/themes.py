@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.lexicon import ENGLISH, Language
-from ..functions.text import dot, unit
+from ..functions.text import dot, fold, tr_lower, unit
 
 #: Most vectors clustered in one place; beyond, micro-clusters come first, at most MICRO.
 DIRECT, MICRO = 6000, 3000
@@ -124,7 +124,8 @@ def cluster_vectors(vectors: DataFrame, threshold: float, least: int, reassign:
 
 def cue_rates(segments: DataFrame, lang: Language = ENGLISH) -> DataFrame:
     """(theme_id, bug, feature_request, pricing): shares of texts with such a cue."""
-    rate = lambda patterns: F.avg(F.lower("text").rlike("(?U)" + "|".join(patterns)).cast("double"))
+    said = fold(F.col("text")) if lang.code == "tr" else F.lower("text")
+    rate = lambda patterns: F.avg(said.rlike("(?U)" + "|".join(patterns)).cast("double"))
     return segments.groupBy("theme_id").agg(*[rate(p).alias(k) for k, p in lang.cues.items()])
 
 
@@ -136,9 +137,10 @@ def kind(mean_sentiment: Column) -> Column:
     )
 
 
-def keywords(segments: DataFrame, stop: tuple[str, ...] = (), top: int = 6) -> DataFrame:
+def keywords(segments: DataFrame, stop: tuple[str, ...] = (), top: int = 6, lang: Language = ENGLISH) -> DataFrame:
     """(theme_id, term, weight): the strongest one- and two-word terms of each theme by class-based TF-IDF."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"\b([a-z][a-z-]+)\b"), F.lit(1)), lambda w: ~w.isin(*stop) if stop else F.lit(True))
+    found = F.regexp_extract_all(tr_lower(F.col("text")), F.lit(r"(?U)([^\W\d_]{2,})"), F.lit(1)) if lang.code == "tr" else F.regexp_extract_all(F.lower("text"), F.lit(r"\b([a-z][a-z-]+)\b"), F.lit(1))
+    words = F.filter(found, lambda w: ~w.isin(*stop) if stop else F.lit(True))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.expr("cast(array() as array<string>)"))
     tf = segments.select("theme_id", words.alias("w")).select("theme_id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("theme_id", "term").count()
     n = segments.select("theme_id").distinct().count()

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.lexicon import language
+from ..functions.lexicon import language, stop_words, with_plain_variants
 from ..functions.sentiment import score_feedback
 from ..functions.text import dot, redact, segment_feedback
 from ..operators import impact, mentions, scoring, themes, trends
@@ -23,6 +22,7 @@ DISTANCE, BOILERPLATE = 0.90, 0.50
 @dataclass(frozen=True)
 class Config:
     language: str = "en"
+    embedding: str = "tfidf"
     redact_pii: bool = True
     product_names: tuple[str, ...] = ()
     distance_threshold: float = DISTANCE
@@ -111,7 +111,7 @@ def describe(segments: DataFrame, feedback: DataFrame, config: Config) -> DataFr
     head = first.withColumn("h", F.row_number().over(by.orderBy(F.desc((F.length("text") <= 90).cast("int")), F.desc("n"), F.desc(F.round("similarity", 5)), "text")))
     texts = head.groupBy("theme_id").agg(F.max(F.when(F.col("h") == 1, F.col("text"))).alias("headline"), F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]).alias("examples"))
     means = segments.select("theme_id", "doc_id").distinct().join(feedback.select("doc_id", "sentiment"), "doc_id").groupBy("theme_id").agg(F.avg("sentiment").alias("mean"))
-    words = themes.keywords(segments, config.stop_words).groupBy("theme_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term"))), lambda x: x["term"]).alias("keywords"))
+    words = themes.keywords(segments, stop_words(lang, config.stop_words), lang=lang).groupBy("theme_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term"))), lambda x: x["term"]).alias("keywords"))
     out = texts.join(means, "theme_id").join(themes.cue_rates(segments, lang), "theme_id").join(words, "theme_id", "left").join(close.groupBy("theme_id").agg(F.avg("similarity").alias("cohesion")), "theme_id")
     return out.select("theme_id", short_name(F.col("headline")).alias("name"), "headline", "keywords", themes.kind(F.col("mean")).alias("kind"), "examples", "cohesion")
 
@@ -122,40 +122,102 @@ def match_releases(releases: DataFrame, centers: DataFrame, embedder: TfidfEmbed
     return themes.nearest(embedder.encode(texts, "_t"), centers, floor, "theme_id").withColumnRenamed("similarity", "match_similarity").drop("_t", "vector")
 
 
-def analyze(feedback: DataFrame, accounts: DataFrame | None = None, releases: DataFrame | None = None, config: Config = Config(), as_of=None) -> Analysis:
-    """feedback, accounts and releases as the loaders give them."""
+@dataclass
+class Model:
+    """Themes as discovered: feedback with money and sentiment, segments with vector, cluster and theme_id, and the fitted encoder."""
+
+    feedback: DataFrame
+    segments: DataFrame
+    embedder: TfidfEmbedder
+    has_accounts: bool
+    config: Config
+
+
+def build_model(feedback: DataFrame, accounts: DataFrame | None = None, config: Config = Config()) -> Model:
+    """Redaction, sentiment, segments, vectors, clusters and their names."""
     lang = language(config.language)
+    stop = stop_words(lang, config.stop_words)
     fb = feedback.withColumn("text", redact(F.col("text"))) if config.redact_pii else feedback
     fb = mentions.with_accounts(score_feedback(fb, lang), accounts).cache()
-    has_revenue = accounts is not None and (fb.agg(F.sum("mrr")).first()[0] or 0) > 0
     segments = segment_feedback(fb, config.product_names, lang, config.segment_sentences)
-    embedder = get_embedder("tfidf", stop=config.stop_words).fit(segments)
+    embedder = get_embedder(config.embedding, stop=stop).fit(segments)
     segments = embedder.encode(segments)
     spark = fb.sparkSession
-    prototypes = embedder.encode(spark.createDataFrame([(t,) for t in lang.boilerplate] or [("",)], "text string"))
+    typed = with_plain_variants(lang.boilerplate) if lang.code == "tr" else lang.boilerplate
+    prototypes = embedder.encode(spark.createDataFrame([(t,) for t in typed] or [("",)], "text string"))
     segments = content(segments, prototypes, config.boilerplate_threshold).withColumn("id", F.struct("doc_id", "position")).cache()
     least = max(5, round(config.min_theme_share * fb.count()))
     placed = segments.join(themes.cluster_vectors(segments.select("id", "vector"), config.distance_threshold, least, config.reassign_similarity), "id").cache()
-    merged = consolidated(placed, config.stop_words) if config.consolidate else {r[0]: r[0] for r in placed.filter("cluster >= 0").select("cluster").distinct().collect()}
+    merged = consolidated(placed, stop) if config.consolidate else {r[0]: r[0] for r in placed.filter("cluster >= 0").select("cluster").distinct().collect()}
     names = spark.createDataFrame([(int(a), f"T{b + 1:02d}") for a, b in merged.items()], "cluster int, theme_id string")
-    placed = placed.join(F.broadcast(names), "cluster", "left").drop("id", "cluster")
+    return Model(fb, placed.join(F.broadcast(names), "cluster", "left").drop("id", "cluster"), embedder, accounts is not None, config)
+
+
+def resolved_merges(merges: dict[str, str], known: set[str]) -> dict[str, str]:
+    """Where each theme ends up, chains followed; a chain that comes back to itself stops there, unknown names are left out."""
+    step = {a: b for a, b in merges.items() if a in known and b in known and a != b}
+    out = {}
+    for start in step:
+        seen, at = {start}, step[start]
+        while at in step and at not in seen:
+            seen.add(at)
+            at = step[at]
+        if at != start:
+            out[start] = at
+    return out
+
+
+def merge_themes(model: Model, merges: dict[str, str]) -> Model:
+    """The model with themes folded into others; the others keep their ids."""
+    ids = {r[0] for r in model.segments.select("theme_id").distinct().collect() if r[0]}  # one row a theme
+    to = resolved_merges(merges, ids)
+    if not to:
+        return model
+    names = model.feedback.sparkSession.createDataFrame(list(to.items()), "theme_id string, _to string")
+    moved = model.segments.join(F.broadcast(names), "theme_id", "left").withColumn("theme_id", F.coalesce("_to", "theme_id")).drop("_to")
+    return replace(model, segments=moved)
+
+
+def usable_weights(weights: scoring.Weights, has_revenue: bool) -> scoring.Weights:
+    return weights if has_revenue else scoring.Weights(weights.reach, 0.0, weights.severity, weights.momentum)
+
+
+def rescore(a: Analysis, weights: scoring.Weights) -> Analysis:
+    """The analysis with other weights; nothing but the scores is computed again."""
+    made = ("c_reach", "c_revenue", "c_severity", "c_momentum", "score", "rank", "vote_rank", "rank_shift")
+    again = scoring.score_themes(a.scored.drop(*made), usable_weights(weights, a.has_revenue))
+    return replace(a, scored=again, config=replace(a.config, weights=weights))
+
+
+def analyze(feedback: DataFrame, accounts: DataFrame | None = None, releases: DataFrame | None = None, config: Config = Config(), as_of=None) -> Analysis:
+    """feedback, accounts and releases as the loaders give them."""
+    return analyze_model(build_model(feedback, accounts, config), releases, as_of)
+
+
+def analyze_model(model: Model, releases: DataFrame | None = None, as_of=None) -> Analysis:
+    """Mentions, metrics, warnings, scores and release effects of a model, as seen at the end of the day of as_of."""
+    fb, placed, config = model.feedback, model.segments, model.config
+    has_revenue = model.has_accounts and (fb.agg(F.sum("mrr")).first()[0] or 0) > 0
     tagged = placed.filter("theme_id is not null")
     rows = mentions.mentions_of(placed, fb).cache()
-    last = as_of or F.lit(fb.agg(F.max("created_at")).first()[0])
+    last = F.lit(fb.agg(F.max("created_at")).first()[0]) if as_of is None else as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
     seen, seen_fb = mentions.visible(rows, last), mentions.visible(fb, last)
     described = describe(tagged, fb, config)
+    window = mentions.score_window(seen, last, config.score_window_days)
     n = mentions.score_window(seen_fb, last, config.score_window_days).count()
-    metrics = mentions.theme_metrics(mentions.score_window(seen, last, config.score_window_days), n)
+    metrics = mentions.theme_metrics(window, n)
     warned = trends.detect_trends(seen, seen_fb, last, config.recent_days, config.baseline_days, config.alpha, config.volume_normalization)
     always = seen.groupBy("theme_id").agg(F.countDistinct("doc").alias("mentions_all_time"))
     table = described.join(metrics, "theme_id", "left").join(always, "theme_id", "left").join(warned, "theme_id", "left")
+    for column in ("plan", "channel"):
+        table = table.join(mentions.mix(window, column), "theme_id", "left")
     table = table.na.fill(0, ["mentions", "primary_mentions", "accounts", "mrr_exposed", "mrr_weighted", "negative_share", "arr_exposed", "share", "mentions_all_time"])
-    w = config.weights if has_revenue else scoring.Weights(config.weights.reach, 0.0, config.weights.severity, config.weights.momentum)
-    scored = scoring.score_themes(table, w).cache()
+    scored = scoring.score_themes(table, usable_weights(config.weights, has_revenue)).cache()
     radar = effects = None
     if releases is not None:
-        matched = match_releases(releases.filter(F.col("date") <= last), themes.centroids(tagged, "theme_id"), embedder, config.release_match_similarity)
+        matched = match_releases(releases.filter(F.col("date") <= last), themes.centroids(tagged, "theme_id"), model.embedder, config.release_match_similarity)
         radar, effects = impact.release_radar(seen, seen_fb, matched, config.impact_window_days, config.alpha, config.volume_normalization)
+        radar, effects = radar.cache(), effects.cache()
     return Analysis(fb, placed, rows, described, warned, scored, radar, effects, has_revenue, config)
 
 
@@ -178,20 +240,3 @@ def insights(a: Analysis, most: int = 6) -> list[dict[str, str]]:
         told = a.radar.filter(F.col("verdict").isin("Worse", "Resolved", "No detectable change")).orderBy(F.desc("day")).limit(2).collect()
         out += [{"kind": "release", "title": f"{r['version']} ({r['title']}): {r['verdict']}", "detail": f"mentions changed {r['rate_ratio'] - 1:+.0%} against all feedback"} for r in told]
     return out[:most]
-
-
-def markdown(a: Analysis) -> str:
-    """The report as text."""
-    rows = a.scored.orderBy(F.col("rank").asc_nulls_last(), F.desc("mentions")).select("rank", "theme_id", "name", "kind", "score", "mentions", "status").collect()
-    shown = lambda v: "" if v is None else f"{v:.1f}" if isinstance(v, float) else str(v)
-    lines = ["# Feedback report", "", *[f"- **{i['title']}** {i['detail']}" for i in insights(a)], "", "| rank | id | theme | kind | score | mentions | status |", "|-|-|-|-|-|-|-|"]
-    return "\n".join([*lines, *["| " + " | ".join(shown(v) for v in r) + " |" for r in rows]]) + "\n"
-
-
-def write_report(a: Analysis, path: str) -> None:
-    """roadmap (CSV), insights (JSON lines) and the report (text) under a folder of any file system Spark writes to."""
-    spark = a.scored.sparkSession
-    flat = a.scored.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in a.scored.dtypes])
-    flat.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/roadmap")
-    spark.createDataFrame([(json.dumps(i),) for i in insights(a)] or [("{}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/insights")
-    spark.createDataFrame([(markdown(a),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/report")

@@ -6,6 +6,7 @@ import pytest
 
 from pulsemap.operators.embed import get_embedder
 from pulsemap.plans import analysis as A
+from pulsemap.plans import report as R
 from pulsemap.sources import feedback as S
 
 SAID = {
@@ -38,9 +39,9 @@ def test_analyze(spark, tables, tmp_path):
     assert any(r["kind"] == "feature_request" for r in rows.values()) and any(r["kind"] == "pricing" for r in rows.values())
     assert a.radar.count() == 1 and a.radar.first()["verdict"]
     assert A.insights(a)[0]["kind"] == "priority"
-    A.write_report(a, f"file://{tmp_path}/out")
+    R.write_report(a, f"file://{tmp_path}/out")
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/out/roadmap").count() == len(rows)
-    assert "# Feedback report" in A.markdown(a)
+    assert "# Feedback report" in R.markdown(a)
 
 
 def test_feedback_alone(tables):

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lexicon import ENGLISH
 from ..functions.sentiment import rating_sentiment, text_sentiment
 from ..functions.text import fold, redact, segment_feedback
 from ..operators import evaluate, impact, mentions, scoring, stats, themes, trends
@@ -174,6 +175,89 @@ def backtest(spark: SparkSession, d: str) -> DataFrame:
     return got.select("day", "theme_id", "recent_mentions", "baseline_mentions", _r("lift"), _r("p_value"), _r("q_value"), "status")
 
 
+EVENTS = (("click", 6, 12, "spike"), ("purchase", 3, None, "gradual growth"), ("view", 14, 15, "drop"))
+
+
+def _known(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Made-up events of known themes, in days from the first; and the themes' true names, which are their own."""
+    e = _t(spark, d, "events")
+    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("theme"), F.lit(a).alias("a"), F.lit(b).cast("int").alias("b"), F.lit(k).alias("kind")) for t, a, b, k in EVENTS])).alias("x")
+    at = lambda c: F.date_add(F.to_date("t"), F.col(c))
+    events = e.agg(F.min("ts").alias("t")).select("t", rows).select("t", "x.*").select("theme", at("a").alias("start_date"), at("b").alias("end_date"), "kind")
+    return events, e.select(F.col("event_type").alias("theme_id")).distinct().withColumn("true_theme", F.col("theme_id"))
+
+
+def _naive_log(spark: SparkSession, d: str) -> DataFrame:
+    """The evaluation's log over the dense grid, with a plain status in place of the tested one: at least a quarter above the day before."""
+    from pyspark.sql.window import Window
+
+    m = _events(spark, d)[0]
+    grid = mentions.daily_grid(m)
+    before = F.lag("n").over(Window.partitionBy("theme_id").orderBy("day"))
+    replayed = grid.withColumn("status", F.when(F.col("n") >= 1.25 * before, "emerging").otherwise("stable"))
+    events, named = _known(spark, d)
+    return evaluate.alert_log(replayed, mentions.trailing(grid), named, events, grace=2)
+
+
+def alert_log(spark: SparkSession, d: str) -> DataFrame:
+    return _naive_log(spark, d)
+
+
+def alert_detection(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.detection(_naive_log(spark, d), _known(spark, d)[0])
+
+
+def alert_summary(spark: SparkSession, d: str) -> DataFrame:
+    log = _naive_log(spark, d)
+    return evaluate.alert_summary(log, evaluate.detection(log, _known(spark, d)[0]))
+
+
+def sentiment_quality(spark: SparkSession, d: str) -> DataFrame:
+    truth = F.element_at(F.array(F.lit("negative"), F.lit("neutral"), F.lit("positive")), F.col("p_partkey").cast("int") % 3 + 1)
+    part = _t(spark, d, "part").select(((F.col("p_size") % 21 - 10) / 10.0).cast("double").alias("sentiment"), truth.alias("true_polarity"))
+    return evaluate.sentiment_quality(part).select("true_polarity", "items", _r("recall"), _r("mean_sentiment"))
+
+
+def release_matching(spark: SparkSession, d: str) -> DataFrame:
+    rel = _releases(spark, d).withColumn("verdict", F.lit("told"))
+    intended = spark.createDataFrame([("1.0", "click"), ("1.1", "click"), ("1.2", "view"), ("1.3", "click")], "version string, intended_theme string")
+    return evaluate.release_matching(rel, _known(spark, d)[1], intended).select("version", "theme_id", "matched_true_theme", "intended_theme", "correct")
+
+
+def side_effects_checked(spark: SparkSession, d: str) -> DataFrame:
+    events, named = _known(spark, d)
+    effects = _releases(spark, d).select("version", F.col("date").alias("day")).crossJoin(named.select("theme_id"))  # releases x themes
+    return evaluate.side_effect_precision(effects, named, events)
+
+
+def score_parts(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.contributions(priority_scores(spark, d)).select("theme_id", *[_r(c, 4) for c in ("reach", "revenue", "severity", "momentum")])
+
+
+def window_counts(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda x: F.lit(x).cast("timestamp")
+    return mentions.window_counts(_mentions(spark, d), {"early": (at("1995-01-01"), at("1996-01-01")), "late": (at("1996-01-01"), at("1997-01-01"))})
+
+
+def first_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return _mentions(spark, d).select("doc", "theme_id", "position", "primary")
+
+
+def majority_theme(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.majority(evaluate.contingency(_t(spark, d, "documents"), "lang", "source"))
+
+
+def timeline_shares(spark: SparkSession, d: str) -> DataFrame:
+    from .report import timeline
+
+    return timeline(weekly(spark, d)).select("week", "theme_id", "n", _r("percent"))
+
+
+def release_windows(spark: SparkSession, d: str) -> DataFrame:
+    low, high = _t(spark, d, "events").agg(F.min(F.to_date("ts")), F.date_add(F.max(F.to_date("ts")), 1)).first()
+    return impact.windows(_releases(spark, d), F.lit(low), F.lit(high), 7).select("version", "pre_start", "pre_end", "post_end")
+
+
 def _p(a: str, b: str, f: str) -> str:
     term = lambda k: f"(lgamma({a} + {b} + 1) - lgamma({k} + 1) - lgamma({a} + {b} - {k} + 1) + {k} * ln({f} / (1 + {f})) + ({a} + {b} - {k}) * ln(1 / (1 + {f})))"
     return f"case when {a} + {b} = 0 or {f} is null or isnan({f}) then 1.0 else least(1.0, list_sum(list_transform(list_filter(range(0, ({a} + {b} + 1)::bigint), lambda k: {term('k')} <= {term(a)} + ln(1 + 1e-7)), lambda k: exp({term('k')})))) end"
@@ -183,6 +267,18 @@ _STATUS = "case when a + b < 5 then 'quiet' when q < 0.05 and b = 0 then 'new' w
 _EXPECTED = "case when count(*) filter (a + b >= 10) >= 4 then exp(median(case when a + b >= 10 then ln((a + 0.5) / (b + 0.5)) end)) when max(ta) > 0 and max(tb) > 0 then max(ta)::double / max(tb) else 'nan'::double end"
 _AGREE = "with c as (select lang as t, source as p, count(*) as n from documents group by 1, 2), rt as (select t, sum(n) as m from c group by 1), cp as (select p, sum(n) as m from c group by 1)"
 
+_DAILY = "with g as (select day::date as day, theme_id from (select unnest(generate_series((select min(ts)::date from events), (select max(ts)::date from events), interval 1 day)) as day) cross join (select distinct event_type as theme_id from events)), c as (select ts::date as day, event_type as theme_id, count(*) as n from events group by 1, 2), d as (select day, theme_id, coalesce(n, 0) as n from g left join c using (day, theme_id)), s as (select *, sum(n) over (partition by theme_id order by day rows between 6 preceding and current row)::bigint as last7, coalesce(sum(n) over (partition by theme_id order by day rows between 34 preceding and 7 preceding), 0)::bigint as prior28, lag(n) over (partition by theme_id order by day) as before from d)"
+_KNOWN = "select theme, lo + a::int as start_date, lo + b::int as end_date, kind from (select min(ts)::date as lo from events), (values " + ", ".join(f"('{t}', {a}, {'null' if b is None else b}, '{k}')" for t, a, b, k in EVENTS) + ") as v(theme, a, b, kind)"
+_LOG = _DAILY + f", known as ({_KNOWN}), raw as (select day, 'rate_test' as method, theme_id from s where n >= 1.25 * before union all select day, 'naive_2x' as method, theme_id from s where last7 >= 2 * prior28 / 4 and last7 >= 5), log as (select day, method, theme_id, theme_id as true_theme, exists (select 1 from known where kind in ('spike', 'gradual growth') and theme = theme_id and day >= start_date and (end_date is null or day <= end_date + 2)) as expected from raw)"
+_DETECTED = "select theme as spike, start_date as started, m.method, min(day) as first_alert, datediff('day', start_date, min(day))::int as days_to_detect from (select * from known where kind = 'spike') cross join (values ('rate_test'), ('naive_2x')) as m(method) left join log on log.method = m.method and true_theme = theme and day >= start_date group by 1, 2, 3"
+_RELEASED = ", ".join(f"({v!r}, " + (repr(x) if x else "null") + ")" for v, _, x in RELEASES)
+_MAP = lambda d: "map {" + ", ".join(f"'{k}': {v}" for k, v in d.items()) + "}"
+_SENTIMENT = (
+    "with w as (select doc_id, coalesce(text, '') as text, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[''’]', '', 'g')), '[a-z]+') as w from documents), h as (select doc_id, text, list_sum(list_transform(w, lambda x, i: "
+    f"coalesce({_MAP(ENGLISH.lexicon)}[x], 0.0)::double * case when list_has_any(w[greatest(i - 3, 1):i - 1], [{', '.join(repr(x) for x in sorted(ENGLISH.negations_before))}]) then -0.6 else 1.0 end * case when i > 1 then coalesce({_MAP(ENGLISH.intensifiers)}[w[i - 1]], 1.0)::double else 1.0 end)) as t from w), "
+    "g as (select doc_id, coalesce(t, 0) + sign(coalesce(t, 0)) * least(length(text) - length(replace(text, '!', '')), 3) * 0.15 as t from h) select doc_id, round(t / sqrt(t * t + 8), 6) as sentiment from g"
+)
+
 ORACLE = {
     "theme_metrics": f"with {M}{WINDOW}{METRICS} select theme_id, mentions, primary_mentions, accounts, round(mrr_exposed, 2) as mrr_exposed, round(mrr_weighted, 4) as mrr_weighted, round(mean_sentiment, 6) as mean_sentiment, round(negative_share, 6) as negative_share, first_seen, last_seen, round(mentions / greatest(n, 1), 6) as share from tm join ex using (theme_id), nd",
     "theme_mix": f"with {M}, c as (select theme_id, plan, count(*) as n from m group by 1, 2) select theme_id, plan, round_even(n / sum(n) over (partition by theme_id), 3) as share from c",
@@ -200,12 +296,27 @@ ORACLE = {
     "theme_centroids": "with f as (select label, unnest(range(1, len(embedding) + 1)) as k, unnest(embedding)::double as x, vec_id from embeddings), s as (select label, k, avg(x) as x, count(*) as n from f group by 1, 2), u as (select label, k, x / sqrt(sum(x * x) over (partition by label)) as x, n from s), l as (select vec_id, sqrt(sum(x * x)) as l from f group by 1), d as (select f.label, vec_id, sum(f.x * u.x) as d from f join u using (label, k) group by 1, 2) select label, (select max(n) from u where u.label = d.label) as size, round(avg(d / l), 5) as cohesion, round((select x from u where u.label = d.label and k = 1), 5) as first_component from d join l using (vec_id) group by label",
     "nearest_theme": "with f as (select label, unnest(range(1, len(embedding) + 1)) as k, unnest(embedding)::double as x, vec_id from embeddings), s as (select label, k, avg(x) as x from f group by 1, 2), u as (select label, k, x / sqrt(sum(x * x) over (partition by label)) as x from s), d as (select vec_id, u.label, sum(f.x * u.x) as d from f join u using (k) group by 1, 2), b as (select *, row_number() over (partition by vec_id order by d desc, label) as r from d) select vec_id, case when d >= 0.2 then label end as label, round(d, 5) as similarity from b where r = 1",
     "backtest": f"with g as (select day::date as day, theme_id from (select unnest(generate_series((select min(ts)::date from events), (select max(ts)::date from events), interval 1 day)) as day) cross join (select distinct event_type as theme_id from events)), c as (select ts::date as day, event_type as theme_id, count(*) as n from events group by 1, 2), d as (select day, theme_id, coalesce(n, 0) as n from g left join c using (day, theme_id)), s as (select day, theme_id, sum(n) over (partition by theme_id order by day rows between 4 preceding and current row)::bigint as a, coalesce(sum(n) over (partition by theme_id order by day rows between 14 preceding and 5 preceding), 0)::bigint as b, row_number() over (partition by theme_id order by day) as i from d), t as (select *, sum(a) over (partition by day) as ta, sum(b) over (partition by day) as tb from s where i > 12), f as (select day, {_EXPECTED} as f from t group by 1), r as (select day, theme_id, a, b, (a + 0.5) / (b + 0.5) / f as lift, {_p('a', 'b', 'f')} as p from t join f using (day)), k as (select *, row_number() over (partition by day order by p) as rk, count(*) over (partition by day) as n from r), q as (select *, least(1, min(p * n / rk) over (partition by day order by rk rows between current row and unbounded following)) as q from k) select day, theme_id, a as recent_mentions, b as baseline_mentions, round(lift, 6) as lift, round(p, 6) as p_value, round(q, 6) as q_value, {_STATUS} as status from q",
+    "alert_episodes": _DAILY + ", hit as (select theme_id, day from s where n >= prior28 / 28 and n > 0), z as (select *, day - (row_number() over (partition by theme_id order by day))::int as run from hit) select theme_id, min(day) as first_day, max(day) as last_day from z group by theme_id, run",
+    "alert_log": _LOG + " select * from log",
+    "alert_detection": _LOG + f", det as ({_DETECTED}) select * from det",
+    "alert_summary": _LOG + f", det as ({_DETECTED}), bad as (select method, theme_id, day, day - (row_number() over (partition by method, theme_id order by day))::int as run from log where not expected), runs as (select method, count(distinct (theme_id, run)) as false_alarm_episodes, count(*) as false_alarm_days from bad group by 1), found as (select method, count(days_to_detect) as spikes_detected, count(*) as spikes_total, median(days_to_detect) as median_days_to_detect from det group by 1) select method, spikes_detected, spikes_total, median_days_to_detect, coalesce(false_alarm_episodes, 0) as false_alarm_episodes, coalesce(false_alarm_days, 0) as false_alarm_days from found left join runs using (method)",
+    "sentiment_quality": "with p as (select (p_size % 21 - 10) / 10.0::double as s, case p_partkey % 3 when 0 then 'negative' when 1 then 'neutral' else 'positive' end as t from part) select t as true_polarity, count(*) as items, round(avg(case t when 'positive' then (s >= 0)::int when 'negative' then (s < 0)::int end), 6) as recall, round(avg(s), 6) as mean_sentiment from p group by 1",
+    "release_matching": f"with r as (select * from (values {_RELEASED}) as x(version, theme_id)), i as (select * from (values ('1.0', 'click'), ('1.1', 'click'), ('1.2', 'view'), ('1.3', 'click')) as y(version, intended_theme)), n as (select distinct event_type as t from events) select r.version, theme_id, t as matched_true_theme, intended_theme, coalesce(t = intended_theme, false) as correct from r left join i using (version) left join n on t = theme_id",
+    "side_effects_checked": f"with b as (select min(ts)::date as lo from events), k as ({_KNOWN}), x as (select lo + d::int as day, theme_id from b, (values {', '.join(f'({k})' for _, k, _ in RELEASES)}) as r(d), (select distinct event_type as theme_id from events)), y as (select exists (select 1 from k where kind = 'spike' and theme = theme_id and start_date between day - 2 and day + 28) as ok from x) select count(*) as flagged, count(*) filter (ok) as real, count(*) filter (not ok) as spurious from y",
+    "window_counts": f"with {M} select theme_id, count(distinct case when created_at >= '1995-01-01' and created_at < '1996-01-01' then doc end) as early, count(distinct case when created_at >= '1996-01-01' and created_at < '1997-01-01' then doc end) as late from m group by 1",
+    "first_mentions": f"with {M} select doc, theme_id, position, prim as \"primary\" from m",
+    "majority_theme": _AGREE + " select p, t from (select *, row_number() over (partition by p order by n desc, t) as k from c) where k = 1",
+    "release_windows": f"with e as (select min(ts)::date as lo, max(ts)::date + 1 as hi from events), rel as (select version, lo + k::int as day, lo, hi from e, (values {', '.join(f'({v!r}, {k})' for v, k, _ in RELEASES)}) as x(version, k)) select version, greatest(day - 7, coalesce(lag(day) over (order by day), day - 7), lo) as pre_start, day as pre_end, least(day + 7, coalesce(lead(day) over (order by day), day + 7), hi) as post_end from rel",
+    "sentiment": _SENTIMENT,
 }
+ORACLE["timeline_shares"] = f"with x as ({ORACLE['weekly']}) select week, theme_id, n, round(case when total > 0 then 100 * n / total end, 6) as percent from x"
+ORACLE["score_parts"] = f"with x as ({ORACLE['priority_scores']}) select theme_id, " + ", ".join(f"round(case when score is not null then {100 * w:g} * c_{c} end, 4) as {c}" for c, w in vars(scoring.Weights()).items()) + " from x"
 
 QUERIES = {
     f.__name__: f
     for f in (
         theme_metrics, theme_mix, weekly, daily_trailing, alert_episodes, early_warnings, false_discovery, priority_scores, release_radar, release_verdicts, theme_agreement, theme_recovery, rating_scores, folded, accounts_joined,
         theme_centroids, nearest_theme, theme_keywords, segments, redacted, sentiment, backtest,
+        alert_log, alert_detection, alert_summary, sentiment_quality, release_matching, side_effects_checked, score_parts, window_counts, first_mentions, majority_theme, timeline_shares, release_windows,
     )
 }

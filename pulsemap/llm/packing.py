@@ -30,6 +30,8 @@ END_ID = 1
 WORD_CACHE = 600_000
 CACHED_CHARS = 48
 OUT_BYTES = 4 << 20
+#: Marks that join a-z, but not A-Z, to one character (as U+1E96): the library composes before it lower-cases.
+LOWER_MARKS = "\u0308\u030a\u030c\u0331\u0344"
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
@@ -59,7 +61,7 @@ class WordTokenizer:
         for w in words:
             if self.mark is None or "|" in w or len(w) > 200:
                 odd.append(w)
-            elif w[-1] in ".," and w[:-1].isalpha():  # letters, then a stop: two pre-tokens
+            elif w[-1] in ".," and w[:-1].isalpha() and "\u0130" != w[-2] < "\u0250":  # letters, then a stop: two pre-tokens; U+0130, and some letters beyond Latin, end in a mark once normalised
                 stopped.append(w)
             else:
                 plain.append(w)
@@ -87,8 +89,7 @@ class WordTokenizer:
         if len(known) > WORD_CACHE:
             known.clear()
             known[""] = b""
-        # bytes.lower() folds A-Z alone, which the vocabulary's own lower-casing would fold too
-        cut = [t.encode().lower().decode().replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        cut = [_folded(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new = {w for words in cut for w in words if w not in known}
         fresh: dict[str, bytes] = {}
         if new:
@@ -99,6 +100,13 @@ class WordTokenizer:
         return [b"".join([known[w] for w in words]) for words in cut]
 
 
+def _folded(text: str) -> str:
+    """A-Z lower-cased (bytes.lower() folds no others), as the vocabulary does itself; not where it sees the text before that: added tokens and marks."""
+    if "<|" in text or not text.isascii() and any(m in text for m in LOWER_MARKS):
+        return text
+    return text.encode().lower().decode()
+
+
 _TOKENIZERS: dict[int, WordTokenizer] = {}
 
 

@@ -99,6 +99,20 @@ def test_words_follow_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
+def test_words_that_shortcuts_must_leave_to_the_library():
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    raw = Q.vocabulary("word_bpe_49k.json")
+    lib, own = Tokenizer.from_str(raw.decode()), packing.WordTokenizer(raw)
+    given = ["a <|EndOfText|> b", "A <|endoftext|>X <|StartOfText|>.", "CUMHUR\u0130YET\u0130.", "\u0130,", "H\u0331 T\u0308 W\u030a Y\u030a J\u030c T\u0344 H\u0334\u0331"]
+    letters = [chr(c) for c in range(0x30000) if chr(c).isalpha() and (c < 0x3000 or unicodedata.normalize("NFC", chr(c).lower()) != chr(c))]
+    given += [f"x{c}. {c}," for c in letters] + [f"{chr(c)}{chr(m)}" for c in range(65, 91) for m in range(0x300, 0x370)]
+    for text, ids in zip(given, own.encode(given), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
+
+
 def test_level_is_the_least_sum_of_squares():
     r = np.random.default_rng(0)
     for _ in range(300):

@@ -6,7 +6,6 @@ Each stage reads what the one before it kept. All but the last give the columns
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pulsemap.llm import common, langid, packing, pii, queries, simhash
 
@@ -20,10 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that SimHash links connect, the document with the smallest id stays. Rows without an id stay."""
-    found = simhash.near_duplicates(docs)
-    others = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group that SimHash links connect, one row stays: that of the smallest id, then text; rows without an id come last."""
+    return simhash.keep_one(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

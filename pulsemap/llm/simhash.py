@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from .common import python_ready, saved, texts
 
@@ -204,6 +206,29 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 10
     raise RuntimeError("components did not settle")
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
+    """docs with one row of each set that links connect: that of the smallest id (rows without one last), then text, then other columns.
+
+    Sets are named by fingerprints, so neither repeated nor missing ids matter. Of a large set only one row a task is shuffled.
+    """
+    python_ready(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t or "") for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema)), pa.array(fps, pa.int64())], ["row", "fp"])
+
+    # the row travels as one struct, so no column of the input can clash
+    rows = saved(docs.mapInArrow(run, StructType([StructField("row", docs.schema), StructField("fp", LongType())])), "simhash-rows")
+    rooted = components(links(rows.select("fp").distinct(), budget=budget), "simhash-links").select(F.col("v").alias("fp"), "root")
+    named = rows.join(rooted, "fp", "left").select("row", F.coalesce("root", "fp").alias("root"))
+    others = [F.col("row")[c] for c, t in docs.dtypes if c not in (doc_id, text) and "map<" not in t and "variant" not in t]  # what has an order
+    order = Window.partitionBy("root").orderBy(F.col("row")[doc_id].asc_nulls_last(), F.col("row")[text], *others)
+    first = named.withColumn("place", F.row_number().over(order)).filter("place = 1")
+    return first.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest id that links reach."""
     marked = saved(with_fingerprints(docs, doc_id, text), "simhash")

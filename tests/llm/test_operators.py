@@ -360,3 +360,12 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, DATA)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(left)
     assert texts(docs).count() == len(near)
+
+
+def test_near_duplicates_are_dropped_by_row(spark):
+    a, b, c, d = "one two three four five", "six seven eight nine ten", "Six seven  eight nine ten", "red green blue black white"
+    rows = [(1, b, "x"), (3, a, "x"), (3, b, "x"), (5, a, "x"), (3, a, "x"), (None, a, "x"), (None, d, "y"), (None, d, "x"), (1, c, "x"), (1, "up and down we go", "x"), (7, None, "x"), (8, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = corpus_pipeline.drop_near_duplicates(spark, df, DATA)
+    assert got.schema == df.schema
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, c, "x"), (3, a, "x"), (None, d, "x"), (1, "up and down we go", "x"), (7, None, "x")], key=str)

@@ -84,6 +84,11 @@ class Model:
         self.langs, self.table, self.prior = langs, table, prior
 
     def predict(self, texts_: list[str]) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
+        return self.judge(texts_)[:2]
+
+    def judge(self, texts_: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score, and whether there is a letter: without languages all texts are UNKNOWN, with a letter or not."""
         n = len(self.langs)
         total, letter = np.zeros((len(texts_), n)), np.zeros(len(texts_), bool)
         for lot, owner in pieces_of(texts_):
@@ -94,11 +99,11 @@ class Model:
                 row = sum(self.table[h] for h in hashed)
                 np.add.at(total, at, np.add.reduceat(row, start, axis=0, dtype=np.float64))
         if not n:
-            return [UNKNOWN] * len(texts_), np.zeros(len(texts_))
+            return [UNKNOWN] * len(texts_), np.zeros(len(texts_)), letter
         total += self.prior
         best = total.argmax(axis=1)
         share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, letter, strict=True)], np.where(letter, share, 0.0)
+        return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, letter, strict=True)], np.where(letter, share, 0.0), letter
 
 
 def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, most_langs: int = MOST_LANGS) -> Model:
@@ -156,7 +161,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents, all columns as they were, whose language is known: those without a letter go."""
+    """The documents, all columns as they were, that hold a letter, whether or not the model knows a language."""
     spark = docs.sparkSession
     python_ready(spark)
     held = spark.sparkContext.broadcast(model)
@@ -164,7 +169,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, _ = held.value.predict([t or "" for t in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+            _, _, letter = held.value.judge([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(letter, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

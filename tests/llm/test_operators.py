@@ -369,3 +369,11 @@ def test_near_duplicates_are_dropped_by_row(spark):
     got = corpus_pipeline.drop_near_duplicates(spark, df, DATA)
     assert got.schema == df.schema
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, c, "x"), (3, a, "x"), (None, d, "x"), (1, "up and down we go", "x"), (7, None, "x")], key=str)
+
+
+def test_texts_with_a_letter_stay_whatever_the_labels(spark):
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 3 == 1)
+    free = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 3 != 1)
+    for labelled, lang in ((held, None), (free, None), (held, "en"), (free, "und")):  # no label, none to learn from, and one like the mark of the unknown
+        df = spark.createDataFrame([(labelled, "some text", lang), (100, "Größe", None), (101, "12 !", None), (102, None, None)], "doc_id long, text string, lang string")
+        assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, df, DATA).collect()) == sorted([labelled, 100])

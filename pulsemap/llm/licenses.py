@@ -1,7 +1,8 @@
 """License scans: ordered signature rules over normalised words.
 
 A text becomes its lower-cased words (A-Z only), and rules are regular expressions over the words joined
-by single spaces.  A rule runs only if its keyword is a word of the text.  Detections are taken in order
+by single spaces.  A rule runs only if one of its keywords, of which every match holds
+one, is a word of the text.  Detections are taken in order
 of priority, then length; one that lies inside an interval already taken is suppressed.  The three base
 phrases are found everywhere, whatever the rules decide, and their labels always stay.
 
@@ -23,15 +24,16 @@ from .common import python_ready, texts
 #: Phrase and label of the base.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Label, priority, score, keyword, regular expression over words. Hand-written; V stands for an optional "version" or "v".
+#: Label, priority, score, keywords (one of them is a whole word of every match), regular expression over words. Hand-written; The keyword
+#: of "al 2" is one elsewhere in the text, as it means the license only there. V stands for an optional "version" or "v".
 RULES = r"""
-mit 80 1.0 license (?:released|licensed|distributed|available|provided) under (?:the )?(?:terms of the )?mit licen[sc]e
-mit 75 .95 mit permission is hereby granted free of charge to any person obtaining a copy of this software
+mit 80 1.0 license|licence (?:released|licensed|distributed|available|provided) under (?:the )?(?:terms of the )?mit licen[sc]e
+mit 75 .95 permission permission is hereby granted free of charge to any person obtaining a copy of this software
 mit 75 .95 permission permission is hereby granted free of charge to any person obtaining a copy
 mit 70 .9 spdx spdx license identifier mit
-mit 60 .8 license the mit licen[sc]e(?: mit)?
+mit 60 .8 license|licence the mit licen[sc]e(?: mit)?
 mit 60 .8 opensource opensource org licenses mit
-mit 50 .7 license mit licen[sc]e(?:d)?
+mit 50 .7 license|licence|licensed|licenced mit licen[sc]e(?:d)?
 mit 50 .7 licensed mit licensed
 mit 40 .6 expat expat licen[sc]e
 mit-0 75 .9 mit mit no attribution
@@ -43,16 +45,17 @@ apache-2 70 .9 spdx spdx license identifier apache 2 0
 apache-2 70 .9 apache apache (?:software )?licen[sc]e V2(?: 0)?
 apache-2 60 .85 apache (?:www )?apache org licenses(?: license)? 2 0
 apache-2 55 .8 apache apache 2(?: 0)? licen[sc]ed?
+apache-2 45 .7 asl asl 2(?: 0)?
 apache-2 45 .7 apache (?:asl|al) 2(?: 0)?
 apache-1.1 70 .9 apache apache (?:software )?licen[sc]e V1 1
 apache-1.0 68 .9 apache apache (?:software )?licen[sc]e V1 0
 apache 30 .5 apache apache (?:software )?licen[sc]e
 bsd-3-clause 80 .95 bsd licensed under (?:the )?(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: licen[sc]e)?
-bsd-3-clause 75 .9 redistribution neither the name of (?:\S+ ){1,12}nor the names of its contributors may be used to endorse
+bsd-3-clause 75 .9 contributors neither the name of (?:\S+ ){1,12}nor the names of its contributors may be used to endorse
 bsd-3-clause 70 .9 spdx spdx license identifier bsd 3 clause
 bsd-3-clause 60 .8 bsd (?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)(?: licen[sc]e)?
 bsd-3-clause 55 .8 opensource opensource org licenses bsd 3 clause
-bsd-2-clause 80 .95 bsd licensed under (?:the )?(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?
+bsd-2-clause 80 .95 bsd|freebsd licensed under (?:the )?(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?
 bsd-2-clause 70 .9 spdx spdx license identifier bsd 2 clause
 bsd-2-clause 60 .8 bsd (?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd)(?: licen[sc]e)?
 bsd-2-clause 55 .8 opensource opensource org licenses bsd 2 clause
@@ -60,7 +63,7 @@ bsd-2-clause 50 .7 freebsd freebsd licen[sc]e
 bsd-4-clause 70 .9 spdx spdx license identifier bsd 4 clause
 bsd-4-clause 60 .8 bsd (?:bsd 4 clause|4 clause bsd|original bsd|old bsd)(?: licen[sc]e)?
 bsd-4-clause 55 .8 advertising all advertising materials mentioning features or use of this software must display
-bsd-0-clause 70 .9 bsd (?:0bsd|zero clause bsd|bsd zero clause)(?: licen[sc]e)?
+bsd-0-clause 70 .9 bsd|0bsd (?:0bsd|zero clause bsd|bsd zero clause)(?: licen[sc]e)?
 bsd-0-clause 70 .9 0bsd (?:spdx license identifier )?0bsd
 bsd 35 .6 bsd bsd (?:style )?licen[sc]ed?
 bsd 35 .6 bsd under (?:the )?bsd
@@ -148,7 +151,7 @@ artistic-1 80 .95 artistic artistic licen[sc]e V1(?: 0)?
 artistic-2 75 .9 spdx spdx license identifier artistic 2 0
 artistic 45 .7 artistic (?:perl )?artistic licen[sc]e
 perl 60 .8 perl (?:same terms as|under the terms of) perl(?: itself)?
-python-2 70 .9 python (?:python software foundation|psf) licen[sc]e(?: V2(?: 0)?)?
+python-2 70 .9 python|psf (?:python software foundation|psf) licen[sc]e(?: V2(?: 0)?)?
 python 45 .7 python python licen[sc]e
 php-3.01 70 .9 php php licen[sc]e V3 (?:01|0 1)
 php 45 .7 php php licen[sc]e
@@ -166,12 +169,12 @@ sspl-1 75 .9 server server side public licen[sc]e(?: V1(?: 0)?)?
 elastic-2 75 .9 elastic elastic licen[sc]e V2(?: 0)?
 elastic 45 .7 elastic elastic licen[sc]e
 unlicense 80 .95 unlicense (?:spdx license identifier )?(?:the )?unlicense
-unlicense 75 .9 encumbered this is free and unencumbered software released into the public domain
+unlicense 75 .9 unencumbered this is free and unencumbered software released into the public domain
 wtfpl 75 .9 wtfpl wtfpl(?: V2(?: 0)?)?
 wtfpl 75 .9 fuck do what the fuck you want to public licen[sc]e
 beerware 60 .8 beerware beerware(?: licen[sc]e)?
 beerware 60 .8 beer beer ware licen[sc]e
-upl-1 70 .9 upl universal permissive licen[sc]e(?: upl)?(?: V1(?: 0)?)?
+upl-1 70 .9 permissive universal permissive licen[sc]e(?: upl)?(?: V1(?: 0)?)?
 ncsa 60 .8 ncsa (?:university of illinois )?(?:ncsa )?(?:open source )?ncsa(?: open source)? licen[sc]e
 postgresql 60 .8 postgresql postgresql licen[sc]e
 openssl 60 .8 openssl openssl licen[sc]e
@@ -188,7 +191,7 @@ ms-eula 50 .7 microsoft microsoft software license terms
 osl-3 70 .9 open open software licen[sc]e V3(?: 0)?
 afl-3 70 .9 academic academic free licen[sc]e V3(?: 0)?
 rpl-1.5 70 .9 reciprocal reciprocal public licen[sc]e(?: V1 5)?
-qpl-1 60 .8 qpl (?:q public license|qpl)(?: V1(?: 0)?)?
+qpl-1 60 .8 qpl|q (?:q public license|qpl)(?: V1(?: 0)?)?
 lppl-1.3 70 .9 latex latex project public licen[sc]e(?: V1 3c?)?
 mulan-2 70 .9 mulan mulan (?:psl|permissive software licen[sc]e)(?: V2)?
 blue-oak-1 70 .9 oak blue oak model licen[sc]e(?: V?1(?: 0 0)?)?
@@ -239,13 +242,13 @@ non-commercial 45 .7 commercial (?:for )?non commercial (?:use|purposes)(?: only
 non-commercial 45 .7 noncommercial (?:for )?noncommercial (?:use|purposes)(?: only)?
 research-only 45 .7 research (?:for )?(?:academic )?research (?:use|purposes) only
 educational 40 .6 educational (?:for )?educational (?:use|purposes) only
-eula 50 .7 eula end user license agreement(?: eula)?|eula
+eula 50 .7 eula|agreement end user license agreement(?: eula)?|eula
 eula 50 .7 agreement end user licen[sc]e agreement
 shareware 45 .7 shareware (?:is )?shareware
 freeware 45 .7 freeware (?:is )?freeware
 copyleft 35 .5 copyleft copyleft
-unknown-reference 20 .3 license see (?:the )?(?:accompanying )?licen[sc]e(?: file| txt| md)?
-unknown-reference 20 .3 license licensed under (?:the )?(?:terms of the )?\S+ licen[sc]e
+unknown-reference 20 .3 license|licence see (?:the )?(?:accompanying )?licen[sc]e(?: file| txt| md)?
+unknown-reference 20 .3 license|licence licensed under (?:the )?(?:terms of the )?\S+ licen[sc]e
 unknown-reference 15 .3 licensed (?:this work is )?licensed under
 """
 VERSION = r"(?:version |v ?)?"
@@ -264,7 +267,9 @@ def rules() -> tuple[dict[bytes, list[tuple]], list[tuple]]:
     by_word: dict[bytes, list[tuple]] = {}
     for number, line in enumerate(RULES.strip().split("\n")):
         label, priority, score, keyword, pattern = line.split(" ", 4)
-        by_word.setdefault(keyword.encode(), []).append((number, int(priority), float(score), label, bounded(re.sub(r"(?<=[ (?])V(?=\??[0-9[])", VERSION.replace("\\", r"\\"), pattern))))
+        rule = (number, int(priority), float(score), label, bounded(re.sub(r"(?<=[ (?])V(?=\??[0-9[])", VERSION.replace("\\", r"\\"), pattern)))
+        for word in keyword.split("|"):
+            by_word.setdefault(word.encode(), []).append(rule)
     return by_word, [(phrase.split()[-1].encode() if label == "mit" else phrase.split()[0].encode(), label, len(phrase.split()), bounded(phrase)) for phrase, label in BASE]
 
 
@@ -284,9 +289,8 @@ def scan(text: str) -> tuple:
             places += got
             if got:
                 labels.add(label)
-    for keyword in present:
-        for number, priority, score, label, pattern in by_word[keyword]:
-            found += [(-priority, m.start() - m.end(), m.start(), number, m.end(), label, score) for m in pattern.finditer(line)]
+    for number, priority, score, label, pattern in {rule[0]: rule for keyword in present for rule in by_word[keyword]}.values():
+        found += [(-priority, m.start() - m.end(), m.start(), number, m.end(), label, score) for m in pattern.finditer(line)]
     taken: list[tuple] = []
     for _, _, start, number, end, label, score in sorted(found):
         if not any(a <= start and end <= b for a, b, *_ in taken):

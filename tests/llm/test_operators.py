@@ -377,3 +377,44 @@ def test_texts_with_a_letter_stay_whatever_the_labels(spark):
     for labelled, lang in ((held, None), (free, None), (held, "en"), (free, "und")):  # no label, none to learn from, and one like the mark of the unknown
         df = spark.createDataFrame([(labelled, "some text", lang), (100, "Größe", None), (101, "12 !", None), (102, None, None)], "doc_id long, text string, lang string")
         assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, df, DATA).collect()) == sorted([labelled, 100])
+
+
+def a_match(parsed, r):
+    """A random string that a parsed regular expression matches."""
+    from re import _constants as C
+
+    out = ""
+    for op, x in parsed:
+        if op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            out += "".join(a_match(x[2], r) for _ in range(r.randint(x[0], min(x[1], x[0] + 2))))
+        elif op is C.BRANCH:
+            out += a_match(r.choice(x[1]), r)
+        elif op is C.SUBPATTERN:
+            out += a_match(x[3], r)
+        elif op is C.IN:
+            kind, y = r.choice(x)
+            out += r.choice("abc") if kind is C.CATEGORY else chr(r.randint(*y) if kind is C.RANGE else y)
+        elif op is C.LITERAL:
+            out += chr(x)
+        else:
+            assert op in (C.ASSERT, C.AT)
+    return out
+
+
+def test_keywords_are_in_every_match_of_their_rules():
+    from re import _parser
+
+    r, by_word, wrong = random.Random(5), licenses.rules()[0], set()
+    every = {rule[0]: rule for some in by_word.values() for rule in some}
+    for number, _, _, _, pattern in every.values():
+        inner = pattern.pattern.decode().removeprefix("(?:^|(?<= ))").removesuffix("(?= |$)")
+        for _ in range(300):
+            text = a_match(_parser.parse(inner), r)
+            assert pattern.search(text.encode()), text
+            if inner.startswith("(?:(?:asl|al) 2"):  # the one rule that asks for a word elsewhere
+                text += " apache"
+            if not any(rule[0] == number for word in text.encode().split() for rule in by_word.get(word, ())):
+                wrong.add((number, text))
+    assert not wrong
+    for text, label in (("Released under the MIT Licence", "mit"), ("neither the name of X nor the names of its contributors may be used to endorse", "bsd-3-clause"), ("Universal Permissive License", "upl-1"), ("the Q Public License", "qpl-1")):
+        assert label in {d["label"] for d in licenses.scan(text)[5]}

@@ -156,6 +156,14 @@ def test_first_mention_is_primary(spark):
     assert sorted((r["theme_id"], r["primary"]) for r in mentions.mentions_of(segments, fb).collect()) == [("a", True), ("b", False)]
 
 
+def test_mentions_without_an_account_count(spark):
+    raw = spark.createDataFrame([("2024-01-01", "a", "x"), ("2024-01-02", "b", None), ("2024-01-03", "c", None)], "created_at string, text string, account_id string")
+    fb = mentions.with_accounts(S.load_feedback(raw), None).withColumn("sentiment", F.lit(-0.5))
+    rows = mentions.mentions_of(spark.createDataFrame([(0, 0, "t"), (1, 0, "t"), (2, 0, "u")], "doc_id int, position int, theme_id string"), fb)
+    got = {r["theme_id"]: (r["mentions"], r["accounts"], r["negative_share"], r["share"], str(r["last_seen"])[:10]) for r in mentions.theme_metrics(rows, 3).collect()}
+    assert got == {"t": (2, 2, 1.0, 2 / 3, "2024-01-02"), "u": (1, 1, 1.0, 1 / 3, "2024-01-03")}
+
+
 def test_agreement_of_equal_labels(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "t string, p int")
     got = evaluate.agreement(evaluate.contingency(df, "t", "p")).first()

@@ -23,6 +23,8 @@ from .common import python_ready
 
 K, SCALE, DIMS = 5, 256, 8
 QUERY_BLOCK, CANDIDATE_BLOCK, PROBE = 256, 8192, 16
+#: Components gathered at once for the probe.
+GATHER = 1 << 22
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -53,11 +55,13 @@ def block_topk(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k
     own = qid[:, None] == cid[None, :]
     partial_other = np.where(own, -np.inf, partial)
     floor = np.full(len(q), -np.inf)
-    if len(cid) > PROBE + 1:
-        probe = np.argpartition(-partial_other, PROBE, axis=1)[:, :PROBE]
-        exact = np.einsum("qd,dqp->qp", q, down[:, probe])
+    size = max(k, PROBE)  # fewer than k would give no bound of the k-th best
+    if len(cid) > size + 1:
+        probe = np.argpartition(-partial_other, size, axis=1)[:, :size]
+        step = max(1, GATHER // max(1, d * size))
+        exact = np.concatenate([np.einsum("qd,dqp->qp", q[a : a + step], down[:, probe[a : a + step]]) for a in range(0, len(q), step)])
         exact[np.take_along_axis(own, probe, 1)] = -np.inf
-        floor = np.sort(exact, axis=1)[:, -min(k, PROBE)]
+        floor = np.sort(exact, axis=1)[:, -k]
     out_q, out_c, out_s = [], [], []
     for i in range(len(q)):
         slack = 1e-6 * (1 + rest_q[0, i])

@@ -418,3 +418,17 @@ def test_keywords_are_in_every_match_of_their_rules():
     assert not wrong
     for text, label in (("Released under the MIT Licence", "mit"), ("neither the name of X nor the names of its contributors may be used to endorse", "bsd-3-clause"), ("Universal Permissive License", "upl-1"), ("the Q Public License", "qpl-1")):
         assert label in {d["label"] for d in licenses.scan(text)[5]}
+
+
+def test_topk_beyond_the_probe(spark):
+    r = np.random.default_rng(4)
+    n, d = 400, 24
+    c = r.integers(-40, 40, (n, d)) // np.arange(1, d + 1)
+    ids = r.permutation(n)
+    for k in (16, 17, 50, 398, 399, 500):
+        qs, cs, ss = topk.block_topk(ids[:20], c[:20], ids, c, k)
+        for i in range(20):
+            want = sorted((-int(c[i] @ c[j]), int(ids[j])) for j in range(n) if j != i)[:k]
+            assert [(-int(s), int(x)) for q, x, s in zip(qs, cs, ss, strict=True) if q == ids[i]] == want
+    df = spark.createDataFrame([(int(i), v) for i, v in zip(ids, c.tolist(), strict=True)], "vec_id long, v array<long>")
+    assert topk.top_k(df, F.col("vec_id") < 3, 50).count() == 150

@@ -3,8 +3,8 @@
 The four base kinds are patterns with fixed checks and are always kept.  Four more generators propose
 spans that may overlap (long numbers, national phone numbers, key-like tokens, odd e-mail addresses);
 trees score each candidate from its format and the words before it, and a threshold per generator, set
-for its precision on labelled rows the trees have not seen, decides.  Of overlapping candidates the likelier stays,
-and none overlaps a base span.
+for its precision on labelled rows the trees have not seen, decides.  Of overlapping candidates the likelier stays;
+one goes only where it overlaps one that stays, and none overlaps a base span.
 
 The trees are fitted on the driver to a fixed number of generated, labelled snippets
 (``TRAINING_ROWS``), whose features the same Spark expressions compute, and become one Spark expression:
@@ -234,14 +234,22 @@ def trained(spark: SparkSession, rows: int = TRAINING_ROWS, seed: int = SEED) ->
     return _MODELS[rows, seed]
 
 
+def without_overlaps(scored: Column) -> Column:
+    """Of array<struct<g, start, end, odds>> those, by start, that a pass by falling odds, then start and g, keeps: each that overlaps none kept before."""
+    fall = F.array_sort(F.transform(scored, lambda c: F.struct((-c["odds"]).alias("cost"), c["start"].alias("start"), c["g"].alias("g"), c["end"].alias("end"))))
+    none = F.expr("cast(array() as array<struct<start:int,g:int,end:int>>)")
+    taken = lambda kept, c: F.exists(kept, lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]))
+    step = lambda kept, c: F.when(taken(kept, c), kept).otherwise(F.array_append(kept, F.struct(c["start"].alias("start"), c["g"].alias("g"), c["end"].alias("end"))))
+    return F.array_sort(F.aggregate(fall, none, step))
+
+
 def with_spans(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with ``spans``: array<struct<kind, start, end>>, base kinds first, each kind by start."""
     df = with_candidates(df, text)
     kind = lambda name, c: F.transform(c, lambda x: F.struct(F.lit(name).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     df = df.withColumn("_scored", F.transform("_candidates", lambda c: F.struct(c["g"].alias("g"), c["start"].alias("start"), c["end"].alias("end"), model.odds(c["f"]).alias("odds"))))
     df = df.withColumn("_accepted", F.filter("_scored", lambda c: model.accepted(c, c["odds"])))
-    better = lambda a, b: (a["odds"] > b["odds"]) | ((a["odds"] == b["odds"]) & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["g"] < b["g"]))))
-    df = df.withColumn("_kept", F.filter("_accepted", lambda c: ~F.exists("_accepted", lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]) & better(o, c))))
+    df = df.withColumn("_kept", without_overlaps(F.col("_accepted")))
     of = lambda g: F.filter("_kept", lambda c: c["g"] == g)
     more = [kind(name, of(g)) for g, name in enumerate(MORE_KINDS)]
     return df.withColumn("spans", F.concat(*[kind(k, F.col(f"_{k}")) for k in BASE_KINDS], *more)).drop(*[f"_{k}" for k in BASE_KINDS], "_candidates", "_scored", "_accepted", "_kept")

@@ -432,3 +432,10 @@ def test_topk_beyond_the_probe(spark):
             assert [(-int(s), int(x)) for q, x, s in zip(qs, cs, ss, strict=True) if q == ids[i]] == want
     df = spark.createDataFrame([(int(i), v) for i, v in zip(ids, c.tolist(), strict=True)], "vec_id long, v array<long>")
     assert topk.top_k(df, F.col("vec_id") < 3, 50).count() == 150
+
+
+def test_only_kept_spans_displace_others(spark):
+    rows = [[(0, 0, 10, 3.0), (1, 8, 20, 2.0), (2, 18, 30, 1.0)], [(0, 5, 9, 1.0), (1, 5, 9, 1.0), (2, 0, 5, 0.5)], [], [(3, 0, 2, -1.0), (0, 1, 3, 4.0), (1, 2, 4, 5.0), (2, 3, 9, 4.5)]]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, c array<struct<g:int,start:int,end:int,odds:double>>")
+    got = {r["k"]: [(c["g"], c["start"], c["end"]) for c in r["kept"]] for r in df.select("k", pii.without_overlaps(F.col("c")).alias("kept")).collect()}
+    assert got == {0: [(0, 0, 10), (2, 18, 30)], 1: [(2, 0, 5), (0, 5, 9)], 2: [], 3: [(3, 0, 2), (1, 2, 4)]}

@@ -12,10 +12,10 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.workers import python_ready
 
-#: Largest vocabulary; its vectors (terms x dimensions) are broadcast.
-MOST_TERMS, MOST_DIMENSIONS = 50_000, 128
-#: Up to so many texts the decomposition is one of their products, on the driver (at most SMALL x MOST_TERMS floats).
-SMALL = 1000
+#: The vectors of the whole vocabulary (terms x dimensions) are broadcast.
+MOST_DIMENSIONS = 128
+#: Up to so many texts the decomposition is one of their products, on the driver (at most SMALL x BLOCK_TERMS floats at once).
+SMALL, BLOCK_TERMS = 1000, 50_000
 
 
 class TfidfEmbedder:
@@ -23,12 +23,13 @@ class TfidfEmbedder:
 
     Word terms: one and two words, in at least 2 texts and at most 40 % of them; character terms: three to
     five characters within padded words, in at least 3 texts. Sublinear counts, smooth idf, each of the two
-    parts of unit length. With more terms than ``most_terms`` those in most texts stay.
+    parts of unit length. All such terms are kept, however many; the driver and every worker hold their
+    vectors. Only where ``most_terms`` is given, those in most texts stay.
     """
 
     name = "tfidf"
 
-    def __init__(self, stop: tuple[str, ...] = (), dimensions: int = MOST_DIMENSIONS, most_terms: int = MOST_TERMS):
+    def __init__(self, stop: tuple[str, ...] = (), dimensions: int = MOST_DIMENSIONS, most_terms: int | None = None):
         self.stop, self.dimensions, self.most_terms = stop, dimensions, most_terms
         self.weight: dict[str, tuple[int, float]] = {}
         self.projection = np.zeros((0, 0), np.float32)
@@ -52,7 +53,8 @@ class TfidfEmbedder:
         seen = df.select(F.explode(F.array_distinct(self.terms(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         word = F.startswith("term", F.lit("w:"))
         fit = seen.filter((word & (F.col("df") >= 2) & (F.col("df") <= 0.4 * n)) | (~word & (F.col("df") >= 3)))
-        rows = fit.orderBy(F.desc("df"), "term").limit(self.most_terms).collect()  # at most most_terms
+        ranked = fit.orderBy(F.desc("df"), "term")
+        rows = (ranked if self.most_terms is None else ranked.limit(self.most_terms)).collect()  # the vocabulary
         self.weight = {r["term"]: (k, float(np.log((1 + n) / (1 + r["df"])) + 1)) for k, r in enumerate(rows)}
         k = max(2, min(self.dimensions, len(rows) - 1, n - 1))
         if len(rows) < 3 or n < 3:
@@ -60,14 +62,24 @@ class TfidfEmbedder:
             return self
         size, weight = len(rows), self.weight
         if n <= SMALL:
-            x = np.zeros((n, size), np.float32)
+            at, column, value = [], [], []
             for i, r in enumerate(df.select(self.terms(F.col(text)).alias("t")).collect()):
-                for j, w in _weights(r["t"], weight).items():
-                    x[i, j] = w
-            square, left = np.linalg.eigh((x @ x.T).astype(float))
+                got = _weights(r["t"], weight)
+                at.append(np.full(len(got), i, np.int32))
+                column.append(np.fromiter(got.keys(), np.int32, len(got)))
+                value.append(np.fromiter(got.values(), np.float32, len(got)))
+            at, column, value = np.concatenate(at), np.concatenate(column), np.concatenate(value)
+
+            def block(a: int) -> np.ndarray:
+                x, use = np.zeros((n, min(BLOCK_TERMS, size - a)), np.float32), (column >= a) & (column < a + BLOCK_TERMS)
+                x[at[use], column[use] - a] = value[use]
+                return x
+
+            starts = range(0, size, BLOCK_TERMS)
+            square, left = np.linalg.eigh(sum((x @ x.T).astype(float) for x in map(block, starts)))
             top = np.argsort(-square)[:k]
             top = top[square[top] > 1e-9 * square.max()]
-            self.projection = (x.T @ left[:, top] / np.sqrt(square[top])).astype(np.float32)
+            self.projection = np.concatenate([(x.T @ left[:, top] / np.sqrt(square[top])).astype(np.float32) for x in map(block, starts)])
             return self
         sparse = df.select(self.terms(F.col(text)).alias("t")).rdd.map(lambda r: Vectors.sparse(size, sorted(_weights(r["t"], weight).items())))
         python_ready(df.sparkSession)

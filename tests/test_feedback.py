@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pulsemap.functions import text as T
 from pulsemap.functions.lexicon import TURKISH, language
 from pulsemap.functions.sentiment import rating_sentiment, score_feedback, text_sentiment
-from pulsemap.operators import evaluate, mentions, scoring, stats, themes
+from pulsemap.operators import embed, evaluate, mentions, scoring, stats, themes
 from pulsemap.plans.queries import ORACLE, QUERIES
 from pulsemap.sources import feedback as S
 
@@ -164,6 +164,18 @@ def test_mentions_without_an_account_count(spark):
     assert got == {"t": (2, 2, 1.0, 2 / 3, "2024-01-02"), "u": (1, 1, 1.0, 1 / 3, "2024-01-03")}
 
 
+def test_the_whole_vocabulary_is_learned(spark):
+    r = np.random.default_rng(2)
+    said = [" ".join("".join(w) for w in r.choice(list("abcdefghijklmnopqrstuvwxyz"), (2500, 7))) for _ in range(3)]
+    df = spark.createDataFrame([(k, said[k % 3]) for k in range(9)], "id int, text string")
+    e = embed.TfidfEmbedder().fit(df)
+    want = {t for x in said for w in x.split() for p in [f" {w} "] for n in (3, 4, 5) for t in (f"c:{p[i : i + n]}" for i in range(len(p) - n + 1))}
+    assert want <= e.weight.keys() and len(e.weight) == len(e.projection) > 50_000
+    v = {x["id"]: np.array(x["vector"]) for x in e.encode(df).collect()}
+    assert all((v[a] @ v[b] > 0.999) == (a % 3 == b % 3) for a in v for b in v)
+    assert np.allclose(e.projection.T @ e.projection, np.eye(e.projection.shape[1]), atol=1e-3)
+
+
 def test_agreement_of_equal_labels(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "t string, p int")
     got = evaluate.agreement(evaluate.contingency(df, "t", "p")).first()

@@ -7,28 +7,32 @@ spines that meet at the boundary decides compatibility, and following the stored
 the end gives the exact ids.  Time is linear in the text, also for pre-tokens of a megabyte.
 
 Contract: a null text is an empty text and has no ids; an empty text has no ids; very long texts are
-encoded whole; repeated rows give repeated rows; extra input columns are dropped; the result has
+encoded whole; repeated rows give repeated rows; an empty table gives no rows; ties cannot arise, since
+one entry at most fits each prefix; extra input columns are dropped, whatever their names; the result has
 ``doc_id`` and ``ids`` (little-endian unsigned 32-bit), after decoding also ``text``.
 """
 
 from __future__ import annotations
 
 import json
+import string
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import python_ready, texts
+from .idtable import IdTable, batches_of, flattened, ranges
 
-#: Cache bounds per Python worker, in entries; a full cache is emptied, results do not change.
-PART_CACHE, TOKEN_CACHE, PAIR_CACHE = 400_000, 300_000, 1_500_000
-#: Longer strings are not cached.
-CACHED_CHARS = 48
+#: What a Python worker remembers, in words, pre-tokens and token pairs; results do not depend on it.
+WORD_CACHE, TOKEN_CACHE, PAIR_CACHE = 300_000, 300_000, 1_000_000
 #: Characters joined for one pass of the automaton.
 PASS_CHARS = 200_000
-OUT_BYTES = 8 << 20
+#: Bytes of text encoded at once; a longer text is encoded in parts, cut where no pre-token is.
+BATCH_BYTES = 4 << 20
 
 #: The pre-token pattern of the vocabulary files, and Unicode's white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -88,9 +92,13 @@ class Codec:
                 self.automaton.add_word(self.key[i], (i, len(self.key[i])))
         self.automaton.make_automaton()
         self.find = regex.compile(PATTERN).findall
+        self.find_safe = regex.compile(r"\w(?= \w)").search  # an added token with such a place would be cut: none has one
+        if any(self.find_safe(t) for t in self.added):
+            raise ValueError("an added token holds a space between word characters")
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
-        self.parts: dict[str, bytes | None] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.tokens = IdTable(self._solve, TOKEN_CACHE)
+        self.spaced = IdTable(lambda words: self._words(words, " "), WORD_CACHE)
+        self.bare = IdTable(self._words, WORD_CACHE)
 
     def _spine(self, i: int, side: int) -> list[int]:
         """The nodes of i's merge tree along one edge, leaf first."""
@@ -156,78 +164,86 @@ class Codec:
             out.append(array("I", ids).tobytes())
         return out
 
-    def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        """Ids of texts that are pre-tokenised on their own."""
-        tokens, cut, missing, size = self.tokens, [], {}, 0
-        if len(tokens) > TOKEN_CACHE:
-            tokens.clear()
-        fresh: dict[str, bytes] = {}
-
-        def solve() -> None:
-            for w, ids in zip(missing, self._dp(list(missing.values())), strict=True):
-                fresh[w] = ids
-                if len(w) <= CACHED_CHARS:
-                    tokens[w] = ids
-            missing.clear()
-
-        for part in parts:
-            found = self.find(part)
-            cut.append(found)
-            for w in found:
-                if w not in tokens and w not in fresh and w not in missing:
-                    raw = w.encode().decode("latin-1")
-                    i = self.whole.get(raw)
-                    if i is not None:
-                        tokens[w] = fresh[w] = array("I", [i]).tobytes()
-                        continue
-                    missing[w] = raw
-                    size += len(raw) + 1
-                    if size > PASS_CHARS:
-                        solve()
-                        size = 0
-        if missing:
-            solve()
-        return [b"".join([fresh[w] if w in fresh else tokens[w] for w in found]) for found in cut]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Parts between single spaces, spaces at their heads, repeat and are kept."""
-        parts, pieces = self.parts, []
-        if len(parts) > PART_CACHE:
-            parts.clear()
-        for text in texts:
-            if self.split_added is not None and any(a in text for a in self.added):
-                pieces.append(self.split_added(text))
-            else:
-                pieces.append([text])
-        new: dict[str, None] = {}
-        plans: list[list] = []
-        for cuts in pieces:
-            plan: list = []
-            for cut in cuts:
-                if cut in self.added:
-                    plan.append(array("I", [self.added[cut]]).tobytes())
-                    continue
-                if not cut:
-                    continue
-                words = cut.split(" ")
-                head = words[0]
-                if all([w and w[0] not in WHITE and w[-1] not in WHITE for w in words]):
-                    keys = [" " + w for w in words]
-                    keys[0] = head
-                else:
-                    keys = self._units(cut)
-                for k in keys:
-                    if k not in parts:
-                        new[k] = None
-                plan.append(keys)
-            plans.append(plan)
-        fresh: dict[str, bytes] = {}
-        if new:
-            for k, ids in zip(new, self._encode_parts(list(new)), strict=True):
-                fresh[k] = ids
-                if len(k) <= CACHED_CHARS:
-                    parts[k] = ids
-        return [b"".join([p if isinstance(p, bytes) else b"".join([parts[k] if k in parts else fresh[k] for k in p]) for p in plan]) for plan in plans]
+    def _solve(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens."""
+        out, raw, long = [], [], 0
+        for w in tokens:
+            raw.append(w.encode().decode("latin-1"))
+            long += len(raw[-1]) + 1
+            if long > PASS_CHARS:
+                out += self._dp(raw)
+                raw, long = [], 0
+        return flattened(out + self._dp(raw))
+
+    def _words(self, words: list[str], space: str = "") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are pre-tokenised on their own, each after ``space``. ASCII letters with marks behind are two pre-tokens, others are cut by the pattern."""
+        column = pa.array(words, pa.string())
+        heads = pc.utf8_rtrim(column, string.punctuation)
+        easy = pc.ascii_is_alpha(heads)
+        head, tail = heads.filter(easy), pc.utf8_ltrim(column.filter(easy), string.ascii_letters)
+        found = [self.find(space + w) for w in column.filter(pc.invert(easy)).to_pylist()]
+        easy, tailed = easy.to_numpy(zero_copy_only=False), pc.binary_length(tail).to_numpy() > 0
+        size = np.zeros(len(words), np.int64)
+        size[easy] = 1 + tailed
+        size[~easy] = np.fromiter(map(len, found), np.int64, len(found))
+        at = np.cumsum(size) - size
+        codes = np.zeros(size.sum(), np.int64)
+        if space:
+            head = pc.binary_join_element_wise("", head, space)
+        pieces = pa.concat_arrays([head, tail.filter(pa.array(tailed)), pa.array([w for f in found for w in f], pa.string())])
+        order = np.concatenate([at[easy], at[easy][tailed] + 1, ranges(at[~easy], size[~easy])])
+        codes[order] = self.tokens.codes(pieces)
+        ids, edges = self.tokens.ids(codes)
+        return ids, np.diff(edges[np.append(at, len(codes))])
+
+    def _cut(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts without added tokens. No pre-token crosses a place before a space between two other characters, so words, spaces at their heads, are looked up whole."""
+        odd = pc.match_substring_regex(texts, f" [{WHITE}]|[{WHITE}] ")
+        cut = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        at = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        words, first = cut.flatten(), np.zeros(at[-1], bool)
+        first[at[:-1]] = True
+        heads, head_edges = self.bare.ids(self.bare.codes(words.filter(pa.array(first))))
+        rest, rest_edges = self.spaced.ids(self.spaced.codes(words.filter(pa.array(~first))))
+        a, b = (4 * head_edges).tolist(), (4 * rest_edges[at - np.arange(len(at))]).tolist()
+        heads, rest = heads.tobytes(), rest.tobytes()
+        plain = iter([heads[a[k] : a[k + 1]] + rest[b[k] : b[k + 1]] for k in range(len(cut))])
+        units = [self._units(t) for t in texts.filter(odd).to_pylist()]
+        ids, edges = self.bare.ids(self.bare.codes(pa.array([u for us in units for u in us], pa.string())))
+        ends, raw = (4 * edges[np.cumsum([0, *map(len, units)])]).tolist(), ids.tobytes()
+        other = iter([raw[x:y] for x, y in zip(ends, ends[1:], strict=False)])
+        return [next(other if o else plain) for o in odd.to_pylist()]
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Ids of each text; none may be null."""
+        for known in (self.tokens, self.spaced, self.bare):
+            known.make_room()
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        special = np.zeros(len(texts), bool)
+        for content in self.added:
+            special |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        if not special.any():
+            return self._cut(texts)
+        plain = iter(self._cut(texts.filter(pa.array(~special))))
+        pieces = [self.split_added(t) for t in texts.filter(pa.array(special)).to_pylist()]
+        between = iter(self._cut(pa.array([p for ps in pieces for p in ps if p not in self.added], pa.string())))
+        other = iter([b"".join([array("I", [self.added[p]]).tobytes() if p in self.added else next(between) for p in ps]) for ps in pieces])
+        return [next(other if s else plain) for s in special.tolist()]
+
+    def encode_long(self, text: str, most: int = BATCH_BYTES) -> bytes:
+        """Ids of one text of any length, part by part."""
+        out, at = [], 0
+        edge = self.safe(text, most)
+        while edge:
+            out += self.encode([text[at:edge]])
+            at = edge
+            edge = self.safe(text, at + most)
+        return b"".join(out + self.encode([text[at:]]))
+
+    def safe(self, text: str, at: int) -> int:
+        """The first place from ``at`` on before a space between two word characters, outside added tokens; 0 if there is none."""
+        found = self.find_safe(text, at)
+        return found.start() + 1 if found else 0
 
     @staticmethod
     def _units(text: str) -> list[str]:
@@ -252,23 +268,29 @@ def codec(tokenizer_json: bytes) -> Codec:
     return _CODECS[k]
 
 
-def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for k in range(0, batch.num_rows, rows):
-        yield batch.slice(k, rows)
-
-
-def encode_documents(docs: DataFrame, tokenizer_json: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids): one row for each row, in place, without a shuffle."""
+def _recoded(docs: DataFrame, tokenizer_json: bytes, decode: bool) -> DataFrame:
     python_ready(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(held.value)
         for batch in batches:
-            for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(c.encode(part.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
+            for part in batches_of(batch, 1, BATCH_BYTES):
+                ids = c.encode(part.column(1)) if part.num_rows > 1 else [c.encode_long(part.column(1)[0].as_py())]
+                more = [pa.array([c.decode(x) for x in ids], pa.string())] if decode else []
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), *more], ["doc_id", "ids", "text"][: 2 + decode])
+
+    return docs.mapInArrow(run, "doc_id long, ids binary" + ", text string" * decode)
+
+
+def encode_documents(docs: DataFrame, tokenizer_json: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids): one row for each row, in place, without a shuffle."""
+    return _recoded(texts(docs, text, doc_id), tokenizer_json, decode=False)
+
 
-    return texts(docs, text, doc_id).mapInArrow(run, "doc_id long, ids binary")
+def recode_documents(docs: DataFrame, tokenizer_json: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids, text): the ids and the text decoded from them, in one pass."""
+    return _recoded(texts(docs, text, doc_id), tokenizer_json, decode=True)
 
 
 def decode_documents(encoded: DataFrame, tokenizer_json: bytes) -> DataFrame:
@@ -279,7 +301,7 @@ def decode_documents(encoded: DataFrame, tokenizer_json: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(held.value)
         for batch in batches:
-            for part in slices(batch):
+            for part in batches_of(batch, 1, 1 << 20):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([None if x is None else c.decode(x) for x in part.column(1).to_pylist()], pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")

@@ -65,8 +65,7 @@ from t group by conv_id
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = vocabulary("byte_bpe_50k.json")
-    coded = bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"), vocab), vocab)
+    coded = bpe.recode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -7,11 +7,13 @@ anything reads, so a lost task leaves a file no row points to.  Of equal payload
 
 Reading: the index rows of the wanted records are sorted by place, neighbouring ranges are joined into one
 read while the gap is small and the read is not too long, and records are cut from what was read.  A
-response's payload is checked against its digest.
+response's payload is checked against its digest.  The number of reading tasks follows from the bytes to
+read, not from the size of the index.
 
-Contract: null html is an empty payload; a null URL is left out; equal ids are equal pages' own affair:
-every row is a record; payloads of any length are written whole; an empty table gives an empty index;
-extra columns are dropped.  The payload's length stands in the block's HTTP header, for revisits too.
+Contract: null html is an empty payload; a null URL is left out; every row is a record, also of rows with
+equal ids or wholly repeated ones: of equal payloads all rows with the smallest id are responses, and a
+row without an id is a response; payloads of any length are written whole; an empty table gives an empty
+index; extra columns are dropped, whatever their names.  The payload's length stands in the block's HTTP header, for revisits too.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import python_ready, saved, shared_dir
 
 LEAST_BYTES = 100
-#: An archive is closed beyond this size; ranges are read together over gaps up to GAP, to READ at most.
-ARCHIVE, GAP, READ, LEVEL = 512 << 20, 64 << 10, 8 << 20, 1
+#: An archive is closed beyond this size; ranges are read together over gaps up to GAP, to READ at most; a task reads about TASK.
+ARCHIVE, GAP, READ, TASK, LEVEL = 512 << 20, 64 << 10, 8 << 20, 16 << 20, 1
 DATE = "2000-01-01T00:00:00Z"
 INDEX = "page_id long, url string, digest string, record_type string, refers_to long, file string, offset long, length long"
 _INDEX = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
@@ -150,5 +152,7 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _RECORDS.types, strict=True)], schema=_RECORDS)
                 k = end
 
-    span = F.floor(F.col("offset") / (4 * READ))
-    return index.select("file", "offset", "length").repartition("file", span).sortWithinPartitions("file", "offset").mapInArrow(run, RECORDS)
+    places = index.select("file", "offset", "length")
+    total = places.agg(F.sum("length")).first()[0] or 0
+    span = F.floor(F.col("offset") / READ)
+    return places.repartition(max(1, -(-total // TASK)), "file", span).sortWithinPartitions("file", "offset").mapInArrow(run, RECORDS)

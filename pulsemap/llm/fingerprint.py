@@ -5,8 +5,10 @@ parts merge to the sketch of the whole, and two of them estimate resemblance, co
 of distinct shingles.  Words are runs of letters and digits, lower-cased.
 
 Contract: a null text is an empty one, whose sketch is empty; a text of fewer than five words has one
-shingle, all of it; two empty sketches resemble each other fully, an empty and another not at all; equal
-texts have equal sketches whatever row they stand in; extra columns are dropped.
+shingle, all of it; very long texts are read whole; two empty sketches resemble each other fully, an empty
+and another not at all; equal texts have equal sketches whatever row they stand in; repeated rows follow
+one another; ties of ids go by text, rows without an id come first; an empty table gives no rows; extra
+columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 K, WORDS = 128, 5
-#: Rows aimed at for each stretch of neighbouring ids, and the most stretches (their first ids are one small table).
-STRETCH_ROWS, MOST_STRETCHES = 1024, 65_536
+#: Rows aimed at for each stretch of neighbouring ids; the most stretches, whose first ids are one small table; cuts by quantiles.
+STRETCH_ROWS, MOST_STRETCHES, CUTS = 1024, 1 << 20, 1024
 
 
 def with_sketch(df: DataFrame, text: str, name: str, k: int = K, words: int = WORDS) -> DataFrame:
@@ -60,16 +62,27 @@ def as_text(sketch: Column) -> Column:
 def with_next(docs: DataFrame, stretch_rows: int = STRETCH_ROWS) -> DataFrame:
     """(doc_id, text, sketch, next_text, next_sketch): each document beside the next in order of doc_id (equal ids by text; null ids first); the first follows the last.
 
-    Ids are cut into stretches of equal width, and a copy of each stretch's first rows ends the stretch
-    before it, so the neighbours meet without a global sort. Only the stretches' first ids form a table
-    of their own, of bounded size.
+    Ids are cut at their quantiles, and between two cuts into stretches of equal width, so uneven ids
+    spread too. A copy of each stretch's first rows ends the stretch before it, and the neighbours meet
+    without a global sort. Only the stretches' first ids form a table of their own, of bounded size. Rows
+    of one id stay together.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
+    probs = [k / CUTS for k in range(CUTS)]
+    low, high, n, found = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1)), F.percentile_approx("doc_id", probs, 10 * CUTS)).first()
     low, high = (0, 0) if low is None else (low, high)
-    count = max(1, min(MOST_STRETCHES, -(-n // stretch_rows), high - low + 1))
-    width = -(-(high - low + 1) // count)
-    key = F.coalesce(F.col("doc_id"), F.lit(low - 1))
-    placed = docs.withColumn("_key", key).withColumn("_stretch", F.expr(f"cast((greatest(_key, {low}L) - {low}L) div {width}L as int)"))
+    cuts = sorted({low, *(found or [])})
+    parts = -(-n // stretch_rows) if n <= stretch_rows * MOST_STRETCHES else MOST_STRETCHES
+    cuts = cuts[:: max(1, -(-len(cuts) // max(1, parts)))]
+    each = max(1, parts // len(cuts))
+    widths = [max(1, -(-(b - a) // each)) for a, b in zip(cuts, [*cuts[1:], high + 1], strict=True)]
+    longs = lambda xs: F.expr(f"cast(split('{','.join(map(str, xs))}', ',') as array<bigint>)")
+    key = F.coalesce(F.col("doc_id"), F.lit(low))
+    # the last cut at or below the key, by halving steps
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
+    nth = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.try_element_at(longs(cuts), at + step) <= F.col("_key")), at + step).otherwise(at))
+    placed = docs.withColumn("_key", key).withColumn("_cut", nth)
+    past = F.col("_key").cast("decimal(20,0)") - F.element_at(longs(cuts), F.col("_cut")) if max(widths) * each >= 1 << 63 else F.col("_key") - F.element_at(longs(cuts), F.col("_cut"))
+    placed = placed.withColumn("_stretch", F.col("_cut").cast("long") * (1 << 32) + F.floor(past / F.element_at(longs(widths), F.col("_cut")) if each > 1 else F.lit(0)).cast("long")).drop("_cut")
     heads = placed.groupBy("_stretch").agg(F.min("_key").alias("_head"))
     order = Window.orderBy("_stretch")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -78,7 +91,7 @@ def with_next(docs: DataFrame, stretch_rows: int = STRETCH_ROWS) -> DataFrame:
         "doc_id", "text", "_key", F.explode(F.when(F.col("_before").isNull(), F.array(F.struct(F.col("_stretch"), F.lit(False).alias("_copy")))).otherwise(F.array(F.struct(F.col("_stretch"), F.lit(False).alias("_copy")), F.struct(F.col("_before").alias("_stretch"), F.lit(True).alias("_copy"))))).alias("_to")
     )
     dealt = copied.select("doc_id", "text", "_key", F.col("_to._stretch").alias("_stretch"), F.col("_to._copy").alias("_copy")).repartition("_stretch")
-    after = Window.partitionBy("_stretch").orderBy("_copy", "_key", "text")
+    after = Window.partitionBy("_stretch").orderBy("_copy", F.col("doc_id").asc_nulls_first(), "text")
     return (
         with_sketch(dealt, "text", "sketch")
         .withColumns({"next_text": F.lead("text").over(after), "next_sketch": F.lead("sketch").over(after)})

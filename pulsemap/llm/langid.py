@@ -2,13 +2,15 @@
 
 Texts are lower-cased, runs of other characters than letters become one space, and the one- to
 three-character grams are hashed into ``BUCKETS``.  Training counts grams of at most about
-``ROWS_PER_LANG`` rows a language, drawn by a hash of the id; the matrix of log-probabilities
-(buckets x languages) is broadcast, its size fixed by the number of languages, which is checked.
-Scoring adds the matrix rows of a batch's grams up by document in numpy, over whole texts.
+``ROWS_PER_LANG`` rows a language, drawn by a hash of the id, of the ``MOST_LANGS`` languages with most
+rows (equals by name), two documented bounds of what the classifier is fitted to; the matrix of
+log-probabilities (buckets x languages) is broadcast.  Scoring adds the matrix rows of a batch's grams up
+by document in numpy, over whole texts, in pieces whose size falls with the number of languages.
 
 Contract: null text, or text without a letter: ``und`` with score 0; equal probability goes to the first
 language by name; without training rows every document is ``und``; very long texts are scored in pieces
-whose sums are added; repeated rows are scored each; extra columns are dropped.
+whose sums are added; repeated rows are scored each; an empty table gives no rows; extra columns are
+dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +28,8 @@ from .common import python_ready, texts
 
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.1
 ROWS_PER_LANG, MOST_LANGS = 2000, 1000
-#: Characters scored at once.
-PIECE = 1 << 20
+#: Characters scored at once, and characters times languages.
+PIECE, CELLS = 1 << 20, 1 << 23
 UNKNOWN = "und"
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
@@ -60,15 +63,15 @@ def grams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.stack(out), start, has
 
 
-def pieces_of(texts_: list[str]) -> Iterator[tuple[list[str], list[int]]]:
-    """Whole texts in lots of about PIECE characters, longer ones cut: pieces and the numbers of their texts."""
+def pieces_of(texts_: list[str], most: int = PIECE) -> Iterator[tuple[list[str], list[int]]]:
+    """Whole texts in lots of about ``most`` characters, longer ones cut: pieces and the numbers of their texts."""
     lot, owner, size = [], [], 0
     for i, t in enumerate(texts_):
-        for k in range(0, max(1, len(t)), PIECE):
-            lot.append(t[k : k + PIECE])
+        for k in range(0, max(1, len(t)), most):
+            lot.append(t[k : k + most])
             owner.append(i)
             size += len(lot[-1])
-            if size >= PIECE:
+            if size >= most:
                 yield lot, owner
                 lot, owner, size = [], [], 0
     if lot:
@@ -91,7 +94,7 @@ class Model:
         """Language, score, and whether there is a letter: without languages all texts are UNKNOWN, with a letter or not."""
         n = len(self.langs)
         total, letter = np.zeros((len(texts_), n)), np.zeros(len(texts_), bool)
-        for lot, owner in pieces_of(texts_):
+        for lot, owner in pieces_of(texts_, max(1024, min(PIECE, CELLS // max(1, n)))):
             hashed, start, has = grams(lot)
             at = np.array(owner)
             np.logical_or.at(letter, at, has)
@@ -109,16 +112,14 @@ class Model:
 def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, most_langs: int = MOST_LANGS) -> Model:
     """Learns from text and lang of the documents that are not held out."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    found = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(most_langs + 1).collect()}
-    if len(found) > most_langs:
-        raise ValueError(f"more than {most_langs} languages")
+    found = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     langs = sorted(found)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     share = F.lit(0.0)
     for lang in langs:
         share = F.when(F.col("lang") == lang, min(1.0, rows_per_lang / found[lang])).otherwise(share)
-    sample = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
+    sample = usable.filter(F.col("lang").isin(langs) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)).select("lang", "text")
     python_ready(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,11 +137,9 @@ def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, most_langs: int =
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(got[at], pa.int64())], ["lang", "bucket", "n"])
 
     # at most BUCKETS rows a language
-    summed = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros((BUCKETS, len(langs)))
-    place = {lang: k for k, lang in enumerate(langs)}
-    for r in summed:
-        counts[r["bucket"], place[r["lang"]]] = r["n"]
+    summed = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts, place = np.zeros((BUCKETS, len(langs))), {lang: k for k, lang in enumerate(langs)}
+    counts[summed["bucket"].to_numpy(), np.array([place[x] for x in summed["lang"].to_pylist()], int)] = summed["n"].to_numpy()
     table = np.log((counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * BUCKETS)).astype(np.float32)
     sizes = np.array([found[lang] for lang in langs], float)
     return Model(langs, table, np.log(sizes / sizes.sum()))
@@ -161,15 +160,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents, all columns as they were, that hold a letter, whether or not the model knows a language."""
+    """The documents that hold a letter, whether or not the model knows a language; a null ``lang`` becomes the predicted one, all else stays."""
     spark = docs.sparkSession
     python_ready(spark)
     held = spark.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at, lang = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, _, letter = held.value.judge([t or "" for t in batch.column(at).to_pylist()])
+            found, _, letter = held.value.judge([t or "" for t in batch.column(at).to_pylist()])
+            if lang is not None and held.value.langs:
+                filled = pc.coalesce(batch.column(lang), pa.array(found, batch.schema.field(lang).type))
+                batch = pa.RecordBatch.from_arrays([filled if k == lang else c for k, c in enumerate(batch.columns)], schema=batch.schema)
             yield batch.filter(pa.array(letter, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -8,17 +8,22 @@ which they differ, and drops a pair that exceeds the budget.  Pairs are not emit
 it links and sends one row for each fingerprint that is not the smallest of its set, which keeps every
 connection and no quadratic output.  Components are then found by repeated minimum and pointer jumping.
 
-A group of more than ``block_rows`` fingerprints is cut into ranges of the trie, and every pair of its
-ranges is a unit of its own that any task can take, so a hot block value does not land in one task.
+A group of more than ``block_rows`` fingerprints is cut into parts by a few of its bits, those nearest to
+one half ones.  Only parts whose bits differ within the budget are paired, and only parts that exist, so a
+fingerprint is copied a few dozen times however large the group is.  A part that stays too large, since
+its members hardly differ, is cut further by a hash.  Every pair of parts is a unit that any task can take.
 
 Contract: a null or empty text, or one of white space only, has fingerprint zero and is linked like any
-other; with fewer than three words the whole sequence is the one shingle; equal texts share a component;
-rows with equal ids count as one document's; an empty table gives no rows; extra columns are dropped.
+other; with fewer than three words the whole sequence is the one shingle; very long texts are read whole,
+their shingles' bits summed in lots; equal texts share a component; rows with equal ids count as one
+document's, repeated rows come back each; a tie, a bit set in just half the shingles, is zero; an empty
+table gives no rows; extra columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import python_ready, saved, texts
+from .common import forget, python_ready, saved, texts
 
 BITS, BUDGET, SHINGLE, SEED = 64, 3, 3, 42
-#: Largest unit of the join, in fingerprints; larger groups are cut.
-BLOCK_ROWS = 2048
+#: Largest part of a group, in fingerprints; larger groups are cut, by at most CUT_BITS bits before the hash.
+BLOCK_ROWS, CUT_BITS = 2048, 20
 #: Node pairs walked at once, and shingles summed at once.
 WALK, SUM = 1 << 18, 1 << 16
 
@@ -128,7 +133,6 @@ def trie_join(fps: np.ndarray, nodes: np.ndarray, budget: int = BUDGET) -> np.nd
         alone = (n[:, 0] == n[:, 2]) & (n[:, 1] - n[:, 0] == 1)
         keep = (n[:, 1] > n[:, 0]) & (n[:, 3] > n[:, 2]) & (far <= budget) & ~alone
         n, far = n[keep], far[keep]
-        # a pair of nodes whose leaves are all one set already has nothing to add
         if len(n):
             stack.append((bit - 1, n, far))
     return sets.root
@@ -169,31 +173,55 @@ def _join_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield joined(np.concatenate(held))
 
 
+def _cuts(keyed: DataFrame, block_rows: int) -> DataFrame:
+    """(block, bits) for groups beyond block_rows: enough bits, those whose ones are nearest to half of the group, to cut it into parts of that size."""
+    ones = [F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(1)).alias(f"ones{b}") for b in range(BITS)]
+    many = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n"), *ones).filter(F.col("n") > block_rows)
+    ranked = F.array_sort(F.array(*[F.struct(F.abs(F.col(f"ones{b}") * 2 - F.col("n")).alias("off"), F.lit(b).alias("bit")) for b in range(BITS)]))
+    count = F.least(F.ceil(F.log2(F.col("n") / block_rows)) + 1, F.lit(CUT_BITS)).cast("int")
+    return many.select("block", F.transform(F.slice(ranked, 1, count), lambda x: x["bit"]).alias("bits"))
+
+
+def _masks(bits: int, budget: int) -> list[int]:
+    """The numbers of so many bits with at most budget ones."""
+    return [sum(1 << b for b in some) for k in range(min(bits, budget) + 1) for some in combinations(range(bits), k)]
+
+
 def links(fps: DataFrame, block_rows: int = BLOCK_ROWS, budget: int = BUDGET) -> DataFrame:
     """(a, b): for distinct fingerprints ``fp``, rows that connect exactly what is within the budget, directly or through others."""
     spark = fps.sparkSession
     width = BITS // (budget + 1)
     keyed = fps.select("fp", F.explode(F.array(*[F.lit(k) * (1 << width) + F.shiftrightunsigned("fp", width * k).bitwiseAND((1 << width) - 1) for k in range(budget + 1)])).alias("block"))
-    large = saved(keyed.groupBy("block").count().filter(F.col("count") > block_rows), "hot-blocks")
+    large = saved(_cuts(keyed, block_rows), "hot-blocks")
+    whole = lambda df: df.select("block", *[F.lit(0).cast("long").alias(c) for c in ("lo", "hi", "part")], "fp")
     n = large.count()
-    if n:  # beside the cut groups the others pass through unchanged
-        parts = keyed.join(F.broadcast(large) if n <= 100_000 else large, "block", "left").withColumn("m", F.coalesce(F.ceil(F.col("count") / block_rows), F.lit(1)).cast("long"))
+    if not n:
+        units = whole(keyed)
     else:
-        parts = keyed.withColumn("m", F.lit(1).cast("long"))
-    parts = parts.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("m"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    units = parts.select("block", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "fp")
+        named = F.broadcast(large) if n <= 100_000 else large  # at most 4 * 65,536 rows
+        place = F.aggregate("bits", F.lit(0).cast("long"), lambda acc, b: acc * 2 + F.call_function("getbit", F.col("fp"), b).cast("long"))
+        cut = saved(keyed.join(named, "block").select("block", F.size("bits").alias("p"), place.alias("cell"), "fp"), "hot-parts")
+        sizes = saved(cut.groupBy("block", "p", "cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("m")), "hot-sizes")
+        masks = spark.createDataFrame([(p, m) for p in range(CUT_BITS + 1) for m in _masks(p, budget)], "p int, mask long")
+        other = sizes.select("block", F.col("cell").alias("other"), F.col("m").alias("m_other"))
+        near = sizes.join(F.broadcast(masks), "p").withColumn("other", F.col("cell").bitwiseXOR(F.col("mask"))).join(other, ["block", "other"]).select("block", "cell", "m", "other", "m_other")
+        own = F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("fp"), F.col("m"))
+        to = F.explode(F.sequence(F.lit(0).cast("long"), F.col("m_other") - 1))
+        pairs = cut.join(near, ["block", "cell"]).select("block", own.alias("part"), "fp", "other", to.alias("sub")).withColumn("other", F.col("other") * (1 << 32) + F.col("sub"))
+        hot = pairs.select("block", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "fp")
+        units = hot.union(whole(keyed.join(named, "block", "left_anti")))
     return units.repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi").mapInArrow(_join_units, "a long, b long")
 
 
-def components(edges: DataFrame, name: str = "components", most_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(v, root) for every vertex of (a, b) that is not the smallest of its component.
 
-    Each round ties a vertex and its neighbours to the smallest of them, until nothing changes; the number
-    of rounds is about the logarithm of the longest path. Every round is a table in the shared folder.
+    Each round ties a vertex and its neighbours to the smallest of them, until nothing changes, which always
+    comes, as roots only fall; the number of rounds is about the logarithm of the longest path. Every round is a table in the shared folder.
     """
     now = saved(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("root")).filter("v != root").distinct(), name)
     seen = None
-    for _ in range(most_rounds):
+    while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "root").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             return now
@@ -202,8 +230,8 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 10
         least = saved(both.groupBy("u").agg(F.min("w").alias("w")).select("u", F.least("u", "w").alias("least")), name)
         # a side of its own table: adaptive execution may split a vertex with very many neighbours
         moved = both.join(least, "u").select(F.col("w").alias("v"), F.col("least").alias("root")).union(least.select(F.col("u").alias("v"), F.col("least").alias("root")))
-        now = saved(moved.filter("v != root").distinct(), name)
-    raise RuntimeError("components did not settle")
+        before, now = now, saved(moved.filter("v != root").distinct(), name)
+        forget(before, least)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:

@@ -48,7 +48,7 @@ apache-2 70 .9 apache apache (?:software )?licen[sc]e V2(?: 0)?
 apache-2 60 .85 apache (?:www )?apache org licenses(?: license)? 2 0
 apache-2 55 .8 apache apache 2(?: 0)? licen[sc]ed?
 apache-2 45 .7 asl asl 2(?: 0)?
-apache-2 45 .7 apache (?:asl|al) 2(?: 0)?
+apache-2 45 .7 apache al 2(?: 0)?
 apache-1.1 70 .9 apache apache (?:software )?licen[sc]e V1 1
 apache-1.0 68 .9 apache apache (?:software )?licen[sc]e V1 0
 apache 30 .5 apache apache (?:software )?licen[sc]e

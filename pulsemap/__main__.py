@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import SparkSession
 
@@ -67,7 +68,8 @@ def main(argv: list[str] | None = None) -> None:
     measures = evaluation.as_json(evaluation.evaluate_all(a, data))
     print(measures)
     if o.command == "demo":
-        report.write_report(a, o.out)
+        known = {f"{table}, {k}": v for table, rows in json.loads(measures).items() if len(rows) == 1 for k, v in rows[0].items()}
+        report.write_report(a, o.out, measures=known)
     elif o.json:
         with open(o.json, "w") as f:
             f.write(measures)

@@ -1,8 +1,14 @@
-"""Text vectors: TF-IDF of words and characters, reduced by a singular value decomposition."""
+"""Text vectors: TF-IDF of words and characters, reduced by a singular value decomposition; encoders that users bring; both together.
+
+An embedder has ``name``, ``fit(df, text)``, which gives the embedder, and ``encode(df, text)``, which adds unit
+vectors ``vector``. Those with a part for meaning alone also have ``semantic(vector)``, that part as unit vector.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +16,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from ..functions.text import unit
 from ..functions.workers import python_ready
 
 #: The vectors of the whole vocabulary (terms x dimensions) are broadcast.
 MOST_DIMENSIONS = 128
-#: Up to so many texts the decomposition is one of their products, on the driver (at most SMALL x BLOCK_TERMS floats at once).
-SMALL, BLOCK_TERMS = 1000, 50_000
+#: The decomposition: dimensions beyond those wanted, passes over the texts, weights a task, weights and terms at once.
+SPARE, PASSES, TASK_WEIGHTS, LOT, BLOCK_TERMS = 10, 6, 400_000, 100_000, 100_000
+
+
+class Embedder(Protocol):
+    name: str
+
+    def fit(self, df: DataFrame, text: str = "text") -> Embedder: ...
+
+    def encode(self, df: DataFrame, text: str = "text") -> DataFrame: ...
 
 
 class TfidfEmbedder:
@@ -24,13 +39,13 @@ class TfidfEmbedder:
     Word terms: one and two words, in at least 2 texts and at most 40 % of them; character terms: three to
     five characters within padded words, in at least 3 texts. Sublinear counts, smooth idf, each of the two
     parts of unit length. All such terms are kept, however many; the driver and every worker hold their
-    vectors. Only where ``most_terms`` is given, those in most texts stay.
+    vectors. The decomposition is a randomized one with a fixed seed, the same for any number of texts.
     """
 
     name = "tfidf"
 
-    def __init__(self, stop: tuple[str, ...] = (), dimensions: int = MOST_DIMENSIONS, most_terms: int | None = None):
-        self.stop, self.dimensions, self.most_terms = stop, dimensions, most_terms
+    def __init__(self, stop: tuple[str, ...] = (), dimensions: int = MOST_DIMENSIONS):
+        self.stop, self.dimensions = stop, dimensions
         self.weight: dict[str, tuple[int, float]] = {}
         self.projection = np.zeros((0, 0), np.float32)
 
@@ -46,46 +61,80 @@ class TfidfEmbedder:
         return F.concat(F.transform(F.concat(kept, pairs), lambda w: F.concat(F.lit("w:"), w)), chars)
 
     def fit(self, df: DataFrame, text: str = "text") -> TfidfEmbedder:
-        from pyspark.mllib.linalg import Vectors
-        from pyspark.mllib.linalg.distributed import RowMatrix
-
-        n = df.count()
-        seen = df.select(F.explode(F.array_distinct(self.terms(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        python_ready(df.sparkSession)
+        termed = df.select(self.terms(F.coalesce(F.col(text), F.lit(""))).alias("t")).cache()
+        n = termed.count()
+        seen = termed.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         word = F.startswith("term", F.lit("w:"))
         fit = seen.filter((word & (F.col("df") >= 2) & (F.col("df") <= 0.4 * n)) | (~word & (F.col("df") >= 3)))
-        ranked = fit.orderBy(F.desc("df"), "term")
-        rows = (ranked if self.most_terms is None else ranked.limit(self.most_terms)).collect()  # the vocabulary
-        self.weight = {r["term"]: (k, float(np.log((1 + n) / (1 + r["df"])) + 1)) for k, r in enumerate(rows)}
-        k = max(2, min(self.dimensions, len(rows) - 1, n - 1))
-        if len(rows) < 3 or n < 3:
-            self.projection = np.eye(max(1, len(rows)), dtype=np.float32)
-            return self
-        size, weight = len(rows), self.weight
-        if n <= SMALL:
-            at, column, value = [], [], []
-            for i, r in enumerate(df.select(self.terms(F.col(text)).alias("t")).collect()):
-                got = _weights(r["t"], weight)
-                at.append(np.full(len(got), i, np.int32))
-                column.append(np.fromiter(got.keys(), np.int32, len(got)))
-                value.append(np.fromiter(got.values(), np.float32, len(got)))
-            at, column, value = np.concatenate(at), np.concatenate(column), np.concatenate(value)
-
-            def block(a: int) -> np.ndarray:
-                x, use = np.zeros((n, min(BLOCK_TERMS, size - a)), np.float32), (column >= a) & (column < a + BLOCK_TERMS)
-                x[at[use], column[use] - a] = value[use]
-                return x
-
-            starts = range(0, size, BLOCK_TERMS)
-            square, left = np.linalg.eigh(sum((x @ x.T).astype(float) for x in map(block, starts)))
-            top = np.argsort(-square)[:k]
-            top = top[square[top] > 1e-9 * square.max()]
-            self.projection = np.concatenate([(x.T @ left[:, top] / np.sqrt(square[top])).astype(np.float32) for x in map(block, starts)])
-            return self
-        sparse = df.select(self.terms(F.col(text)).alias("t")).rdd.map(lambda r: Vectors.sparse(size, sorted(_weights(r["t"], weight).items())))
-        python_ready(df.sparkSession)
-        self.projection = RowMatrix(sparse.cache()).computeSVD(k).V.toArray().astype(np.float32)
+        found = fit.orderBy("term").toArrow()  # the vocabulary
+        self.weight = {t: (k, float(w)) for k, (t, w) in enumerate(zip(found["term"].to_pylist(), np.log((1 + n) / (1 + found["df"].to_numpy())) + 1, strict=True))}
+        if len(self.weight) < 3 or n < 3:
+            self.projection = np.eye(max(1, len(self.weight)), dtype=np.float32)
+        else:
+            self.projection = self._decomposed(termed, max(2, min(self.dimensions, len(self.weight) - 1, n - 1)))
+        termed.unpersist()
         return self
 
+    def _decomposed(self, termed: DataFrame, k: int) -> np.ndarray:
+        """The leading k right singular vectors of the weights (texts x terms), columns of unit length.
+
+        Subspace iteration: each pass multiplies the terms' vectors by the weights and their transpose, in
+        tasks that send back one matrix each; between passes the columns are made orthogonal on the driver.
+        """
+        sc, size, held = termed.sparkSession.sparkContext, len(self.weight), termed.sparkSession.sparkContext.broadcast(self.weight)
+
+        def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [_weights(t, held.value) for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.float32()))], ["at", "x"])
+
+        sparse = termed.mapInArrow(weights, "at array<int>, x array<float>").cache()
+        total = sparse.agg(F.sum(F.size("at"))).first()[0] or 0
+        dealt = sparse.repartition(int(min(64, total // TASK_WEIGHTS + 1))).cache()
+
+        def squared(w: np.ndarray) -> np.ndarray:
+            vectors = sc.broadcast(w.astype(np.float32))
+
+            def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                v, out = vectors.value, None
+                for batch in batches:
+                    at, x, ends = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy(), batch.column(0).offsets.to_numpy()
+                    ends, row = ends - ends[0], 0
+                    while row < batch.num_rows:
+                        to = max(row + 1, int(np.searchsorted(ends, ends[row] + LOT, "right")) - 1)
+                        i, y, owner = at[ends[row] : ends[to]], x[ends[row] : ends[to]], np.repeat(np.arange(to - row), np.diff(ends[row : to + 1]))
+                        row = to
+                        if not len(i):
+                            continue
+                        out = np.zeros_like(v) if out is None else out
+                        texts = np.zeros((owner[-1] + 1, v.shape[1]), np.float32)
+                        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+                        texts[owner[first]] = np.add.reduceat(v[i] * y[:, None], first)
+                        order = np.argsort(i, kind="stable")
+                        i, sums = i[order], texts[owner[order]] * y[order, None]
+                        first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+                        out[i[first]] += np.add.reduceat(sums, first)
+                for a in range(0, 0 if out is None else len(out), BLOCK_TERMS):
+                    yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([out[a : a + BLOCK_TERMS].tobytes()], pa.binary())], ["a", "z"])
+
+            z = np.zeros(w.shape)
+            for r in dealt.mapInArrow(part, "a long, z binary").toLocalIterator():
+                got = np.frombuffer(r["z"], np.float32).reshape(-1, w.shape[1])
+                z[r["a"] : r["a"] + len(got)] += got
+            vectors.unpersist()
+            return z
+
+        w = np.linalg.qr(np.random.default_rng(0).standard_normal((size, min(k + SPARE, size))))[0]
+        for _ in range(PASSES):
+            w = np.linalg.qr(squared(w))[0]
+        values, turn = np.linalg.eigh(w.T @ squared(w))
+        dealt.unpersist()
+        sparse.unpersist()
+        top = np.argsort(-values)[:k]
+        top = top[values[top] > 1e-6 * values.max()]
+        return (w @ turn[:, top]).astype(np.float32)
+
     def encode(self, df: DataFrame, text: str = "text") -> DataFrame:
         spark = df.sparkSession
         python_ready(spark)
@@ -121,8 +170,76 @@ def _weights(terms, weight: dict[str, tuple[int, float]]) -> dict[int, float]:
     return out
 
 
-def get_embedder(name: str = "tfidf", **options) -> TfidfEmbedder:
-    """Sentence encoders need model weights, which are not here: their names fall back to TF-IDF."""
-    if name not in ("tfidf", "hybrid", "hybrid_multilingual", "minilm", "multilingual", "st"):
-        raise ValueError(f"unknown embedding {name!r}")
+def _encoded(df: DataFrame, text: str, encode: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """df with ``vector`` from a function of texts, run over batches in Python workers."""
+    python_ready(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = np.asarray(encode(batch.column(batch.num_columns - 1).to_pylist()), float) if batch.num_rows else np.zeros((0, 1))
+            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(list(v), pa.list_(pa.float64()))], [*batch.schema.names[:-1], "vector"])
+
+    schema = StructType([*df.schema.fields, StructField("vector", ArrayType(DoubleType()))])
+    return df.select("*", F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, schema)
+
+
+class SentenceEmbedder:
+    """Unit vectors of a sentence encoder that the user brings: ``encode(texts)`` gives one row a text. It is sent to the workers, so it must pickle, or load its model there."""
+
+    def __init__(self, encode: Callable[[list[str]], np.ndarray], name: str = "sentence"):
+        self.function, self.name = encode, name
+
+    def fit(self, df: DataFrame, text: str = "text") -> SentenceEmbedder:
+        return self
+
+    def encode(self, df: DataFrame, text: str = "text") -> DataFrame:
+        return _encoded(df, text, self.function)
+
+    def semantic(self, vector: Column) -> Column:
+        return vector
+
+
+class HybridEmbedder:
+    """Two embedders' vectors side by side, scaled so that the cosine is their weighted mean: ``weight`` for meaning, the rest for words."""
+
+    name = "hybrid"
+
+    def __init__(self, meaning: Embedder, words: Embedder, weight: float = 0.8):
+        self.meaning, self.words, self.weight, self.split = meaning, words, weight, None
+
+    def fit(self, df: DataFrame, text: str = "text") -> HybridEmbedder:
+        self.meaning, self.words = self.meaning.fit(df, text), self.words.fit(df, text)
+        return self
+
+    def encode(self, df: DataFrame, text: str = "text") -> DataFrame:
+        scaled = lambda column, share: F.transform(column, lambda x: x * float(np.sqrt(share)))
+        one = self.meaning.encode(df, text).withColumnRenamed("vector", "_meaning")
+        if self.split is None:
+            first = one.select(F.size("_meaning")).first()
+            self.split = first[0] if first else 0
+        both = self.words.encode(one, text)
+        return both.withColumn("vector", F.concat(scaled("_meaning", self.weight), scaled("vector", 1 - self.weight))).drop("_meaning")
+
+    def semantic(self, vector: Column) -> Column:
+        return unit(F.slice(vector, 1, self.split))
+
+
+#: The share of meaning in hybrid vectors, by language.
+MEANING = {"en": 0.8, "tr": 0.65}
+NAMES = ("tfidf", "hybrid", "minilm", "multilingual")
+
+
+def get_embedder(name: str = "tfidf", encode: Callable[[list[str]], np.ndarray] | None = None, language: str = "en", fallback: bool = True, **options) -> Embedder:
+    """An embedder by name. Sentence encoders and hybrids need ``encode``, since no model weights are here; without it they warn and fall back to TF-IDF, or raise."""
+    if name not in NAMES and not name.startswith("st:"):
+        raise ValueError(f"unknown embedding {name!r}; there are {', '.join(NAMES)} and st:<model>")
+    if name != "tfidf" and encode is None:
+        if not fallback:
+            raise ValueError(f"{name!r} needs a sentence encoder")
+        warnings.warn(f"no sentence encoder for {name!r}; TF-IDF takes its place", stacklevel=2)
+    elif name == "hybrid":
+        return HybridEmbedder(SentenceEmbedder(encode), TfidfEmbedder(**options), MEANING.get(language, MEANING["en"]))
+    elif name != "tfidf":
+        return SentenceEmbedder(encode, name)
     return TfidfEmbedder(**options)

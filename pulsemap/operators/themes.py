@@ -24,9 +24,16 @@ def centroids(vectors: DataFrame, label: str = "label", vector: str = "vector")
 
 
 def nearest(vectors: DataFrame, centers: DataFrame, floor: float, key: str = "label", vector: str = "vector") -> DataFrame:
-    """vectors with (key, similarity) of the most similar center, null below the floor. centers: report-sized, broadcast after a count."""
-    if centers.count() > MICRO:
-        raise ValueError("too many centers to broadcast")
+    """vectors with (key, similarity) of the most similar center, null below the floor; of equals the smallest key. centers go out in broadcast blocks of at most MICRO."""
+    n = centers.count()
+    if n > MICRO:
+        blocks = -(-n // MICRO)
+        out = vectors.withColumns({key: F.lit(None).cast(dict(centers.dtypes)[key]), "similarity": F.lit(None).cast("double")})
+        for b in range(blocks):
+            one = nearest(out.withColumnsRenamed({key: "_key", "similarity": "_similarity"}), centers.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b), -2.0, key, vector)
+            last = F.col("_similarity").isNotNull() & (F.col("similarity").isNull() | (F.col("_similarity") > F.col("similarity")) | ((F.col("_similarity") == F.col("similarity")) & (F.col("_key") < F.col(key))))
+            out = one.withColumns({key: F.when(last, F.col("_key")).otherwise(F.col(key)), "similarity": F.when(last, F.col("_similarity")).otherwise(F.col("similarity"))}).drop("_key", "_similarity")
+        return out.withColumn(key, F.when(F.col("similarity") >= floor, F.col(key)))
     packed = centers.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col("centroid").alias("c")))).alias("_centers"))
     near = vectors.crossJoin(F.broadcast(packed)).withColumn("_all", F.transform("_centers", lambda s: F.struct(dot(F.col(vector), s["c"]).alias("similarity"), s["key"].alias("key"))))
     best = F.aggregate("_all", F.get("_all", F.lit(0)), lambda a, b: F.when(b["similarity"] > a["similarity"], b).otherwise(a))
@@ -147,8 +154,9 @@ def keywords(segments: DataFrame, stop: tuple[str, ...] = (), top: int = 6, lang
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = tf.join(df, "term").withColumn("raw", (1 + F.ln("count")) * (F.ln((1 + n) / (1 + F.col("df"))) + 1))
     norm = raw.withColumn("weight", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("theme_id"))) * F.when(F.contains("term", F.lit(" ")), 1.6).otherwise(1.0))
-    ranked = norm.withColumn("k", F.row_number().over(Window.partitionBy("theme_id").orderBy(F.desc("weight"), "term"))).filter(F.col("k") <= 20 * top)
-    listed = ranked.groupBy("theme_id").agg(F.array_sort(F.collect_list(F.struct("k", "term", "weight"))).alias("all"))  # at most 20 x top terms a theme
+    ranked = norm.withColumn("k", F.row_number().over(Window.partitionBy("theme_id").orderBy(F.desc("weight"), "term")))
+    # terms that overlap a better one are passed over, so the list ends early only where a theme has no other terms; all of a theme's terms are looked at, with top of them held
     empty = F.expr("cast(array() as array<struct<k:int,term:string,weight:double>>)")
+    listed = ranked.groupBy("theme_id").agg(F.array_sort(F.collect_list(F.struct("k", "term", "weight"))).alias("all"))
     chosen = F.aggregate("all", empty, lambda acc, x: F.when((F.size(acc) < top) & ~F.exists(acc, lambda y: F.contains(y["term"], x["term"]) | F.contains(x["term"], y["term"])), F.array_append(acc, x)).otherwise(acc))
     return listed.select("theme_id", F.explode(chosen).alias("x")).select("theme_id", "x.term", "x.weight")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -11,9 +13,9 @@ from pyspark.sql.window import Window
 
 from ..functions.lexicon import language, stop_words, with_plain_variants
 from ..functions.sentiment import score_feedback
-from ..functions.text import dot, redact, segment_feedback
+from ..functions.text import dot, fold, redact, segment_feedback
 from ..operators import impact, mentions, scoring, themes, trends
-from ..operators.embed import TfidfEmbedder, get_embedder
+from ..operators.embed import Embedder, get_embedder
 
 #: Distance and boilerplate thresholds of the TF-IDF backend.
 DISTANCE, BOILERPLATE = 0.90, 0.50
@@ -74,9 +76,16 @@ def consolidated(segments: DataFrame, stop: tuple[str, ...] = (), least_semantic
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = tf.join(df, "term").withColumn("x", (1 + F.ln("count")) * (F.ln((1 + len(ids)) / (1 + F.col("df"))) + 1))
     w = raw.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("cluster")))).select("cluster", "term", "x")
-    pairs = w.alias("a").join(w.alias("b"), "term").filter("a.cluster < b.cluster").groupBy(F.col("a.cluster").alias("i"), F.col("b.cluster").alias("j")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("s")).filter(F.col("s") >= least_lexical).collect()
-    ok = {(r["i"], r["j"]): float(centers[r["i"]] @ centers[r["j"]]) for r in pairs}
-    ok = {k: s for k, s in ok.items() if s >= least_semantic}
+    # only pairs alike in meaning are compared in words; clusters number MICRO at most
+    alike = np.stack([centers[i] for i in ids]) @ np.stack([centers[i] for i in ids]).T if ids else np.zeros((0, 0))
+    near = {(ids[i], ids[j]): float(alike[i, j]) for i, j in zip(*np.nonzero(np.triu(alike >= least_semantic, 1)), strict=True)}
+    ok: dict[tuple[int, int], float] = {}
+    if near:
+        spark = segments.sparkSession
+        chosen = spark.createDataFrame([(int(i), int(j)) for i, j in near], "i int, j int")
+        both = w.join(F.broadcast(chosen), w["cluster"] == chosen["i"]).select("i", "j", "term", "x")
+        lexical = both.join(w.select(F.col("cluster").alias("j"), "term", F.col("x").alias("y")), ["j", "term"]).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+        ok = {(r["i"], r["j"]): near[r["i"], r["j"]] for r in lexical.filter(F.col("s") >= least_lexical).collect()}
     group = {i: {i} for i in ids}
     for (i, j), _ in sorted(ok.items(), key=lambda x: (x[1], x[0]), reverse=True):
         a, b = group[i], group[j]
@@ -106,20 +115,28 @@ def describe(segments: DataFrame, feedback: DataFrame, config: Config) -> DataFr
     centers = themes.centroids(segments, "theme_id")
     close = segments.join(F.broadcast(centers) if centers.count() <= themes.MICRO else centers, "theme_id").withColumn("similarity", dot(F.col("vector"), F.col("centroid")))
     by = Window.partitionBy("theme_id")
-    distinct = close.groupBy("theme_id", "text").agg(F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("n"))
+    # one wording: however it is cased and, beyond English, with or without accents; its best spelling has most accents, then capitals
+    wording = F.lower("text") if lang.code == "en" else fold(F.col("text"))
+    spelt = F.lit(0) if lang.code == "en" else F.length(F.regexp_replace("text", r"[\x00-\x7F]", "")) * 1000 + F.length(F.regexp_replace("text", r"[^\p{Lu}]", ""))
+    distinct = close.groupBy("theme_id", "text").agg(F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("rows")).withColumns({"wording": wording, "spelt": spelt})
+    same = Window.partitionBy("theme_id", "wording")
+    distinct = distinct.withColumns({"n": F.sum("rows").over(same), "best": F.first("text").over(same.orderBy(F.desc("spelt"), "text"))})
     first = distinct.withColumn("k", F.row_number().over(by.orderBy(F.desc("similarity"), "text"))).filter("k <= 8")
-    head = first.withColumn("h", F.row_number().over(by.orderBy(F.desc((F.length("text") <= 90).cast("int")), F.desc("n"), F.desc(F.round("similarity", 5)), "text")))
-    texts = head.groupBy("theme_id").agg(F.max(F.when(F.col("h") == 1, F.col("text"))).alias("headline"), F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]).alias("examples"))
+    head = first.withColumn("h", F.row_number().over(by.orderBy((F.length("text") > 90), F.desc("n"), F.desc("spelt"), F.desc(F.round("similarity", 5)), "text")))
+    said = F.col("text") if lang.code == "en" else F.col("best")
+    texts = head.groupBy("theme_id").agg(F.regexp_replace(F.max(F.when(F.col("h") == 1, said)), r"\.+$", "").alias("headline"), F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]).alias("examples"))
     means = segments.select("theme_id", "doc_id").distinct().join(feedback.select("doc_id", "sentiment"), "doc_id").groupBy("theme_id").agg(F.avg("sentiment").alias("mean"))
     words = themes.keywords(segments, stop_words(lang, config.stop_words), lang=lang).groupBy("theme_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term"))), lambda x: x["term"]).alias("keywords"))
     out = texts.join(means, "theme_id").join(themes.cue_rates(segments, lang), "theme_id").join(words, "theme_id", "left").join(close.groupBy("theme_id").agg(F.avg("similarity").alias("cohesion")), "theme_id")
     return out.select("theme_id", short_name(F.col("headline")).alias("name"), "headline", "keywords", themes.kind(F.col("mean")).alias("kind"), "examples", "cohesion")
 
 
-def match_releases(releases: DataFrame, centers: DataFrame, embedder: TfidfEmbedder, floor: float) -> DataFrame:
+def match_releases(releases: DataFrame, centers: DataFrame, embedder: Embedder, floor: float) -> DataFrame:
     """releases with theme_id and match_similarity: the most similar theme, if similar enough."""
-    texts = releases.withColumn("_t", F.concat_ws(". ", "title", F.nullif("description", F.lit(""))))
-    return themes.nearest(embedder.encode(texts, "_t"), centers, floor, "theme_id").withColumnRenamed("similarity", "match_similarity").drop("_t", "vector")
+    texts = embedder.encode(releases.withColumn("_t", F.concat_ws(". ", "title", F.nullif("description", F.lit("")))), "_t")
+    if hasattr(embedder, "semantic"):  # releases are not written in customers' words: by meaning alone
+        texts, centers = texts.withColumn("vector", embedder.semantic(F.col("vector"))), centers.withColumn("centroid", embedder.semantic(F.col("centroid")))
+    return themes.nearest(texts, centers, floor, "theme_id").withColumnRenamed("similarity", "match_similarity").drop("_t", "vector")
 
 
 @dataclass
@@ -128,20 +145,20 @@ class Model:
 
     feedback: DataFrame
     segments: DataFrame
-    embedder: TfidfEmbedder
+    embedder: Embedder
     has_accounts: bool
     config: Config
 
 
-def build_model(feedback: DataFrame, accounts: DataFrame | None = None, config: Config = Config()) -> Model:
-    """Redaction, sentiment, segments, vectors, clusters and their names."""
+def build_model(feedback: DataFrame, accounts: DataFrame | None = None, config: Config = Config(), embedder: Embedder | None = None) -> Model:
+    """Redaction, sentiment, segments, vectors, clusters and their names. embedder: in place of the one the configuration names."""
     lang = language(config.language)
     stop = stop_words(lang, config.stop_words)
     fb = feedback.withColumn("text", redact(F.col("text"))) if config.redact_pii else feedback
     fb = mentions.with_accounts(score_feedback(fb, lang), accounts).cache()
-    segments = segment_feedback(fb, config.product_names, lang, config.segment_sentences)
-    embedder = get_embedder(config.embedding, stop=stop).fit(segments)
-    segments = embedder.encode(segments)
+    segments = segment_feedback(fb, config.product_names, lang, config.segment_sentences).cache()
+    embedder = (embedder or get_embedder(config.embedding, language=lang.code, stop=stop)).fit(segments)
+    raw, segments = segments, embedder.encode(segments)
     spark = fb.sparkSession
     typed = with_plain_variants(lang.boilerplate) if lang.code == "tr" else lang.boilerplate
     prototypes = embedder.encode(spark.createDataFrame([(t,) for t in typed] or [("",)], "text string"))
@@ -189,9 +206,22 @@ def rescore(a: Analysis, weights: scoring.Weights) -> Analysis:
     return replace(a, scored=again, config=replace(a.config, weights=weights))
 
 
-def analyze(feedback: DataFrame, accounts: DataFrame | None = None, releases: DataFrame | None = None, config: Config = Config(), as_of=None) -> Analysis:
-    """feedback, accounts and releases as the loaders give them."""
-    return analyze_model(build_model(feedback, accounts, config), releases, as_of)
+def analyze(feedback: DataFrame, accounts: DataFrame | None = None, releases: DataFrame | None = None, config: Config = Config(), as_of=None, embedder: Embedder | None = None, ask: Callable[[str, str, dict], str] | None = None) -> Analysis:
+    """feedback, accounts and releases as the loaders give them. ask: a language model for a review of the themes, see ``plans.review``; if it fails, the themes stay as they are."""
+    model = build_model(feedback, accounts, config, embedder)
+    a = analyze_model(model, releases, as_of)
+    if ask is None:
+        return a
+    from . import review
+
+    try:
+        told = review.review(a.scored, ask)
+    except Exception as e:
+        warnings.warn(f"the review failed, themes keep their names: {e}", stacklevel=2)
+        return a
+    if merges := review.suggested_merges(told):
+        a = analyze_model(merge_themes(model, merges), releases, as_of)
+    return replace(a, scored=review.overlaid(a.scored, told))
 
 
 def analyze_model(model: Model, releases: DataFrame | None = None, as_of=None) -> Analysis:
@@ -202,11 +232,11 @@ def analyze_model(model: Model, releases: DataFrame | None = None, as_of=None) -
     rows = mentions.mentions_of(placed, fb).cache()
     last = F.lit(fb.agg(F.max("created_at")).first()[0]) if as_of is None else as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
     seen, seen_fb = mentions.visible(rows, last), mentions.visible(fb, last)
-    described = describe(tagged, fb, config)
+    described = describe(tagged, fb, config).cache()
     window = mentions.score_window(seen, last, config.score_window_days)
     n = mentions.score_window(seen_fb, last, config.score_window_days).count()
     metrics = mentions.theme_metrics(window, n)
-    warned = trends.detect_trends(seen, seen_fb, last, config.recent_days, config.baseline_days, config.alpha, config.volume_normalization)
+    warned = trends.detect_trends(seen, seen_fb, last, config.recent_days, config.baseline_days, config.alpha, config.volume_normalization).cache()
     always = seen.groupBy("theme_id").agg(F.countDistinct("doc").alias("mentions_all_time"))
     table = described.join(metrics, "theme_id", "left").join(always, "theme_id", "left").join(warned, "theme_id", "left")
     for column in ("plan", "channel"):
@@ -215,7 +245,7 @@ def analyze_model(model: Model, releases: DataFrame | None = None, as_of=None) -
     scored = scoring.score_themes(table, usable_weights(config.weights, has_revenue)).cache()
     radar = effects = None
     if releases is not None:
-        matched = match_releases(releases.filter(F.col("date") <= last), themes.centroids(tagged, "theme_id"), model.embedder, config.release_match_similarity)
+        matched = match_releases(releases.filter(F.col("date") <= last), themes.centroids(tagged, "theme_id"), model.embedder, config.release_match_similarity).cache()
         radar, effects = impact.release_radar(seen, seen_fb, matched, config.impact_window_days, config.alpha, config.volume_normalization)
         radar, effects = radar.cache(), effects.cache()
     return Analysis(fb, placed, rows, described, warned, scored, radar, effects, has_revenue, config)

@@ -139,6 +139,15 @@ def with_subject(df: DataFrame) -> Column:
     return F.nullif(plain, F.lit(""))
 
 
+def numbered(df: DataFrame, name: str, bucket: Column, *order: str) -> DataFrame:
+    """df with the place of each row, from 0, in the order of bucket, then ``order``. Buckets are sorted apart; only their sizes, one row a bucket, are summed in one place."""
+    df = df.withColumn("_bucket", bucket)
+    rising = Window.orderBy("_bucket")
+    before = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).select("_bucket", (F.sum("_n").over(rising) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
+    return df.withColumn("_place", place).join(F.broadcast(before), "_bucket").withColumn(name, F.col("_before") + F.col("_place")).drop("_bucket", "_place", "_before")
+
+
 def load_feedback(source: str | DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Rows with text and a date, typed, with defaults, and ``doc_id`` in order of time, then of the source."""
     df = resolve(read_table(source, spark), FEEDBACK)
@@ -146,16 +155,15 @@ def load_feedback(source: str | DataFrame, spark: SparkSession | None = None) ->
         raise SchemaError(f"missing columns: {', '.join(missing)}; found: {', '.join(df.columns)}")
     df = df.withColumn("_at", F.monotonically_increasing_id())
     df = df.withColumns({"text": with_subject(df), "created_at": parse_dates(df, "created_at")}).filter("text is not null and created_at is not null")
-    numbered = Window.partitionBy(F.lit(0))
     if "feedback_id" not in df.columns:
-        df = df.withColumn("feedback_id", F.format_string("FB-%05d", F.row_number().over(numbered.orderBy("_at"))))
+        df = numbered(df, "_row", F.shiftright("_at", 33), "_at").withColumn("feedback_id", F.format_string("FB-%05d", F.col("_row") + 1)).drop("_row")
     df = df.withColumn("feedback_id", F.col("feedback_id").cast("string"))
     df = df.withColumn("account_id", F.col("account_id").cast("string") if "account_id" in df.columns else F.col("feedback_id"))
     df = df.withColumn("channel", F.col("channel").cast("string") if "channel" in df.columns else F.lit("unknown"))
     df = df.withColumn("rating", F.expr("try_cast(rating as double)") if "rating" in df.columns else F.lit(None).cast("double"))
     if df.isEmpty():
         raise SchemaError("no rows with text and a date")
-    return df.withColumn("doc_id", F.row_number().over(numbered.orderBy("created_at", "_at")) - 1).drop("_at")
+    return numbered(df, "doc_id", F.date_trunc("hour", "created_at"), "created_at", "_at").drop("_at")
 
 
 def keep_first(df: DataFrame, key: str) -> DataFrame:
@@ -194,4 +202,4 @@ def combine_feedback(sources: dict[str, str | DataFrame], spark: SparkSession |
         df = df.withColumn("feedback_id", F.concat(F.lit(f"{name}:"), "feedback_id"))
         parts.append(df.withColumns({"channel": F.col("channel") if known else F.lit(stem), "account_id": F.col("account_id") if accounts else F.col("feedback_id")}))
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return out.withColumn("doc_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("created_at", "feedback_id")) - 1)
+    return numbered(out.drop("doc_id"), "doc_id", F.date_trunc("hour", "created_at"), "created_at", "feedback_id")

@@ -38,25 +38,46 @@ class Dataset:
         return Dataset(**parts)
 
 
-# theme, items a week, polarity, growth a week, phrases
+# theme, items a week, polarity, growth a week, phrases; {x} is one of WORDS["x"]
 SCENARIOS = {
     "team": (
-        ("login", 14, "negative", 0.0, ("I am logged out every few minutes", "The sign-in page fails with an error", "Login is broken since this morning")),
-        ("calendar_sync", 18, "negative", 0.0, ("Calendar sync with Outlook is broken", "Events show up twice after the sync", "The calendar never syncs my changes")),
-        ("dark_mode", 10, "neutral", 0.0, ("Please add a dark mode", "We need a dark theme for the evening", "Would love a dark mode option")),
-        ("export", 9, "neutral", 0.03, ("Please add an export to Excel", "We need to export the reports", "An Excel export of the timesheet would be great")),
-        ("price", 11, "negative", 0.0, ("The price per seat is too expensive", "Billing went up and the plan costs too much", "Pricing is hard to justify for small teams")),
-        ("onboarding", 8, "negative", 0.0, ("The setup steps are confusing for new people", "Inviting colleagues takes too many clicks", "New members get lost in the settings menu")),
-        ("praise", 13, "positive", 0.0, ("I love how simple it is", "Great tool, it saves us hours", "Excellent and reliable, we recommend it")),
+        ("login", 14, "negative", 0.0, ("I am logged out every few minutes {where}", "The sign-in page fails with an error {when}", "Login is broken {when}", "My password is refused at sign-in {where}", "Single sign-on sends me back to the login page", "Signing in takes three attempts {when}")),
+        ("calendar_sync", 18, "negative", 0.0, ("Calendar sync with {calendar} is broken", "Events show up twice after the {calendar} sync", "The calendar never syncs my changes {when}", "Meetings from {calendar} arrive hours late in the calendar", "Deleted events come back with the next calendar sync", "My calendar shows the wrong time zone after syncing")),
+        ("dark_mode", 10, "neutral", 0.0, ("Please add a dark mode {where}", "We need a dark theme for the evening", "Would love a dark mode option", "The bright screen hurts at night, a dark theme would help", "Is a dark mode planned {where}?")),
+        ("export", 9, "neutral", 0.03, ("Please add an export to {format}", "We need to export the reports to {format}", "An {format} export of the timesheet would be great", "Let us download the report as {format}", "Exporting a board to {format} is not possible yet")),
+        ("price", 11, "negative", 0.0, ("The price per seat is too expensive", "Billing went up and the plan costs too much", "Pricing is hard to justify for small teams", "The new plan price is twice what we paid", "Paying per guest seat is too expensive {when}")),
+        ("onboarding", 8, "negative", 0.0, ("The setup steps are confusing for new people", "Inviting colleagues takes too many clicks", "New members get lost in the settings menu", "Nobody understands the setup wizard {where}", "It is unclear how to invite a new member")),
+        ("praise", 13, "positive", 0.0, ("I love how simple it is", "Great tool, it saves us hours", "Excellent and reliable, we recommend it", "Really happy with it, great support team", "Best planning tool we ever had, we love it")),
+        ("slow_app", 9, "negative", 0.0, ("The app is very slow {where}", "Loading a large board takes a minute {when}", "Scrolling the board is slow and freezes {where}", "Pages load slowly {when}", "The board hangs while loading {where}")),
+        ("notifications", 9, "negative", 0.0, ("I get far too many notification emails", "Push notifications do not arrive {where}", "Notifications come twice for every comment", "I cannot mute notifications of a single project", "Mentions do not trigger a notification {when}")),
+        ("search", 7, "negative", 0.0, ("Search does not find old tasks", "Searching for a task by its number gives nothing", "The search results are useless {when}", "Search ignores the comments of a task", "I never find archived tasks with the search")),
+        ("recurring", 6, "neutral", 0.02, ("Please add recurring tasks", "We need tasks that repeat every month", "Repeating tasks with a due date would help", "An option to repeat a task weekly is missing", "Could recurring tasks skip holidays?")),
+        ("permissions", 8, "neutral", 0.0, ("We need a read-only role for guests", "Please add permissions per project", "Guests should not see private projects", "A role that may comment but not edit is missing", "Admins need finer permissions for external guests")),
     ),
     "canteen": (
-        ("card", 16, "negative", 0.0, ("Kart okutmuyor", "Kartım kasada geçmiyor", "Kart bu hafta hiç çalışmıyor")),
-        ("balance", 14, "negative", 0.0, ("Bakiye yüklenmedi", "Bakiyem hâlâ yansımadı", "Yükleme günü bakiye gelmedi")),
-        ("restaurants", 10, "neutral", 0.02, ("Daha fazla restoran eklense", "Bizim mahallede restoran olsa", "Yeni restoranlar eklenmeli")),
-        ("fee", 7, "negative", 0.0, ("Komisyon ücreti çok yüksek", "Kesinti ücreti pahalı", "Aidat ücreti anlamsız")),
-        ("praise", 11, "positive", 0.0, ("Çok pratik ve hızlı", "Harika bir kart, memnunuz", "Kolay ve sorunsuz, teşekkürler")),
+        ("card", 14, "negative", 0.0, ("Kart okutmuyor {yer}", "Kartım kasada geçmiyor", "Kart {zaman} hiç çalışmıyor", "Kartı kasada okutamadım {zaman}", "Fiziksel kart temassız geçmiyor")),
+        ("balance", 12, "negative", 0.0, ("Bakiye yüklenmedi {zaman}", "Bakiyem hâlâ yansımadı", "Yükleme günü bakiye gelmedi", "Ay başı bakiyesi hesabıma yatmadı", "Bakiye eksik yüklendi {zaman}")),
+        ("restaurants", 10, "neutral", 0.02, ("Daha fazla restoran eklense", "Bizim mahallede restoran olsa", "Yeni restoranlar eklenmeli", "{yer} üye restoran sayısı az", "Anlaşmalı restoran listesi genişlese")),
+        ("fee", 6, "negative", 0.0, ("Komisyon ücreti çok yüksek", "Kesinti ücreti pahalı", "Aidat ücreti anlamsız", "Her yüklemede komisyon kesilmesi pahalı")),
+        ("praise", 11, "positive", 0.0, ("Çok pratik ve hızlı", "Harika bir kart, memnunuz", "Kolay ve sorunsuz, teşekkürler", "Çok beğendim, herkese öneririm", "Güzel ve kullanışlı bir uygulama")),
+        ("login", 8, "negative", 0.0, ("Uygulamaya giriş yapamıyorum", "Doğrulama kodu gelmiyor {zaman}", "SMS kodu gelmediği için giriş yapılamıyor", "Şifre yenileme kodu ulaşmıyor")),
+        ("crash", 8, "negative", 0.0, ("Uygulama açılmıyor, sürekli kapanıyor", "Güncellemeden sonra uygulama çöküyor", "Uygulama {zaman} donuyor", "Açılış ekranında takılıp kapanıyor")),
+        ("qr", 7, "negative", 0.0, ("QR kod okumuyor {yer}", "Karekod ile ödeme olmuyor", "QR ile öderken hata veriyor", "Karekod ekranı açılmıyor")),
+        ("support", 7, "negative", 0.0, ("Canlı destek cevap vermiyor", "Müşteri hizmetlerine ulaşılamıyor", "Destek hattında saatlerce bekledim", "Canlı destek {zaman} yanıt yazmadı")),
+        ("market", 6, "neutral", 0.02, ("Markette de geçerli olsun", "Zincir marketlerde kullanılabilse", "Market alışverişinde kullanmak istiyoruz", "Marketler de listeye eklense")),
+        ("map", 5, "neutral", 0.0, ("Haritada yakındaki yerler görünsün", "Harita filtreleri eklense", "Haritada mesafeye göre sıralama olsa")),
+        ("refund", 6, "negative", 0.0, ("İade hâlâ hesabıma geçmedi", "İptal edilen siparişin iadesi gelmedi", "Para iadesi {zaman} yapılmadı", "Çift çekilen tutar iade edilmedi")),
+        ("campaign", 5, "neutral", 0.0, ("Daha çok kampanya olsa", "İndirim kampanyaları artmalı", "Puan kampanyası geri gelsin", "Kampanya kodu eklenebilse")),
     ),
 }
+WORDS = {
+    "where": ("on Android", "on my iPhone", "in the browser", "on the desktop app", "in Safari"),
+    "when": ("since this morning", "since the last update", "every Monday", "again", "for two weeks now"),
+    "calendar": ("Outlook", "Google", "Exchange"),
+    "format": ("Excel", "CSV", "PDF"),
+    "yer": ("bizim semtte", "iş yerinde", "kasada", "yemekhanede"),
+    "zaman": ("bu hafta", "dünden beri", "yine", "üç gündür"),
+}
 # theme, first day, last day, times the usual rate, days until it is reached
 CHANGES = {"team": (("login", 70, 84, 5.0, 2), ("calendar_sync", 110, None, 0.3, 5)), "canteen": (("card", 80, 95, 4.0, 2), ("balance", 120, None, 0.4, 5))}
 # version, day, title, theme it is about
@@ -105,6 +126,8 @@ def generate(spark: SparkSession, scenario: str = "team", seed: int = 7, days: i
     items = cells.withColumn("n", _poisson(rate, _uniform(s, "k", "i"))).filter("n > 0").withColumn("j", F.explode(F.sequence(F.lit(1), "n")))
     u = lambda what: _uniform(s, F.col("k"), F.col("i"), F.col("j"), F.lit(what))
     phrase = F.element_at("phrases", (F.floor(u("phrase") * F.size("phrases")) + 1).cast("int"))
+    for slot, words in WORDS.items():
+        phrase = F.replace(phrase, F.lit("{" + slot + "}"), _pick(words, u(slot)))
     stars = F.when(F.col("polarity") == "negative", 1 + F.floor(u("stars") * 2)).when(F.col("polarity") == "positive", 4 + F.floor(u("stars") * 2)).otherwise(3 + F.floor(u("stars") * 2))
     channel = _pick(CHANNELS, u("channel"))
     rating = F.when(channel == "app_store", stars).when(channel == "nps_survey", F.least(stars * 2, F.lit(10))).cast("double")
@@ -112,7 +135,7 @@ def generate(spark: SparkSession, scenario: str = "team", seed: int = 7, days: i
     who = F.format_string("A%05d", F.floor(F.pow(u("who"), F.lit(2.0)) * accounts).cast("int"))
     rows = items.select(
         F.format_string("F-%d-%d-%d", "k", "i", "j").alias("feedback_id"), (F.col("day").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.lit(7 * 3600) + F.floor(u("time") * 15 * 3600)).cast("decimal(18,6)"))).alias("created_at"), channel.alias("channel"), who.alias("account_id"), rating.alias("rating"),
-        F.concat(_pick(OPENERS[scenario], u("open")), phrase, F.lit("."), _pick(CLOSERS[scenario], u("close"))).alias("text"), F.col("theme").alias("true_theme"), F.col("polarity").alias("true_polarity"),
+        F.concat(_pick(OPENERS[scenario], u("open")), phrase, F.when(F.endswith(phrase, F.lit("?")), "").otherwise("."), _pick(CLOSERS[scenario], u("close"))).alias("text"), F.col("theme").alias("true_theme"), F.col("polarity").alias("true_polarity"),
     )
     date = lambda k: START + datetime.timedelta(days=k)
     known = [(t, date(a), None if b is None else date(b), times, "spike" if times > 1 else "drop") for t, a, b, times, _ in changes] + [(t[0], START, None, None, "gradual growth") for t in specs if t[3] > 0]

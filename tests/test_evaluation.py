@@ -89,15 +89,15 @@ def built(spark):
     from pulsemap.plans.analysis import Analysis, Config
 
     rows = [(k, f"F{k}", "crash" if k % 2 else "export") for k in range(20)]
-    fb = spark.createDataFrame(rows, "doc_id long, feedback_id string, about string").withColumns({"created_at": (F.date_add(F.lit(D(2024, 3, 1)), F.floor(F.col("doc_id") / 2).cast("int"))).cast("timestamp_ntz"), "sentiment": F.lit(-0.5)})
+    fb = spark.createDataFrame(rows, "doc_id long, feedback_id string, about string").withColumns({"created_at": (F.date_add(F.lit(D(2024, 3, 1)), F.floor(F.col("doc_id") / 2).cast("int"))).cast("timestamp_ntz"), "sentiment": F.lit(-0.5), "account_id": F.col("feedback_id"), "channel": F.lit("app"), "mrr": F.lit(90.0)})
     m = fb.select(F.col("doc_id").alias("doc"), F.when(F.col("about") == "crash", "T01").otherwise("T02").alias("theme_id"), "created_at", F.lit(True).alias("primary"))
     themes = spark.createDataFrame(
         [("T01", "Crash", "It crashes", ["crash"], "bug", ["It crashes"], 0.9, 10, 10, 900.0, 9e3, 8.0, -0.5, 0.9, 0.5, "new", 2.0, 1.2, 3.0, 0.01, {"pro": 1.0}, {"app": 1.0}), ("T02", "Nice", "Nice", ["nice"], "praise", ["Nice"], 0.9, 10, 10, 0.0, 0.0, 5.0, 0.5, 0.0, 0.5, "stable", 1.0, 0.8, 1.2, 0.9, {}, {"app": 1.0})],
         "theme_id string, name string, headline string, keywords array<string>, kind string, examples array<string>, cohesion double, mentions long, mentions_all_time long, mrr_weighted double, arr_exposed double, accounts double, mean_sentiment double, negative_share double, share double, status string, lift double, lift_ci_low double, lift_ci_high double, q_value double, plan_mix map<string,double>, channel_mix map<string,double>",
     )
     radar = spark.createDataFrame([("1.1", D(2024, 3, 5), "Fix", "T01", 4, 5, 0.5, 0.2, 0.9, "Resolved")], "version string, day date, title string, theme_id string, pre_mentions long, post_mentions long, rate_ratio double, ci_low double, ci_high double, verdict string")
-    effects = spark.createDataFrame([("1.1", "T02")], "version string, theme_id string")
-    return Analysis(fb, fb, m, themes, themes, score_themes(themes.withColumn("accounts", F.col("accounts").cast("long"))).cache(), radar, effects, True, Config())
+    effects = spark.createDataFrame([("1.1", "T02", 1.8)], "version string, theme_id string, rate_ratio double")
+    return Analysis(fb, m.withColumnRenamed("doc", "doc_id"), m, themes, themes, score_themes(themes.withColumn("accounts", F.col("accounts").cast("long"))).cache(), radar, effects, True, Config())
 
 
 def test_report_is_written(spark, built, tmp_path):
@@ -105,7 +105,10 @@ def test_report_is_written(spark, built, tmp_path):
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/out/roadmap").columns == list(R.ROADMAP)
     assert "Crash" in spark.read.text(f"file://{tmp_path}/out/briefs/01-T01").toPandas()["value"].str.cat()
     assert R.timeline_themes(built) == ["T01"]
-    assert "<table>" in R.html(built) and "4 → 5" in R.markdown(built)
+    page, text = R.html(built, {"sign accuracy": 0.875}), R.markdown(built, {"sign accuracy": 0.875})
+    assert "<table>" in page and "<svg" in page and "0.875" in page and "4 → 5" in text
+    assert "20 items from 20 accounts in 1 channels, 2024-03-01 to 2024-03-10, $1,800 MRR behind it; 2 themes hold 20 of the items, 1 of them are new or emerging." in text
+    assert "| Crash | new | x2.00 | 1.20–3.00 |" in text and "| 1.1 | Nice | x1.80 |" in text
 
 
 def test_all_measures(spark, built):

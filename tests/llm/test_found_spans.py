@@ -126,8 +126,8 @@ def test_the_rules_gates_hold():
             tried += 1
             assert any(rule[0] == number for w in text.encode().split() for rule in by_word.get(w, [])), (label, text)
             assert licenses.scan(text)[5], text
-            assert not licenses.scan("nothing of the kind " + text[:3])[5]
     assert tried >= 150
+    assert not licenses.scan("nothing of this kind, no licence named, mit der zeit, a bsd of sorts is an apache")[5]
     for text in ("released under the mit license", "released under the MIT Licence"):
         assert {d["label"] for d in licenses.scan(text)[5]} == {"mit"}
 

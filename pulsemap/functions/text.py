@@ -95,5 +95,6 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
+    """The vector at unit length. The norm lies in an array of one, so that it is computed once and not for each component."""
     norm = F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))
-    return F.transform(v, lambda x: x / norm)
+    return F.element_at(F.transform(F.array(norm), lambda n: F.transform(v, lambda x: x / n)), 1)

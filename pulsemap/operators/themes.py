@@ -111,12 +111,12 @@ def cluster_vectors(vectors: DataFrame, threshold: float, least: int, reassign:
     if n == 0:
         return spark.createDataFrame([], f"{key} {dict(vectors.dtypes)[key]}, cluster int")
     if n <= DIRECT:
-        rows = vectors.select(key, unit(F.col("vector")).alias("v")).orderBy(key).collect()
-        v = np.array([r["v"] for r in rows])
+        rows = vectors.select(key, unit(F.col("vector")).alias("v")).orderBy(key).toArrow()
+        keys, v = rows[key].to_pylist(), rows["v"].combine_chunks().flatten().to_numpy().reshape(n, -1)
         sizes = np.ones(n)
         labels = average_linkage(v, sizes, threshold) if n >= 3 else np.zeros(n, int)
         labels = tidy(labels, v, sizes, least, reassign)
-        return spark.createDataFrame([(r[key], int(x)) for r, x in zip(rows, labels, strict=True)], f"{key} {dict(vectors.dtypes)[key]}, cluster int")
+        return spark.createDataFrame([(tuple(k.values()) if isinstance(k, dict) else k, int(x)) for k, x in zip(keys, labels, strict=True)], f"{key} {dict(vectors.dtypes)[key]}, cluster int")
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.lexicon import language, stop_words, with_plain_variants
 from ..functions.sentiment import score_feedback
+from ..functions.shared import forget, saved
 from ..functions.text import dot, fold, redact, segment_feedback
 from ..operators import impact, mentions, scoring, themes, trends
 from ..operators.embed import Embedder, get_embedder
@@ -57,6 +58,10 @@ class Analysis:
     has_revenue: bool
     config: Config
 
+    def forget(self) -> None:
+        """Deletes the tables behind the analysis, which can't be read any more then."""
+        forget(*(df for df in vars(self).values() if hasattr(df, "_saved_at")))
+
 
 def content(segments: DataFrame, prototypes: DataFrame, threshold: float) -> DataFrame:
     """Segments that are not boilerplate, or all of a document that has nothing else. prototypes: a fixed list, broadcast."""
@@ -155,16 +160,17 @@ def build_model(feedback: DataFrame, accounts: DataFrame | None = None, config:
     lang = language(config.language)
     stop = stop_words(lang, config.stop_words)
     fb = feedback.withColumn("text", redact(F.col("text"))) if config.redact_pii else feedback
-    fb = mentions.with_accounts(score_feedback(fb, lang), accounts).cache()
-    segments = segment_feedback(fb, config.product_names, lang, config.segment_sentences).cache()
+    fb = saved(mentions.with_accounts(score_feedback(fb, lang), accounts), "feedback")
+    segments = saved(segment_feedback(fb, config.product_names, lang, config.segment_sentences), "segments")
     embedder = (embedder or get_embedder(config.embedding, language=lang.code, stop=stop)).fit(segments)
     raw, segments = segments, embedder.encode(segments)
     spark = fb.sparkSession
     typed = with_plain_variants(lang.boilerplate) if lang.code == "tr" else lang.boilerplate
     prototypes = embedder.encode(spark.createDataFrame([(t,) for t in typed] or [("",)], "text string"))
-    segments = content(segments, prototypes, config.boilerplate_threshold).withColumn("id", F.struct("doc_id", "position")).cache()
+    segments = saved(content(segments, prototypes, config.boilerplate_threshold).withColumn("id", F.struct("doc_id", "position")), "vectors")
     least = max(5, round(config.min_theme_share * fb.count()))
-    placed = segments.join(themes.cluster_vectors(segments.select("id", "vector"), config.distance_threshold, least, config.reassign_similarity), "id").cache()
+    placed = saved(segments.join(themes.cluster_vectors(segments.select("id", "vector"), config.distance_threshold, least, config.reassign_similarity), "id"), "clusters")
+    forget(raw, segments)
     merged = consolidated(placed, stop) if config.consolidate else {r[0]: r[0] for r in placed.filter("cluster >= 0").select("cluster").distinct().collect()}
     names = spark.createDataFrame([(int(a), f"T{b + 1:02d}") for a, b in merged.items()], "cluster int, theme_id string")
     return Model(fb, placed.join(F.broadcast(names), "cluster", "left").drop("id", "cluster"), embedder, accounts is not None, config)
@@ -229,25 +235,25 @@ def analyze_model(model: Model, releases: DataFrame | None = None, as_of=None) -
     fb, placed, config = model.feedback, model.segments, model.config
     has_revenue = model.has_accounts and (fb.agg(F.sum("mrr")).first()[0] or 0) > 0
     tagged = placed.filter("theme_id is not null")
-    rows = mentions.mentions_of(placed, fb).cache()
+    rows = saved(mentions.mentions_of(placed, fb), "mentions")
     last = F.lit(fb.agg(F.max("created_at")).first()[0]) if as_of is None else as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
     seen, seen_fb = mentions.visible(rows, last), mentions.visible(fb, last)
-    described = describe(tagged, fb, config).cache()
+    described = describe(tagged, fb, config)
     window = mentions.score_window(seen, last, config.score_window_days)
     n = mentions.score_window(seen_fb, last, config.score_window_days).count()
     metrics = mentions.theme_metrics(window, n)
-    warned = trends.detect_trends(seen, seen_fb, last, config.recent_days, config.baseline_days, config.alpha, config.volume_normalization).cache()
+    warned = trends.detect_trends(seen, seen_fb, last, config.recent_days, config.baseline_days, config.alpha, config.volume_normalization)
     always = seen.groupBy("theme_id").agg(F.countDistinct("doc").alias("mentions_all_time"))
     table = described.join(metrics, "theme_id", "left").join(always, "theme_id", "left").join(warned, "theme_id", "left")
     for column in ("plan", "channel"):
         table = table.join(mentions.mix(window, column), "theme_id", "left")
     table = table.na.fill(0, ["mentions", "primary_mentions", "accounts", "mrr_exposed", "mrr_weighted", "negative_share", "arr_exposed", "share", "mentions_all_time"])
-    scored = scoring.score_themes(table, usable_weights(config.weights, has_revenue)).cache()
+    scored = saved(scoring.score_themes(table, usable_weights(config.weights, has_revenue)), "themes")
     radar = effects = None
     if releases is not None:
-        matched = match_releases(releases.filter(F.col("date") <= last), themes.centroids(tagged, "theme_id"), model.embedder, config.release_match_similarity).cache()
+        matched = saved(match_releases(releases.filter(F.col("date") <= last), themes.centroids(tagged, "theme_id"), model.embedder, config.release_match_similarity), "releases")
         radar, effects = impact.release_radar(seen, seen_fb, matched, config.impact_window_days, config.alpha, config.volume_normalization)
-        radar, effects = radar.cache(), effects.cache()
+        radar, effects = saved(radar, "radar"), saved(effects, "side-effects")
     return Analysis(fb, placed, rows, described, warned, scored, radar, effects, has_revenue, config)
 
 

@@ -27,10 +27,10 @@ def nearest(vectors: DataFrame, centers: DataFrame, floor: float, key: str = "la
     """vectors with (key, similarity) of the most similar center, null below the floor; of equals the smallest key. centers go out in broadcast blocks of at most MICRO."""
     n = centers.count()
     if n > MICRO:
-        blocks = -(-n // MICRO)
+        placed = centers.withColumn("_block", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / MICRO))
         out = vectors.withColumns({key: F.lit(None).cast(dict(centers.dtypes)[key]), "similarity": F.lit(None).cast("double")})
-        for b in range(blocks):
-            one = nearest(out.withColumnsRenamed({key: "_key", "similarity": "_similarity"}), centers.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b), -2.0, key, vector)
+        for b in range(-(-n // MICRO)):
+            one = nearest(out.withColumnsRenamed({key: "_key", "similarity": "_similarity"}), placed.filter(F.col("_block") == b).drop("_block"), -2.0, key, vector)
             last = F.col("_similarity").isNotNull() & (F.col("similarity").isNull() | (F.col("_similarity") > F.col("similarity")) | ((F.col("_similarity") == F.col("similarity")) & (F.col("_key") < F.col(key))))
             out = one.withColumns({key: F.when(last, F.col("_key")).otherwise(F.col(key)), "similarity": F.when(last, F.col("_similarity")).otherwise(F.col("similarity"))}).drop("_key", "_similarity")
         return out.withColumn(key, F.when(F.col("similarity") >= floor, F.col(key)))

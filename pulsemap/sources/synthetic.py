@@ -34,8 +34,9 @@ class Dataset:
     def load(spark: SparkSession, path: str, accounts: bool = True) -> Dataset:
         read = lambda name: spark.read.options(header=True, escape='"', multiLine=True).csv(f"{path}/{name}")
         parts = {f.name: read(f.name) if f.name != "accounts" or accounts else None for f in fields(Dataset)}
-        parts["events"] = parts["events"].withColumns({c: F.to_date(c) for c in ("start_date", "end_date")})
-        return Dataset(**parts)
+        typed = {"created_at": "timestamp_ntz", "rating": "double", "mrr": "double", "multiplier": "double", "date": "date", "start_date": "date", "end_date": "date"}
+        cast = lambda df: df.withColumns({c: F.col(c).cast(typed[c]) for c in df.columns if c in typed}).na.fill("", ["description"] if "description" in df.columns else [])
+        return Dataset(**{name: None if df is None else cast(df) for name, df in parts.items()})
 
 
 # theme, items a week, polarity, growth a week, phrases; {x} is one of WORDS["x"]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lexicon import ENGLISH, Language
-from .text import fold
+from .text import bound, fold
 from .workers import python_ready
 
 
@@ -24,13 +24,18 @@ def english_sentiment(text: Column) -> Column:
     value = F.create_map(*[F.lit(x) for kv in lang.lexicon.items() for x in kv])
     raised = F.create_map(*[F.lit(x) for kv in lang.intensifiers.items() for x in kv])
     negations = F.array(*[F.lit(x) for x in sorted(lang.negations_before)])
+    known = [w for w, v in lang.lexicon.items() if v]  # a set, where the map is searched from its start
 
-    def hit(w: Column, i: Column) -> Column:
-        v = F.try_element_at(value, w)
-        turned = F.when(F.arrays_overlap(F.slice(words, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), negations), -0.6).otherwise(1.0)
-        return F.when(v.isNull() | (v == 0), 0.0).otherwise(v * turned * F.when(i > 0, F.coalesce(F.try_element_at(raised, F.get(words, i - 1)), F.lit(1.0))).otherwise(1.0))
+    def scored(words: Column) -> Column:
+        def hit(w: Column, i: Column) -> Column:
+            v = F.try_element_at(value, w)
+            turned = F.when(F.arrays_overlap(F.slice(words, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), negations), -0.6).otherwise(1.0)
+            strong = F.when(i > 0, F.coalesce(F.try_element_at(raised, F.get(words, i - 1)), F.lit(1.0))).otherwise(1.0)
+            return F.when(~w.isin(*known), 0.0).otherwise(v * turned * strong)
 
-    total = F.aggregate(F.transform(words, hit), F.lit(0.0), lambda s, x: s + x)
+        return F.aggregate(F.transform(words, hit), F.lit(0.0), lambda s, x: s + x)
+
+    total = bound(words, scored)
     marks = F.least(F.length(text) - F.length(F.replace(text, F.lit("!"))), F.lit(3)) * 0.15
     return F.coalesce(squash(total + F.signum(total) * marks), F.lit(0.0))
 

@@ -58,11 +58,19 @@ def segment_feedback(feedback: DataFrame, product_names: tuple[str, ...] = (), l
     return cut.select("doc_id", F.posexplode(F.when(F.size("_found") == 0, whole).otherwise(F.col("_found"))).alias("position", "text"))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used: it lies in an array of one."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def replaced_if(text: Column, pattern: str, valid, by: str) -> Column:
-    """text with the pattern's matches that are valid replaced; the others stay."""
-    gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    new = F.concat(F.transform(matches, lambda m: F.when(valid(m), F.lit(by)).otherwise(m)), F.array(F.lit("")))
-    return F.when(F.size(matches) > 0, F.array_join(F.zip_with(gaps, new, lambda a, b: F.concat(a, b)), "")).otherwise(text)
+    """text with the pattern's matches that are valid replaced; the others stay. Texts without a match are passed by."""
+
+    def replaced(t: Column) -> Column:
+        new = F.concat(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: F.when(valid(m), F.lit(by)).otherwise(m)), F.array(F.lit("")))
+        return F.when(t.rlike(pattern), F.array_join(F.zip_with(F.split(t, pattern, -1), new, lambda a, b: F.concat(a, b)), "")).otherwise(t)
+
+    return bound(text, replaced)
 
 
 def digits_of(m: Column) -> Column:
@@ -82,12 +90,13 @@ def tckn_valid(m: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """The passes' patterns and their order. E-mail, IBAN, card, national number, phones."""
-    t = F.regexp_replace(text, r"(?U)\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b", "[email]")
+    swapped = lambda t, gate, pattern, by: bound(t, lambda x: F.when(gate(x), F.regexp_replace(x, pattern, by)).otherwise(x))
+    t = swapped(text, lambda x: F.contains(x, F.lit("@")), r"(?U)\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b", "[email]")
     t = F.regexp_replace(t, r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b", "[iban]")
     t = replaced_if(t, r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])", luhn_valid, "[card]")
     t = replaced_if(t, r"(?<![0-9])[1-9][0-9]{10}(?![0-9])", tckn_valid, "[national-id]")
-    t = F.regexp_replace(t, r"(?<![0-9])(?:\+?90[ -]?)?\(?0?5[0-9]{2}\)?[ -]?[0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{2}(?![0-9])", "[phone]")
-    return F.regexp_replace(t, r"(?U)(?<!\w)\+[0-9]{1,3}[ -]?(?:[0-9][ -]?){6,12}[0-9](?![0-9])", "[phone]")
+    t = swapped(t, lambda x: x.rlike("5[0-9]{2}"), r"(?<![0-9])(?:\+?90[ -]?)?\(?0?5[0-9]{2}\)?[ -]?[0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{2}(?![0-9])", "[phone]")
+    return swapped(t, lambda x: F.contains(x, F.lit("+")), r"(?U)(?<!\w)\+[0-9]{1,3}[ -]?(?:[0-9][ -]?){6,12}[0-9](?![0-9])", "[phone]")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -43,14 +43,13 @@ def mix(mentions: DataFrame, column: str) -> DataFrame:
 
 def theme_metrics(mentions: DataFrame, n_docs: int | Column) -> DataFrame:
     """Counts, money and sentiment of each theme. An account's revenue is exposed once a theme, and its weight is shared over all its mentions. Mentions without an account are those of one account."""
-    weight = mentions.groupBy(F.col("account_id").alias("_account")).agg(F.count(F.lit(1)).alias("_all"))
-    # per theme and account first: two small sums instead of a distinct over mentions
+    # per theme and account first: two small sums instead of a distinct over mentions, and an account's weight is a sum over its few themes
     pair = mentions.groupBy("theme_id", "account_id").agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("doc").alias("docs"), F.max("mrr").alias("mrr"), F.sum(F.col("primary").cast("int")).alias("primary"), F.sum("sentiment").alias("sentiment"),
         F.count("sentiment").alias("scored"), F.sum(F.when(F.col("sentiment") < NEGATIVE, 1).otherwise(0)).alias("negative"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"), F.sum("mrr").alias("mrr_rows"),
     )
-    joined = pair.join(weight, F.col("account_id").eqNullSafe(F.col("_account")))
-    return joined.groupBy("theme_id").agg(
+    weighed = pair.withColumn("_all", F.sum("rows").over(Window.partitionBy("account_id")))
+    return weighed.groupBy("theme_id").agg(
         F.sum("docs").alias("mentions"), F.sum("primary").alias("primary_mentions"), F.count(F.lit(1)).alias("accounts"), F.sum("mrr").alias("mrr_exposed"), F.sum(F.col("mrr_rows") / F.col("_all")).alias("mrr_weighted"),
         (F.sum("sentiment") / F.sum("scored")).alias("mean_sentiment"), (F.sum("negative") / F.sum("rows")).alias("negative_share"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
     ).withColumns({"arr_exposed": F.col("mrr_exposed") * 12, "share": F.col("mentions") / F.greatest(F.lit(n_docs) if isinstance(n_docs, int) else n_docs, F.lit(1))})

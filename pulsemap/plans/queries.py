@@ -27,10 +27,13 @@ def _feedback(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _mentions(spark: SparkSession, d: str) -> DataFrame:
+def _mentions(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
+    """only: the feedback looked at; other orders' lines go before they are grouped."""
     lines, part = _t(spark, d, "lineitem"), _t(spark, d, "part")
     segments = lines.join(part, lines["l_partkey"] == part["p_partkey"]).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("position"), F.col("p_brand").alias("theme_id"))
-    return mentions.mentions_of(segments, _feedback(spark, d))
+    if only is None:
+        return mentions.mentions_of(segments, _feedback(spark, d))
+    return mentions.mentions_of(segments.join(only.select("doc_id"), "doc_id", "left_semi"), only)
 
 
 def _events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -53,8 +56,8 @@ METRICS = ", wt as (select account_id, count(*) as k from w group by 1), ex as (
 def theme_metrics(spark: SparkSession, d: str) -> DataFrame:
     fb = _feedback(spark, d)
     as_of = _last(fb)
-    n = mentions.score_window(fb, as_of).count()
-    got = mentions.theme_metrics(mentions.score_window(_mentions(spark, d), as_of), n)
+    window = mentions.score_window(fb, as_of)
+    got = mentions.theme_metrics(_mentions(spark, d, window), window.count())
     return got.select("theme_id", "mentions", "primary_mentions", "accounts", _r("mrr_exposed", 2), _r("mrr_weighted", 4), _r("mean_sentiment"), _r("negative_share"), "first_seen", "last_seen", _r("share"))
 
 

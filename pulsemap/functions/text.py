@@ -30,11 +30,16 @@ def strip(text: Column, characters: str) -> Column:
     return F.regexp_replace(text, f"^{some}|{some}$", "")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used: it lies in an array of one."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def segments(text: Column, product_names: tuple[str, ...] = (), lang: Language = ENGLISH) -> Column:
     """array<string> of what the text says: quotes only where it quotes, without greetings, tags and openers."""
     text = F.coalesce(text, F.lit(""))
     quotes = F.regexp_extract_all(text, F.lit("[\"“]([^\"”]{15,})[\"”]"), F.lit(1))
-    said = F.when(F.size(quotes) > 0, F.array_join(F.transform(quotes, lambda q: strip(q, " \t\n\r\f\v")), " ")).otherwise(text)
+    said = bound(quotes, lambda qs: F.when(F.size(qs) > 0, F.array_join(F.transform(qs, lambda q: strip(q, " \t\n\r\f\v")), " ")).otherwise(text))
     for name in product_names:
         said = F.regexp_replace(said, rf"(?iU)\b\Q{name}\E(?:['’][^\W\d_]+)?\b", "")
     raw = F.transform(F.split(said, r"(?<=[.!?])\s+|\n+"), lambda s: strip(s, " ,;\t"))
@@ -43,7 +48,7 @@ def segments(text: Column, product_names: tuple[str, ...] = (), lang: Language =
         for _ in range(3):
             s = F.regexp_replace(s, lang.leading, "")
         s = strip(F.regexp_replace(s, r"\s{2,}", " "), " ,;-–—")
-        return F.when(F.substring(s, 2, 1).rlike(r"^\p{Ll}"), F.concat(F.upper(F.substring(s, 1, 1)), F.substr(s, F.lit(2)))).otherwise(s)
+        return bound(s, lambda c: F.when(F.substring(c, 2, 1).rlike(r"^\p{Ll}"), F.concat(F.upper(F.substring(c, 1, 1)), F.substr(c, F.lit(2)))).otherwise(c))
 
     kept = F.filter(raw, lambda s: ~s.rlike(lang.salutation))
     out = F.transform(kept, cleaned)
@@ -58,11 +63,6 @@ def segment_feedback(feedback: DataFrame, product_names: tuple[str, ...] = (), l
     return cut.select("doc_id", F.posexplode(F.when(F.size("_found") == 0, whole).otherwise(F.col("_found"))).alias("position", "text"))
 
 
-def bound(value: Column, use) -> Column:
-    """use(value), with the value computed once however often it is used: it lies in an array of one."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def replaced_if(text: Column, pattern: str, valid, by: str) -> Column:
     """text with the pattern's matches that are valid replaced; the others stay. Texts without a match are passed by."""
 

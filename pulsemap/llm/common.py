@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import forget, saved, shared_dir
 from ..functions.workers import python_ready
 
 __all__ = ["forget", "python_ready", "saved", "shared_dir", "table", "texts"]
@@ -17,38 +18,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, text) alone, null text as empty: extra columns never travel with the texts."""
     return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is absent and Spark runs in one process (tests, notebooks) a local folder is taken.
-    """
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.gettempdir() + "/pulsemap-checkpoints"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._saved_at = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes tables that saved() wrote; nothing may read them any more."""
-    for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._saved_at)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -85,23 +85,25 @@ def only_digits(s: Column) -> Column:
 def with_candidates(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the base spans (_email, _ip, _card, _phone) and what the other generators propose (_candidates)."""
     t = F.col(text)
+    df = df.withColumn("_digit", t.rlike("[0-9]"))  # most generators need one: texts without pass them by
+    some = F.col("_digit")
     df = df.withColumns(
         {
             "_email": found(t, EMAIL, F.contains(t, F.lit("@"))),
-            "_ip": F.filter(found(t, IP, t.rlike(r"[0-9]\.[0-9]")), lambda x: x["s"].rlike(IP_PARTS)),
-            "_digits": F.filter(found(t, DIGITS, t.rlike(r"[0-9](?:[ -]?[0-9]){6}")), lambda x: F.length(only_digits(x["s"])) >= 7),
-            "_phone": F.filter(found(t, PHONE, F.contains(t, F.lit("+"))), lambda x: F.length(only_digits(x["s"])).between(9, 15)),
-            "_local": found(t, LOCAL, t.rlike(r"[0-9]{3,4}[ ./-][0-9]{3,4}")),
-            "_secret": found(t, SECRET, t.rlike(SECRET)),
+            "_ip": F.filter(found(t, IP, some & t.rlike(r"[0-9]\.[0-9]")), lambda x: x["s"].rlike(IP_PARTS)),
+            "_digits": F.filter(found(t, DIGITS, some & t.rlike(r"[0-9](?:[ -]?[0-9]){6}")), lambda x: F.length(only_digits(x["s"])) >= 7),
+            "_phone": F.filter(found(t, PHONE, some & F.contains(t, F.lit("+"))), lambda x: F.length(only_digits(x["s"])).between(9, 15)),
+            "_local": found(t, LOCAL, some & t.rlike(r"[0-9]{3,4}[ ./-][0-9]{3,4}")),
+            "_secret": found(t, SECRET, some & t.rlike(SECRET)),
             "_odd": found(t, ODD_EMAIL, F.contains(t, F.lit("@"))),
-            "_iban": found(t, IBAN, t.rlike(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")),
-            "_national": found(t, NATIONAL, t.rlike(r"[0-9]{3}-[0-9]{2}-|[0-9]{8}-?[A-Z]|[0-9]{2} ?[A-D]|[12] ?[0-9]{2} ?[01][0-9] ?[0-9]{2} ?[0-9]{3}")),
+            "_iban": found(t, IBAN, some & t.rlike(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")),
+            "_national": found(t, NATIONAL, some & t.rlike(r"[0-9]{3}-[0-9]{2}-|[0-9]{8}-?[A-Z]|[0-9]{2} ?[A-D]|[12] ?[0-9]{2} ?[01][0-9] ?[0-9]{2} ?[0-9]{3}")),
         }
     )
     df = df.withColumn("_card", F.filter("_digits", lambda x: F.length(only_digits(x["s"])).between(13, 19) & F.call_function("luhn_check", only_digits(x["s"]))))
     # lambdas of Spark take an index as a second parameter, so the number comes from an outer function
     numbered = lambda c, g: F.transform(c, lambda x: F.struct(F.lit(g).alias("g"), x["start"].alias("start"), x["end"].alias("end"), features(x, g).alias("f")))
-    return df.withColumn("_candidates", F.concat(*[numbered(c, g) for g, c in enumerate(GENERATED)])).drop(*GENERATED)
+    return df.withColumn("_candidates", F.concat(*[numbered(c, g) for g, c in enumerate(GENERATED)])).drop(*GENERATED, "_digit")
 
 
 def features(x: Column, g: int) -> Column:

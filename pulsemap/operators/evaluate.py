@@ -36,7 +36,8 @@ def majority(table: DataFrame) -> DataFrame:
 
 def recovery(table: DataFrame) -> DataFrame:
     """One row a known theme: items, recovered_share, themes, largest_theme, largest_theme_share, largest_theme_purity."""
-    named = table.join(majority(table).withColumnRenamed("t", "about"), "p").withColumn("size", F.sum("n").over(Window.partitionBy("p")))
+    # items without a theme are recovered by none
+    named = table.join(majority(table.filter(F.col("p") != "(none)")).withColumnRenamed("t", "about"), "p", "left").withColumn("size", F.sum("n").over(Window.partitionBy("p")))
     order = Window.partitionBy("t").orderBy(F.desc("n"), "p")
     first = named.withColumn("k", F.row_number().over(order))
     return first.groupBy("t").agg(
@@ -45,6 +46,13 @@ def recovery(table: DataFrame) -> DataFrame:
     ).withColumnRenamed("t", "true_theme")
 
 
+def coverage(table: DataFrame) -> DataFrame:
+    """One row: themes_found, true_themes, unassigned_share, mean_recovered_share of (t, p, n)."""
+    none = F.col("p") == "(none)"
+    counted = table.agg(F.countDistinct(F.when(~none, F.col("p"))).alias("themes_found"), F.countDistinct("t").alias("true_themes"), (F.coalesce(F.sum(F.when(none, F.col("n"))), F.lit(0)) / F.sum("n")).alias("unassigned_share"))
+    return counted.crossJoin(recovery(table).agg(F.avg("recovered_share").alias("mean_recovered_share")))  # single rows
+
+
 def sentiment_quality(scored: DataFrame) -> DataFrame:
     """(true_polarity, items, recall, mean_sentiment) of rows with sentiment and true_polarity; recall is null for neutral. Zero counts as positive."""
     right = F.when(F.col("true_polarity") == "positive", F.col("sentiment") >= 0).when(F.col("true_polarity") == "negative", F.col("sentiment") < 0)

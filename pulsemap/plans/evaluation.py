@@ -30,7 +30,7 @@ def evaluate_all(a: Analysis, data: Dataset, warmup_days: int = 42) -> dict[str,
     log = evaluate.alert_log(replayed, mentions.trailing(mentions.daily_grid(a.mentions)), named, data.events).cache()
     detected = evaluate.detection(log, data.events)
     out = {
-        "themes": evaluate.agreement(table), "recovery": evaluate.recovery(table), "sentiment": quality, "sign_accuracy": evaluate.sign_accuracy(quality), "detection": detected, "alerts": evaluate.alert_summary(log, detected),
+        "themes": evaluate.agreement(table), "coverage": evaluate.coverage(table), "recovery": evaluate.recovery(table), "sentiment": quality, "sign_accuracy": evaluate.sign_accuracy(quality), "detection": detected, "alerts": evaluate.alert_summary(log, detected),
         "spurious": evaluate.spurious_trend_days(replayed, named, data.events, a.config.recent_days + a.config.baseline_days),
     }
     if a.radar is not None:

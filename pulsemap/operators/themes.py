@@ -12,6 +12,8 @@ from ..functions.text import dot, fold, tr_lower, unit
 
 #: Most vectors clustered in one place; beyond, micro-clusters come first, at most MICRO.
 DIRECT, MICRO = 6000, 3000
+#: Terms looked at first for each keyword wanted; more are where these overlap.
+LOOK = 20
 OTHER = -1
 
 
@@ -144,6 +146,10 @@ def kind(mean_sentiment: Column) -> Column:
     )
 
 
+def overlap(a: Column, b: Column) -> Column:
+    return F.contains(a, b) | F.contains(b, a)
+
+
 def keywords(segments: DataFrame, stop: tuple[str, ...] = (), top: int = 6, lang: Language = ENGLISH) -> DataFrame:
     """(theme_id, term, weight): the strongest one- and two-word terms of each theme by class-based TF-IDF."""
     found = F.regexp_extract_all(tr_lower(F.col("text")), F.lit(r"(?U)([^\W\d_]{2,})"), F.lit(1)) if lang.code == "tr" else F.regexp_extract_all(F.lower("text"), F.lit(r"\b([a-z][a-z-]+)\b"), F.lit(1))
@@ -154,9 +160,21 @@ def keywords(segments: DataFrame, stop: tuple[str, ...] = (), top: int = 6, lang
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = tf.join(df, "term").withColumn("raw", (1 + F.ln("count")) * (F.ln((1 + n) / (1 + F.col("df"))) + 1))
     norm = raw.withColumn("weight", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("theme_id"))) * F.when(F.contains("term", F.lit(" ")), 1.6).otherwise(1.0))
-    ranked = norm.withColumn("k", F.row_number().over(Window.partitionBy("theme_id").orderBy(F.desc("weight"), "term")))
-    # terms that overlap a better one are passed over, so the list ends early only where a theme has no other terms; all of a theme's terms are looked at, with top of them held
+    norm = norm.select("theme_id", "term", "weight")
+    by = Window.partitionBy("theme_id")
+    best = norm.withColumns({"k": F.row_number().over(by.orderBy(F.desc("weight"), "term")), "terms": F.count(F.lit(1)).over(by)}).filter(F.col("k") <= LOOK * top)
+    listed = best.groupBy("theme_id").agg(F.array_sort(F.collect_list(F.struct("k", "term", "weight"))).alias("all"), F.max("terms").alias("terms"))  # at most LOOK x top terms a theme
     empty = F.expr("cast(array() as array<struct<k:int,term:string,weight:double>>)")
-    listed = ranked.groupBy("theme_id").agg(F.array_sort(F.collect_list(F.struct("k", "term", "weight"))).alias("all"))
-    chosen = F.aggregate("all", empty, lambda acc, x: F.when((F.size(acc) < top) & ~F.exists(acc, lambda y: F.contains(y["term"], x["term"]) | F.contains(x["term"], y["term"])), F.array_append(acc, x)).otherwise(acc))
-    return listed.select("theme_id", F.explode(chosen).alias("x")).select("theme_id", "x.term", "x.weight")
+    chosen = F.aggregate("all", empty, lambda acc, x: F.when((F.size(acc) < top) & ~F.exists(acc, lambda y: overlap(y["term"], x["term"])), F.array_append(acc, x)).otherwise(acc))
+    rows = [(r["theme_id"], x["term"], x["weight"], len(r["chosen"]) < top and r["terms"] > LOOK * top) for r in listed.select("theme_id", "terms", chosen.alias("chosen")).collect() for x in r["chosen"]]  # at most top rows a theme
+    found = {(t, w): x for t, w, x, _ in rows}
+    short = {t for t, _, _, more in rows if more}
+    spark = segments.sparkSession
+    while short:  # themes whose best terms nearly all overlap: a further term each, from all there are
+        held = {t: [w for u, w in found if u == t] for t in short}
+        known = spark.createDataFrame(list(held.items()), f"theme_id {dict(norm.dtypes)['theme_id']}, held array<string>")
+        free = norm.join(F.broadcast(known), "theme_id").filter(~F.exists("held", lambda y: overlap(y, F.col("term"))))
+        more = free.groupBy("theme_id").agg(F.min(F.struct((-F.col("weight")).alias("w"), "term")).alias("x")).select("theme_id", "x.term", (-F.col("x.w")).alias("weight")).collect()
+        found |= {(r["theme_id"], r["term"]): r["weight"] for r in more}
+        short = {r["theme_id"] for r in more if len(held[r["theme_id"]]) + 1 < top}
+    return spark.createDataFrame([(t, w, x) for (t, w), x in found.items()], f"theme_id {dict(norm.dtypes)['theme_id']}, term string, weight double")

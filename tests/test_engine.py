@@ -64,7 +64,9 @@ def test_side_effects_are_other_themes_that_rise(spark):
     assert [r["theme_id"] for r in effects.collect()] == ["T02"]
 
 
-def test_keywords_by_brute_force(spark):
+@pytest.mark.parametrize("look", [1, 20])
+def test_keywords_by_brute_force(spark, monkeypatch, look):
+    monkeypatch.setattr(themes, "LOOK", look)
     said = {"A": ["dark mode please", "a dark mode option", "dark theme option", "mode switch dark"], "B": ["slow sync error", "sync error again", "calendar sync slow"], "C": ["dark sync", "price plan price", "plan price high"]}
     df = spark.createDataFrame([(t, x) for t, xs in said.items() for x in xs], "theme_id string, text string")
     counts = {}

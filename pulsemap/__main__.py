@@ -1,4 +1,4 @@
-"""The command line: generate, analyze, demo, evaluate, brief."""
+"""The command line: generate, analyze, demo, evaluate, ablate, tune, brief."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import json
 from pyspark.sql import SparkSession
 
 from .operators.scoring import Weights
-from .plans import analysis, evaluation, report
+from .plans import analysis, evaluation, report, tuning
 from .sources import feedback, synthetic
 
 LANGUAGE = {"team": "en", "canteen": "tr"}
@@ -18,7 +18,7 @@ PRESETS = {"balanced": Weights(), "revenue": Weights(0.15, 0.55, 0.15, 0.15), "v
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="pulsemap", description=__doc__)
     does = p.add_subparsers(dest="command", required=True)
-    for name in ("generate", "demo", "evaluate", "brief"):
+    for name in ("generate", "demo", "evaluate", "ablate", "tune", "brief"):
         c = does.add_parser(name)
         if name == "brief":
             c.add_argument("theme_id")
@@ -61,6 +61,10 @@ def main(argv: list[str] | None = None) -> None:
     if o.command == "generate":
         data.save(o.out)
         return
+    if o.command in ("ablate", "tune"):
+        for row in tuning.compare(data, tuning.ABLATIONS if o.command == "ablate" else tuning.grid(), analysis.Config(language=LANGUAGE[o.scenario])):
+            print(json.dumps(row))
+        return
     a = analyzed(spark, data, o.scenario)
     if o.command == "brief":
         print(report.brief(report.evidence(a, o.theme_id)))

@@ -13,6 +13,7 @@ from pulsemap import __main__ as cli
 from pulsemap.functions.lexicon import TURKISH
 from pulsemap.operators import embed, impact, mentions, themes
 from pulsemap.plans import analysis as A
+from pulsemap.plans import tuning as T
 from pulsemap.sources import feedback as S
 from pulsemap.sources import synthetic as Y
 
@@ -230,6 +231,16 @@ def test_a_failing_review_changes_nothing(spark, analysed):
     assert b.scored.columns
 
 
+def test_settings_are_compared(spark):
+    data = Y.generate(spark, "team", days=100, accounts=40, scale=0.25)
+    settings = {k: T.ABLATIONS[k] for k in ("default", "whole items instead of sentences")}
+    rows = {r["setting"]: r for r in T.table(spark, T.compare(data, settings)).collect()}
+    assert list(rows) == list(settings)
+    for r in rows.values():
+        assert r["themes"] >= 3 and 0 < r["adjusted_rand"] <= 1 and 0 <= r["mean_recovered_share"] <= 1 and r["spikes_total"] == 1
+    assert len(T.grid((0.8, 0.9), (0.01,))) == 2
+
+
 def test_command_line(spark, tmp_path):
     o = cli.parser().parse_args(["analyze", "a.csv", "b.csv", "--out", "x", "--preset", "urgency", "--product-name", "P"])
     assert (o.feedback, o.out, o.preset, o.product_name, o.no_redact) == (["a.csv", "b.csv"], "x", "urgency", ["P"], False)

@@ -1,7 +1,6 @@
 """Personal data and licenses: held-out quality, families of rules, long texts full of matches."""
 
 import random
-import re
 import time
 
 import pytest
@@ -101,32 +100,7 @@ def test_uncovered_is_the_greedy_pass():
         assert list(licenses.uncovered(spans)) == kept
 
 
-def sample(pattern: str) -> str:
-    """A plain text that a rule's pattern matches: first choices, optional parts in."""
-    p = pattern.replace("V?", "").replace(r"(?:\S+ ){0,12}", "")
-    p = re.sub(r"\[([a-z0-9 ])[^\]]*\]", r"\1", p)
-    while True:
-        q = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)[?*+]?", r"\1", p)
-        if q == p:
-            break
-        p = q
-    p = p.split("|")[0]
-    return re.sub(r" +", " ", p.replace(r"\S+", "own").replace("?", "").replace("V", "version ")).strip()
-
-
-def test_the_rules_gates_hold():
-    """For a sample of each rule, the gated scan finds what the rule's pattern finds without a gate."""
-    by_word, _ = licenses.rules()
-    rules = {rule[0]: rule for some in by_word.values() for rule in some}
-    lines = dict(enumerate(licenses.RULES.strip().split("\n")))
-    tried = 0
-    for number, (_, _, _, label, compiled) in rules.items():
-        text = sample(lines[number].split(" ", 4)[4])
-        if compiled.search(text.encode()) and not text.startswith("al 2"):  # that one asks for "apache" elsewhere
-            tried += 1
-            assert any(rule[0] == number for w in text.encode().split() for rule in by_word.get(w, [])), (label, text)
-            assert licenses.scan(text)[5], text
-    assert tried >= 150
+def test_text_without_a_license():
     assert not licenses.scan("nothing of this kind, no licence named, mit der zeit, a bsd of sorts is an apache")[5]
     for text in ("released under the mit license", "released under the MIT Licence"):
         assert {d["label"] for d in licenses.scan(text)[5]} == {"mit"}

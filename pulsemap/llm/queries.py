@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, langid, licenses, packing, pii, simhash, topk, warc
+from . import bpe, chat, fingerprint, langid, licenses, merkle, packing, pii, simhash, topk, warc
 from .common import table, texts
 
 
@@ -136,6 +136,78 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: CRC-32 of {}, ASCII text, byte by byte and bit by bit.
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::bigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda k, i: xor(k >> 1, (k & 1) * 3988292384))), 4294967295)"""
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", CAPITALS, SMALL)).otherwise(F.col("text"))
+    tree = merkle.manifest(table(spark, sf_dir, "documents"), LEAF, given=[*map(F.col, LEAF[:-1]), tampered])
+    return tree.proofs().select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _part_sql(value: str) -> str:
+    return f"coalesce(strlen(({value})::varchar) || ':' || ({value})::varchar, '-')"
+
+
+OP11_SQL = f"""
+with recursive crc as (
+  select *, {CRC_SQL.format("(doc_id::varchar)")} % 3 = 0 as hit from documents
+), leaves as (
+  select doc_id, dense_rank() over (order by lang nulls first) - 1 as tree,
+    sha256({" || ".join(map(_part_sql, LEAF))}) as leaf,
+    sha256({" || ".join(map(_part_sql, (*LEAF[:-1], f"case when hit then translate(text, '{CAPITALS}', '{SMALL}') else text end")))}) as given
+  from crc
+), placed as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as place from leaves
+), nodes as (
+  select tree, 0 as level, place, leaf as digest, count(*) over (partition by tree) as n from placed
+  union all
+  select tree, level + 1, place // 8, sha256(string_agg(digest, '' order by place)), (n + 7) // 8
+  from nodes where n > 1 group by tree, level, place // 8, n
+), subroots as (select tree, digest as subroot from nodes where n = 1),
+tops as (
+  select 0 as level, tree as place, subroot as digest, count(*) over () as n from subroots
+  union all
+  select level + 1, place // 8, sha256(string_agg(digest, '' order by place)), (n + 7) // 8
+  from tops where n > 1 group by level, place // 8, n
+), siblings as (
+  select l.tree, l.place, 0 as part, s.level, s.place as spot, s.digest
+  from placed l join nodes s on s.tree = l.tree and s.n > 1
+    and s.place // 8 = l.place // (8 ** (s.level + 1))::bigint and s.place != l.place // (8 ** s.level)::bigint
+  union all
+  select l.tree, l.place, 1, s.level, s.place, s.digest
+  from placed l join tops s on s.n > 1
+    and s.place // 8 = l.tree // (8 ** (s.level + 1))::bigint and s.place != l.tree // (8 ** s.level)::bigint
+), proofs as (
+  select tree, place, sha256(string_agg(digest, '' order by part, level, spot)) as proof_sha256 from siblings group by tree, place
+), folds as (
+  select tree, place, 0 as level, place as spot, given as digest from placed
+  union all
+  select f.tree, f.place, f.level + 1, f.spot // 8,
+    sha256(string_agg(case when s.place = f.spot then f.digest else s.digest end, '' order by s.place))
+  from folds f join nodes s on s.tree = f.tree and s.level = f.level and s.n > 1 and s.place // 8 = f.spot // 8
+  group by f.tree, f.place, f.level, f.spot
+), reached as (
+  select tree, place, arg_max(digest, level) as digest from folds group by tree, place
+), top_folds as (
+  select tree, place, 0 as level, tree as spot, digest from reached
+  union all
+  select f.tree, f.place, f.level + 1, f.spot // 8,
+    sha256(string_agg(case when s.place = f.spot then f.digest else s.digest end, '' order by s.place))
+  from top_folds f join tops s on s.level = f.level and s.n > 1 and s.place // 8 = f.spot // 8
+  group by f.tree, f.place, f.level, f.spot
+), ends as (
+  select tree, place, arg_max(digest, level) as folded_root from top_folds group by tree, place
+), root as (select digest as root from tops where n = 1)
+select doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root, folded_root = root as verified
+from placed join subroots using (tree) join ends using (tree, place) left join proofs using (tree, place) cross join root
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -148,8 +220,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_warc": op9_warc,
         "op10_pii": op10_pii,
+        "op11_merkle": op11_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": OP3_SQL, "op6_topk": OP6_SQL, "op9_warc": OP9_SQL}
+    return {"op3_chat": OP3_SQL, "op6_topk": OP6_SQL, "op9_warc": OP9_SQL, "op11_merkle": OP11_SQL}

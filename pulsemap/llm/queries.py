@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, langid, licenses, merkle, packing, pii, simhash, topk, warc
+from . import bpe, chat, fingerprint, langid, licenses, merkle, packing, pii, sharding, simhash, snapshots, topk, warc
 from .common import table, texts
 
 
@@ -208,6 +208,89 @@ from placed join subroots using (tree) join ends using (tree, place) left join p
 """
 
 
+def later_snapshot(docs: DataFrame) -> DataFrame:
+    """What op12 compares documents with."""
+    key, text, lang, source = map(F.col, ("doc_id", "text", "lang", "source"))
+    rows = docs.select(key, text, lang, source, (F.crc32(key.cast("string")) % 10).alias("h"))
+    h, moved = F.col("h"), -1 - key
+    keys = F.when(h == 5, F.array(key, moved)).when(h.isin(3, 4), F.array(moved)).otherwise(F.array(key))
+    return rows.filter(~h.eqNullSafe(0)).select(
+        F.explode(keys).alias("doc_id"),
+        F.when(h == 1, F.concat(F.coalesce(text, F.lit("")), F.lit("+"))).otherwise(text).alias("text"),
+        F.when(h == 2, source).otherwise(lang).alias("lang"),
+        F.when(h == 2, lang).when(h == 4, F.lit(None)).otherwise(source).alias("source"),
+    )
+
+
+def op12_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, columns = table(spark, sf_dir, "documents"), ["text", "lang", "source"]
+    row = F.sha2(F.concat_ws("\n", *[F.coalesce(F.col(c), F.lit("~")) for c in columns]), 256)
+    return snapshots.compare(docs, later_snapshot(docs), "doc_id", columns, {"row_sha256": row})
+
+
+OP12_SQL = f"""
+with numbered as (
+  select doc_id, text, lang, source, {CRC_SQL.format("(doc_id::varchar)")} % 10 as h from documents
+), later as (
+  select unnest(case when h = 5 then [doc_id, -1 - doc_id] when h in (3, 4) then [-1 - doc_id] else [doc_id] end) as key,
+    case when h = 1 then coalesce(text, '') || '+' else text end as text,
+    case when h = 2 then source else lang end as lang,
+    case when h = 2 then lang when h = 4 then null else source end as source
+  from numbered where h != 0
+), pairs as (
+  select e.doc_id as old_key, l.key, e.doc_id is not null as was, l.key is not null as is_there,
+    e.text as old_text, e.lang as old_lang, e.source as old_source, l.text, l.lang, l.source
+  from documents e full join later l on e.doc_id = l.key
+), gone as (
+  select old_key, old_text as text, old_lang as lang, old_source as source,
+    row_number() over (partition by old_text, old_lang, old_source order by old_key) as n from pairs where not is_there
+), came as (
+  select key, text, lang, source, row_number() over (partition by text, lang, source order by key desc) as n from pairs where not was
+), moved as (
+  select g.old_key, c.key, c.text, c.lang, c.source from gone g full join came c
+    on g.text is not distinct from c.text and g.lang is not distinct from c.lang and g.source is not distinct from c.source and g.n = c.n
+), every as (
+  select key, old_key, text, lang, source, concat_ws(',', case when text is distinct from old_text then 'text' end,
+    case when lang is distinct from old_lang then 'lang' end, case when source is distinct from old_source then 'source' end) as changed, 'update' as op
+  from pairs where was and is_there
+  union all
+  select key, old_key, text, lang, source, '',
+    case when key is null then 'delete' when old_key is null then 'insert' else 'rekey' end from moved
+)
+select coalesce(key, old_key) as key, old_key, case when op = 'update' and changed = '' then 'same' else op end as op, changed,
+  case when op != 'delete' then sha256(coalesce(text, '~') || chr(10) || coalesce(lang, '~') || chr(10) || coalesce(source, '~')) end as row_sha256
+from every
+"""
+
+SHARDS = 24
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents"), [1.0] * SHARDS, [1.0])
+    return placed.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+OP13_SQL = f"""
+with bits as (
+  select i, list_reduce(list_prepend(i::bigint, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda k, z: xor(k >> 1, (k & 1) * 3988292384)) as v
+  from (select unnest(range(256)) as i)
+), folding as (select list(v order by i) as steps from bits),
+docs as (
+  select row_number() over () as row, doc_id, strlen(coalesce(text, '')) + 8 as size,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint)),
+      lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1])), 4294967295) as text_crc32
+  from documents, folding
+), drawn as (
+  select row, s, ('0x' || substr(sha256(coalesce(doc_id::varchar, '-') || '#' || (s // 4)), (s % 4 * 16 + 1)::bigint, 13))::bigint as draw
+  from docs, (select unnest(range({SHARDS + 1})) as s)
+), chosen as (
+  select row, (arg_max(s, draw) filter (s < {SHARDS}))::int as shard, arg_max(s, draw)::int as grown_shard from drawn group by row
+)
+select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by doc_id nulls first, size, text_crc32) - 1 as slot, grown_shard
+from docs join chosen using (row)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -221,8 +304,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": op9_warc,
         "op10_pii": op10_pii,
         "op11_merkle": op11_merkle,
+        "op12_snapshots": op12_snapshots,
+        "op13_sharding": op13_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": OP3_SQL, "op6_topk": OP6_SQL, "op9_warc": OP9_SQL, "op11_merkle": OP11_SQL}
+    return {"op3_chat": OP3_SQL, "op6_topk": OP6_SQL, "op9_warc": OP9_SQL, "op11_merkle": OP11_SQL, "op12_snapshots": OP12_SQL, "op13_sharding": OP13_SQL}

@@ -12,15 +12,20 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from ..functions.ranking import numbered
+from ..functions.shared import forget, saved
 from ..functions.text import unit
 from ..functions.workers import python_ready
+from . import decompose
 
-#: The vectors of the whole vocabulary (terms x dimensions) are broadcast.
 MOST_DIMENSIONS = 128
+#: Bytes of term vectors that the driver and the workers hold whole; a larger vocabulary is decomposed in blocks.
+MOST_HELD = 64 << 20
 #: The decomposition: dimensions beyond those wanted, passes over the texts, weights a task, weights and terms at once.
 SPARE, PASSES, TASK_WEIGHTS, LOT, BLOCK_TERMS = 10, 6, 400_000, 100_000, 100_000
 
@@ -38,14 +43,17 @@ class TfidfEmbedder:
 
     Word terms: one and two words, in at least 2 texts and at most 40 % of them; character terms: three to
     five characters within padded words, in at least 3 texts. Sublinear counts, smooth idf, each of the two
-    parts of unit length. All such terms are kept, however many; the driver and every worker hold their
-    vectors. The decomposition is a randomized one with a fixed seed, the same for any number of texts.
+    parts of unit length. All such terms are kept, however many. The decomposition is a randomized one with a
+    fixed seed, the same for any number of texts. Vectors of up to MOST_HELD bytes are held whole and sent to
+    the workers; beyond, ``decompose`` runs the same iteration on blocks of terms and texts, and vocabulary,
+    weights and vectors stay tables: ``encode`` then writes what it is given and joins.
     """
 
     name = "tfidf"
 
-    def __init__(self, stop: tuple[str, ...] = (), dimensions: int = MOST_DIMENSIONS):
-        self.stop, self.dimensions = stop, dimensions
+    def __init__(self, stop: tuple[str, ...] = (), dimensions: int = MOST_DIMENSIONS, sizes: decompose.Sizes = decompose.Sizes()):
+        self.stop, self.dimensions, self.sizes = stop, dimensions, sizes
+        self.size, self.vocabulary, self.vectors, self.width = 0, None, None, 0
         self.weight: dict[str, tuple[int, float]] = {}
         self.projection = np.zeros((0, 0), np.float32)
 
@@ -62,25 +70,69 @@ class TfidfEmbedder:
 
     def fit(self, df: DataFrame, text: str = "text") -> TfidfEmbedder:
         python_ready(df.sparkSession)
-        termed = df.select(self.terms(F.coalesce(F.col(text), F.lit(""))).alias("t")).cache()
-        n = termed.count()
+        termed = df.select(self.terms(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+        n = df.count()
         seen = termed.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         word = F.startswith("term", F.lit("w:"))
         fit = seen.filter((word & (F.col("df") >= 2) & (F.col("df") <= 0.4 * n)) | (~word & (F.col("df") >= 3)))
-        found = fit.orderBy("term").toArrow()  # the vocabulary
-        self.weight = {t: (k, float(w)) for k, (t, w) in enumerate(zip(found["term"].to_pylist(), np.log((1 + n) / (1 + found["df"].to_numpy())) + 1, strict=True))}
-        if len(self.weight) < 3 or n < 3:
-            self.projection = np.eye(max(1, len(self.weight)), dtype=np.float32)
-        else:
-            self.projection = self._decomposed(termed, max(2, min(self.dimensions, len(self.weight) - 1, n - 1)))
-        termed.unpersist()
+        words = saved(fit.select("term", (F.ln((1 + n) / (1 + F.col("df"))) + 1).alias("idf")), "vocabulary")
+        self.size = words.count()
+        k = max(2, min(self.dimensions, self.size - 1, n - 1))
+        if 4 * self.size * (k + SPARE) > MOST_HELD:
+            self._fit_blocks(df, text, words, k)
+            return self
+        found = words.orderBy(*_numbering()).toArrow()
+        forget(words)
+        self.weight = {t: (j, x) for j, (t, x) in enumerate(zip(found["term"].to_pylist(), found["idf"].to_pylist(), strict=True))}
+        self.projection = np.eye(max(1, self.size), dtype=np.float32) if self.size < 3 or n < 3 else self._decomposed(termed, k)
         return self
 
+    def _fit_blocks(self, df: DataFrame, text: str, words: DataFrame, k: int) -> None:
+        self.vocabulary = saved(numbered(words, [], _numbering(), "tid"), "vocabulary")
+        forget(words)
+        weights = saved(self._weights(df.select(F.monotonically_increasing_id().alias("id"), F.col(text).alias("text"))), "weights")
+        tiles = decompose.tiles(weights, self.size, self.sizes)
+        self.vectors, self.width = decompose.leading(tiles, self.size, k, SPARE, PASSES)
+        forget(weights, tiles.table)
+
+    def _weights(self, texts: DataFrame) -> DataFrame:
+        """(id, tid, x) from (id, text): terms counted where their text lies, joined to the vocabulary, scaled part by part."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, lists = batch.columns
+                each = pa.table([ids.take(pc.list_parent_indices(lists)), lists.flatten()], ["id", "term"]).group_by(["id", "term"]).aggregate([([], "count_all")])
+                yield from each.select(["id", "term", "count_all"]).to_batches()
+
+        counts = texts.select("id", self.terms(F.coalesce("text", F.lit(""))).alias("t")).mapInArrow(count, "id long, term string, count_all long")
+        raw = counts.join(self.vocabulary, "term").select("id", "tid", F.startswith("term", F.lit("w:")).alias("word"), ((1 + F.ln("count_all")) * F.col("idf")).alias("raw"))
+        square = lambda part: F.sum(F.when(part, F.col("raw") * F.col("raw")))
+        whole = raw.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("tid", "word", "raw"))).alias("s"), square(F.col("word")).alias("words"), square(~F.col("word")).alias("chars"))
+        x = F.transform("s", lambda s: (s["raw"] / F.sqrt(F.when(s["word"], F.col("words")).otherwise(F.col("chars")))).cast("float"))
+        return whole.select("id", F.transform("s", lambda s: s["tid"]).alias("tid"), x.alias("x"))
+
+    def _encode_blocks(self, df: DataFrame, text: str) -> DataFrame:
+        rows = saved(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
+        tiles = decompose.tiles(saved(self._weights(rows.select(F.col("_row").alias("id"), F.col(text).alias("text"))), "weights"), self.size, self.sizes)
+        width = self.width
+
+        def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for ids, m in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    v = np.frombuffer(m.as_buffer(), np.float32).reshape(-1, width).astype(float)
+                    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * width, pa.int32()), pa.array(v.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["_row", "vector"])
+
+        found = decompose.products(tiles, self.vectors, width).select("ids", "m").mapInArrow(unpacked, "_row long, vector array<double>")
+        none = F.array_repeat(F.lit(0.0), width)
+        return rows.join(found, "_row", "left").withColumn("vector", F.coalesce("vector", none)).drop("_row")
+
     def _decomposed(self, termed: DataFrame, k: int) -> np.ndarray:
         """The leading k right singular vectors of the weights (texts x terms), columns of unit length.
 
         Subspace iteration: each pass multiplies the terms' vectors by the weights and their transpose, in
-        tasks that send back one matrix each; between passes the columns are made orthogonal on the driver.
+        tasks that give one matrix each; between passes the columns are made orthogonal on the driver.
         """
         sc, size, held = termed.sparkSession.sparkContext, len(self.weight), termed.sparkSession.sparkContext.broadcast(self.weight)
 
@@ -89,9 +141,11 @@ class TfidfEmbedder:
                 rows = [_weights(t, held.value) for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.float32()))], ["at", "x"])
 
-        sparse = termed.mapInArrow(weights, "at array<int>, x array<float>").cache()
-        total = sparse.agg(F.sum(F.size("at"))).first()[0] or 0
-        dealt = sparse.repartition(int(min(64, total // TASK_WEIGHTS + 1))).cache()
+        sparse = saved(termed.mapInArrow(weights, "at array<int>, x array<float>"), "weights")
+        total = sparse.agg(F.sum(F.size("at").cast("long"))).first()[0] or 0
+        tasks = int(total // TASK_WEIGHTS + 1)
+        dealt = saved(sparse.repartition(tasks), "dealt")
+        forget(sparse)
 
         def squared(w: np.ndarray) -> np.ndarray:
             vectors = sc.broadcast(w.astype(np.float32))
@@ -116,21 +170,21 @@ class TfidfEmbedder:
                         first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
                         out[i[first]] += np.add.reduceat(sums, first)
                 for a in range(0, 0 if out is None else len(out), BLOCK_TERMS):
-                    yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([out[a : a + BLOCK_TERMS].tobytes()], pa.binary())], ["a", "z"])
+                    yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([out[a : a + BLOCK_TERMS].tobytes()], pa.binary())], ["a", "m"])
 
             z = np.zeros(w.shape)
-            for r in dealt.mapInArrow(part, "a long, z binary").toLocalIterator():
-                got = np.frombuffer(r["z"], np.float32).reshape(-1, w.shape[1])
+            parts = dealt.mapInArrow(part, "a long, m binary")
+            for r in (parts if tasks <= self.sizes.merged else decompose.added(parts, ["a"])).toLocalIterator():
+                got = np.frombuffer(r["m"], np.float32).reshape(-1, w.shape[1])
                 z[r["a"] : r["a"] + len(got)] += got
             vectors.unpersist()
             return z
 
-        w = np.linalg.qr(np.random.default_rng(0).standard_normal((size, min(k + SPARE, size))))[0]
+        w = np.linalg.qr(decompose.start(0, size, min(k + SPARE, size)).astype(float))[0]
         for _ in range(PASSES):
             w = np.linalg.qr(squared(w))[0]
         values, turn = np.linalg.eigh(w.T @ squared(w))
-        dealt.unpersist()
-        sparse.unpersist()
+        forget(dealt)
         top = np.argsort(-values)[:k]
         top = top[values[top] > 1e-6 * values.max()]
         return (w @ turn[:, top]).astype(np.float32)
@@ -138,6 +192,8 @@ class TfidfEmbedder:
     def encode(self, df: DataFrame, text: str = "text") -> DataFrame:
         spark = df.sparkSession
         python_ready(spark)
+        if self.vocabulary is not None:
+            return self._encode_blocks(df, text)
         held = spark.sparkContext.broadcast((self.weight, self.projection))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +212,11 @@ class TfidfEmbedder:
         return df.select("*", self.terms(F.coalesce(F.col(text), F.lit(""))).alias("_terms")).mapInArrow(run, schema)
 
 
+def _numbering() -> list[Column]:
+    """Terms are numbered in this order, which deals frequent ones evenly over blocks."""
+    return [F.xxhash64("term"), F.col("term")]
+
+
 def _weights(terms, weight: dict[str, tuple[int, float]]) -> dict[int, float]:
     """Unit tf-idf weights by column; words and characters are scaled apart."""
     counts: dict[str, int] = {}

@@ -11,7 +11,9 @@ text and the original comes back exactly.  ``loss`` lists (start, length) in cod
 string, one span for each assistant text.
 
 Contract: a null text or role is an empty one; a null turn sorts first; rows with equal turns are ordered
-by role, then text, and all count; an empty table gives no conversations; extra columns are dropped.
+by role, then text, and all count; an empty table gives no conversations; extra columns are dropped. Texts
+of any length are kept whole. A conversation is one row, put together in one task in time near linear in its
+turns, so it has to fit into a string of 2 GB.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 TURN, TEXT, PART, END = "<|turn|>", "<|text|>", "<|part|>", "<|end|>"
 LOSS_ROLE = "assistant"
 #: A character of a control string's head, seen before the rest of it.
@@ -33,6 +37,19 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def sums_before(numbers: Column, block: int = 256) -> Column:
+    """For each number the sum of those before it. Appending copies an array, so sums run in blocks and over the blocks' ends."""
+    nothing = lambda: F.struct(F.lit(0).alias("sum"), F.expr("cast(array() as array<int>)").alias("before"))
+    run = lambda xs: F.aggregate(xs, nothing(), lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.array_append(acc["before"], acc["sum"]).alias("before")))
+
+    def joined(blocks: Column) -> Column:
+        firsts = run(F.transform(blocks, lambda b: b["sum"]))["before"]
+        return F.flatten(F.zip_with(blocks, firsts, lambda b, first: F.transform(b["before"], lambda x: x + first)))
+
+    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda k: run(F.slice(xs, k * block + 1, block)))
+    return bound(numbers, lambda xs: F.when(F.size(xs) == 0, F.expr("cast(array() as array<int>)")).otherwise(bound(cut(xs), joined)))
+
+
 def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, formatted, loss) for each conversation."""
     rows = turns.select(
@@ -72,20 +89,10 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
             ),
         )
     )
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans"))
-    return written.select(
-        "conv_id",
-        "formatted",
-        F.aggregate(
-            places,
-            start,
-            lambda acc, p: F.struct(
-                (acc["at"] + p["before"] + p["length"] + p["after"]).alias("at"),
-                F.when(p["loss"], F.array_append(acc["spans"], F.struct((acc["at"] + p["before"]).alias("start"), p["length"].alias("length")))).otherwise(acc["spans"]).alias("spans"),
-            ),
-            lambda acc: acc["spans"],
-        ).alias("loss"),
-    )
+    begins = lambda p, at: F.struct((at + p["before"]).alias("start"), p["length"].alias("length"), p["loss"].alias("loss"))
+    spans = F.zip_with("places", sums_before(F.transform("places", lambda p: p["before"] + p["length"] + p["after"])), begins)
+    lossy = F.transform(F.filter(spans, lambda x: x["loss"]), lambda x: F.struct(x["start"], x["length"]))
+    return written.withColumn("places", places).select("conv_id", "formatted", lossy.alias("loss"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -102,9 +109,16 @@ def read_turns(formatted: Column) -> Column:
     )
 
 
-def read_loss(formatted: Column, loss: Column) -> Column:
-    """The text under the loss mask, unescaped."""
-    return F.array_join(F.transform(loss, lambda s: unescaped(F.substr(formatted, s["start"] + 1, s["length"]))), "")
+def read_loss(formatted: Column, loss: Column, block: int = 256) -> Column:
+    """The text under the loss mask, unescaped. A string is searched from its start for each place, so spans, which are in order, are cut out of pieces that hold a block of them."""
+
+    def cut(spans: Column) -> Column:
+        first, last = F.get(spans, F.lit(0))["start"], F.element_at(spans, -1)
+        piece = F.substr(formatted, first + 1, last["start"] + last["length"] - first)
+        return bound(piece, lambda p: F.transform(spans, lambda s: unescaped(F.substr(p, s["start"] - first + 1, s["length"]))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(loss) - 1) / block).cast("int")), lambda k: cut(F.slice(loss, k * block + 1, block)))
+    return F.when(F.size(loss) == 0, "").otherwise(F.array_join(F.flatten(blocks), ""))
 
 
 def probe(spark: SparkSession) -> DataFrame:

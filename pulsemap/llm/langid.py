@@ -2,15 +2,17 @@
 
 Texts are lower-cased, runs of other characters than letters become one space, and the one- to
 three-character grams are hashed into ``BUCKETS``.  Training counts grams of at most about
-``ROWS_PER_LANG`` rows a language, drawn by a hash of the id, of the ``MOST_LANGS`` languages with most
-rows (equals by name), two documented bounds of what the classifier is fitted to; the matrix of
-log-probabilities (buckets x languages) is broadcast.  Scoring adds the matrix rows of a batch's grams up
-by document in numpy, over whole texts, in pieces whose size falls with the number of languages.
+``ROWS_PER_LANG`` rows a language, drawn by a hash of the id, a documented bound of what the classifier is
+fitted to; every language is learned.  The matrix of log-probabilities (buckets x languages) is broadcast; it
+has at most ``MOST_CELLS`` numbers, so beyond a thousand languages there are fewer buckets, a power of two.
+Scoring adds the matrix rows of a batch's grams up by document in numpy, over whole texts, in pieces whose
+size falls with the number of languages.
 
 Contract: null text, or text without a letter: ``und`` with score 0; equal probability goes to the first
 language by name; without training rows every document is ``und``; very long texts are scored in pieces
 whose sums are added; repeated rows are scored each; an empty table gives no rows; extra columns are
-dropped, whatever their names.
+dropped, whatever their names.  More than ``MOST_LANGS`` different labels raise ValueError: a column with
+that many isn't one of languages.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import python_ready, texts
 
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.1
-ROWS_PER_LANG, MOST_LANGS = 2000, 1000
+ROWS_PER_LANG, MOST_LANGS = 2000, 1 << 15
+#: Numbers in the broadcast matrix (128 MB), and languages that a training task counts before it hands on.
+MOST_CELLS, OPEN_LANGS = 1 << 25, 64
 #: Characters scored at once, and characters times languages.
 PIECE, CELLS = 1 << 20, 1 << 23
 UNKNOWN = "und"
@@ -92,14 +96,23 @@ class Model:
 
     def judge(self, texts_: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score, and whether there is a letter: without languages all texts are UNKNOWN, with a letter or not."""
-        n = len(self.langs)
+        langs, score, letter, step = [], [np.zeros(0)], [np.zeros(0, bool)], max(16, CELLS // max(1, len(self.langs)))
+        for k in range(0, len(texts_), step):
+            a, b, c = self._judge(texts_[k : k + step])
+            langs += a
+            score.append(b)
+            letter.append(c)
+        return langs, np.concatenate(score), np.concatenate(letter)
+
+    def _judge(self, texts_: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        n, mask = len(self.langs), np.uint32(len(self.table) - 1)
         total, letter = np.zeros((len(texts_), n)), np.zeros(len(texts_), bool)
         for lot, owner in pieces_of(texts_, max(1024, min(PIECE, CELLS // max(1, n)))):
             hashed, start, has = grams(lot)
             at = np.array(owner)
             np.logical_or.at(letter, at, has)
             if n:
-                row = sum(self.table[h] for h in hashed)
+                row = sum(self.table[h & mask] for h in hashed)
                 np.add.at(total, at, np.add.reduceat(row, start, axis=0, dtype=np.float64))
         if not n:
             return [UNKNOWN] * len(texts_), np.zeros(len(texts_)), letter
@@ -109,18 +122,31 @@ class Model:
         return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, letter, strict=True)], np.where(letter, share, 0.0), letter
 
 
-def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, most_langs: int = MOST_LANGS) -> Model:
+def buckets_for(langs: int) -> int:
+    """The most buckets, a power of two up to BUCKETS, whose matrix stays within MOST_CELLS."""
+    return min(BUCKETS, 1 << (MOST_CELLS // max(1, langs)).bit_length() - 1)
+
+
+def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Model:
     """Learns from text and lang of the documents that are not held out."""
+    spark = docs.sparkSession
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    found = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
-    langs = sorted(found)
+    found = dict(sorted((r["lang"], r["count"]) for r in usable.groupBy("lang").count().limit(MOST_LANGS + 1).collect()))
+    if len(found) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} different languages")
+    langs, buckets = list(found), buckets_for(len(found))
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    share = F.lit(0.0)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, min(1.0, rows_per_lang / found[lang])).otherwise(share)
-    sample = usable.filter(F.col("lang").isin(langs) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)).select("lang", "text")
-    python_ready(docs.sparkSession)
+    shares = F.broadcast(spark.createDataFrame([(lang, min(1.0, rows_per_lang / n)) for lang, n in found.items()], "lang string, _share double"))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("_share") * 1_000_000
+    sample = usable.select("doc_id", "lang", "text").join(shares, "lang").filter(drawn).select("lang", "text")
+    python_ready(spark)
+
+    def handed_on(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, got in sums.items():
+            at = np.flatnonzero(got)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(got[at], pa.int64())], ["lang", "bucket", "n"])
+        sums.clear()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -128,21 +154,25 @@ def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, most_langs: int =
             names, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lot, owner in pieces_of(bodies):
                 hashed, start, _ = grams(lot)
+                hashed = hashed & np.uint32(buckets - 1)
                 ends = np.append(start[1:], hashed.shape[1])
                 for i, a, b in zip(owner, start, ends, strict=True):
-                    got = sums.setdefault(names[i], np.zeros(BUCKETS, np.int64))
-                    got += np.bincount(hashed[:, a:b].ravel(), minlength=BUCKETS)
-        for lang, got in sums.items():
-            at = np.flatnonzero(got)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(got[at], pa.int64())], ["lang", "bucket", "n"])
+                    if names[i] not in sums and len(sums) >= OPEN_LANGS:
+                        yield from handed_on(sums)
+                    got = sums.setdefault(names[i], np.zeros(buckets, np.int64))
+                    got += np.bincount(hashed[:, a:b].ravel(), minlength=buckets)
+        yield from handed_on(sums)
 
-    # at most BUCKETS rows a language
+    # at most as many rows as the matrix has numbers
     summed = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts, place = np.zeros((BUCKETS, len(langs))), {lang: k for k, lang in enumerate(langs)}
-    counts[summed["bucket"].to_numpy(), np.array([place[x] for x in summed["lang"].to_pylist()], int)] = summed["n"].to_numpy()
-    table = np.log((counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * BUCKETS)).astype(np.float32)
-    sizes = np.array([found[lang] for lang in langs], float)
-    return Model(langs, table, np.log(sizes / sizes.sum()))
+    table, place = np.zeros((buckets, len(langs)), np.float64), {lang: k for k, lang in enumerate(langs)}
+    table[summed["bucket"].to_numpy(), np.array([place[x] for x in summed["lang"].to_pylist()], int)] = summed["n"].to_numpy()
+    every = table.sum(axis=0, dtype=np.float64) + SMOOTHING * buckets
+    table += SMOOTHING
+    table /= every
+    np.log(table, out=table)
+    sizes = np.array(list(found.values()), float)
+    return Model(langs, table.astype(np.float32), np.log(sizes / sizes.sum()))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -63,10 +63,23 @@ def test_languages_of_odd_texts(spark, odd):  # noqa: F811
             assert (lang != "und") == letters[i] and 0 <= score <= 1 and (lang != "und" or score == 0)
 
 
-def test_rare_languages_beyond_the_bound_are_not_learned(spark):
-    rows_ = [(k, f"{'abc'[k % 3]} word number {k}", ["xx", "yy", "zz"][0 if k % 6 < 4 else 1 if k % 6 == 4 else 2]) for k in range(300)]
-    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
-    assert langid.train(docs, most_langs=2).langs == ["xx", "yy"] or langid.train(docs, most_langs=2).langs == ["xx", "zz"]
+@pytest.mark.parametrize("n", [1000, 3000])
+def test_every_language_is_learned(spark, n):
+    """Each language has a word of its own; no language goes, and the matrix stays within its bound."""
+    word = lambda k: "".join(chr(0x4E00 + int(d)) for d in f"{k:04}") + chr(0xAC00 + k)
+    rows_ = [(k, word(k % n) * 3, f"l{k % n:04}") for k in range(4 * n)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string").repartition(8)
+    model = langid.train(docs)
+    assert len(model.langs) >= 0.98 * n and model.table.size <= langid.MOST_CELLS
+    right = [r["lang_pred"] == f"l{r['doc_id'] % n:04}" for r in langid.predict(docs, model).collect() if f"l{r['doc_id'] % n:04}" in model.langs]
+    assert sum(right) > 0.98 * len(right)
+
+
+def test_too_many_labels_raise(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 5)
+    docs = spark.createDataFrame([(k, "abc", f"l{k}") for k in range(60)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.train(docs)
 
 
 def test_many_languages_score_in_small_pieces(spark, monkeypatch):
@@ -116,3 +129,33 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
         shared.shared_dir(one, "x")
     one.sparkContext.master = "local[2]"
     assert shared.shared_dir(one, "x").startswith("file:")
+
+
+def test_a_very_long_conversation(spark):
+    """80,000 turns in one conversation, in runs of any length: everything comes back, the mask covers each assistant text."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from pulsemap.llm import chat
+
+    turns = spark.range(80_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.xxhash64("id") % 3 == 0, "assistant").otherwise("user").alias("role"), F.concat(F.lit("</s>é "), "id").alias("text"))
+    began = time.time()
+    done = chat.format_conversations(turns)
+    r = done.select(F.length("formatted").alias("n"), chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("said"), "loss").first()
+    took = time.time() - began
+    rows_ = turns.orderBy("turn").collect()
+    assert [(t["role"], t["text"]) for t in r["turns"]] == [(t["role"], t["text"]) for t in rows_]
+    assert r["said"] == "".join(t["text"] for t in rows_ if t["role"] == "assistant")
+    assert took < 30, took
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1000])
+def test_sums_before(spark, n):
+    from pyspark.sql import functions as F
+
+    from pulsemap.llm import chat
+
+    xs = [k * 7 % 11 for k in range(n)]
+    got = spark.createDataFrame([(xs,)], "xs array<int>").select(chat.sums_before(F.col("xs")).alias("s")).first()["s"]
+    assert got == [sum(xs[:k]) for k in range(n)]

@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.lexicon import ENGLISH, Language
+from ..functions.ranking import numbered
+from ..functions.shared import saved
 from ..functions.text import dot, fold, tr_lower, unit
+from ..functions.workers import python_ready
+from .linkage import closest, linked, matrix
 
-#: Most vectors clustered in one place; beyond, micro-clusters come first, at most MICRO.
+#: Most vectors clustered in one place; beyond, rounds of merges come first. Most centers that are sent to every worker.
 DIRECT, MICRO = 6000, 3000
+#: Similarities this close count as equal.
+SAME = 1e-12
 #: Terms looked at first for each keyword wanted; more are where these overlap.
 LOOK = 20
 OTHER = -1
@@ -26,20 +38,39 @@ def centroids(vectors: DataFrame, label: str = "label", vector: str = "vector")
 
 
 def nearest(vectors: DataFrame, centers: DataFrame, floor: float, key: str = "label", vector: str = "vector") -> DataFrame:
-    """vectors with (key, similarity) of the most similar center, null below the floor; of equals the smallest key. centers go out in broadcast blocks of at most MICRO."""
-    n = centers.count()
-    if n > MICRO:
-        placed = centers.withColumn("_block", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / MICRO))
-        out = vectors.withColumns({key: F.lit(None).cast(dict(centers.dtypes)[key]), "similarity": F.lit(None).cast("double")})
-        for b in range(-(-n // MICRO)):
-            one = nearest(out.withColumnsRenamed({key: "_key", "similarity": "_similarity"}), placed.filter(F.col("_block") == b).drop("_block"), -2.0, key, vector)
-            last = F.col("_similarity").isNotNull() & (F.col("similarity").isNull() | (F.col("_similarity") > F.col("similarity")) | ((F.col("_similarity") == F.col("similarity")) & (F.col("_key") < F.col(key))))
-            out = one.withColumns({key: F.when(last, F.col("_key")).otherwise(F.col(key)), "similarity": F.when(last, F.col("_similarity")).otherwise(F.col("similarity"))}).drop("_key", "_similarity")
-        return out.withColumn(key, F.when(F.col("similarity") >= floor, F.col(key)))
-    packed = centers.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col("centroid").alias("c")))).alias("_centers"))
-    near = vectors.crossJoin(F.broadcast(packed)).withColumn("_all", F.transform("_centers", lambda s: F.struct(dot(F.col(vector), s["c"]).alias("similarity"), s["key"].alias("key"))))
-    best = F.aggregate("_all", F.get("_all", F.lit(0)), lambda a, b: F.when(b["similarity"] > a["similarity"], b).otherwise(a))
-    return near.withColumn("_best", best).withColumns({key: F.when(F.col("_best.similarity") >= floor, F.col("_best.key")), "similarity": F.col("_best.similarity")}).drop("_centers", "_all", "_best")
+    """vectors with (key, similarity) of the most similar center, null below the floor; of equals the smallest key.
+
+    One matrix product a batch. Up to MICRO centers go to every worker; more are dealt into cells with the vectors, which are written for that.
+    """
+    spark = vectors.sparkSession
+    python_ready(spark)
+    kind = centers.schema[key].dataType
+    held = centers.select(key, "centroid").limit(MICRO + 1).toArrow()
+    schema = StructType([*vectors.schema.fields, StructField(key, kind), StructField("similarity", DoubleType())])
+    if held.num_rows > MICRO:
+        names = saved(numbered(saved(centers.select(key, "centroid"), "centers"), [], [F.col(key)], "_c"), "centers")
+        rows = saved(vectors.withColumn("_row", F.monotonically_increasing_id()), "vectors")
+        found = closest(rows.filter(F.size(vector) > 0).select(F.col("_row").alias("id"), F.col(vector).alias("v")), names.select(F.col("_c").alias("id"), F.col("centroid").alias("v")), apart=False)
+        named = found.join(names.select(F.col("_c").alias("other"), key), "other").select(F.col("id").alias("_row"), key, "similarity")
+        return rows.join(named, "_row", "left").withColumn(key, F.when(F.col("similarity") >= floor, F.col(key))).select(*schema.names)
+    held = held.sort_by(key)
+    c = spark.sparkContext.broadcast(matrix(held["centroid"]) if held.num_rows else None)
+    names, arrow = held[key].combine_chunks(), to_arrow_schema(schema)
+    at = vectors.columns.index(vector)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, given = batch.num_rows, batch.column(at)
+            x, k = np.full(n, np.nan), np.zeros(n, np.int64)
+            there = np.flatnonzero(pc.fill_null(pc.list_value_length(given), 0).to_numpy(zero_copy_only=False)) if c.value is not None else []
+            if len(there):
+                s = matrix(given.take(pa.array(there))) @ c.value.T
+                k[there] = (s >= s.max(axis=1, keepdims=True) - SAME).argmax(axis=1)
+                x[there] = s[np.arange(len(s)), k[there]]
+            best, label = pa.array(x, mask=np.isnan(x)), names.take(pa.array(k, mask=~(x >= floor))) if len(names) else pa.nulls(n, names.type)
+            yield pa.RecordBatch.from_arrays([*batch.columns, label.cast(arrow.field(key).type), best], schema=pa.schema([*batch.schema, arrow.field(key), arrow.field("similarity")]))
+
+    return vectors.mapInArrow(run, schema)
 
 
 def cohesion(vectors: DataFrame, centers: DataFrame, label: str = "label", vector: str = "vector") -> DataFrame:
@@ -106,8 +137,21 @@ def tidy(labels: np.ndarray, vectors: np.ndarray, sizes: np.ndarray, least: int,
     return np.array([renamed[x] for x in out])
 
 
-def cluster_vectors(vectors: DataFrame, threshold: float, least: int, reassign: float = 0.5, key: str = "id", seed: int = 0) -> DataFrame:
-    """(key, cluster). At most DIRECT vectors are clustered on the driver; more are first grouped by MLlib k-means."""
+def _tidy_table(placed: DataFrame, least: int, reassign: float) -> DataFrame:
+    """``tidy`` for a written table (id, v, label): (id, cluster)."""
+    of = lambda df: df.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"))
+    big = saved(of(placed).filter(F.col("size") >= least).select("label"), "large")
+    inside = placed.join(big, "label")
+    centers = saved(centroids(inside, "label", "v").select("label", "centroid"), "large-centers")
+    outside = saved(placed.join(big, "label", "left_anti").select("id", "v"), "small")
+    moved = nearest(outside, centers, reassign, "label", "v").select("id", "label")
+    labels = saved(inside.select("id", "label").unionByName(moved), "labels")
+    ranks = numbered(saved(of(labels.filter("label is not null")), "sizes"), [], [F.desc("size"), F.col("first")], "cluster")
+    return labels.join(ranks.select("label", F.col("cluster").cast("int").alias("cluster")), "label", "left").select("id", F.coalesce("cluster", F.lit(OTHER)).alias("cluster"))
+
+
+def cluster_vectors(vectors: DataFrame, threshold: float, least: int, reassign: float = 0.5, key: str = "id") -> DataFrame:
+    """(key, cluster) by average linkage, small clusters dissolved. At most DIRECT vectors are clustered on the driver; more by rounds of merges, to the same clusters."""
     n = vectors.count()
     spark = vectors.sparkSession
     if n == 0:
@@ -119,16 +163,13 @@ def cluster_vectors(vectors: DataFrame, threshold: float, least: int, reassign:
         labels = average_linkage(v, sizes, threshold) if n >= 3 else np.zeros(n, int)
         labels = tidy(labels, v, sizes, least, reassign)
         return spark.createDataFrame([(tuple(k.values()) if isinstance(k, dict) else k, int(x)) for k, x in zip(keys, labels, strict=True)], f"{key} {dict(vectors.dtypes)[key]}, cluster int")
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    fed = vectors.select(key, array_to_vector(unit(F.col("vector"))).alias("features"), unit(F.col("vector")).alias("vector"))
-    placed = KMeans(k=min(MICRO, n // 3), seed=seed).fit(fed).transform(fed).withColumnRenamed("prediction", "label")
-    micro = centroids(placed, "label").orderBy("label").collect()  # at most MICRO rows
-    v, sizes = np.array([r["centroid"] for r in micro]), np.array([r["size"] for r in micro], float)
-    labels = tidy(average_linkage(v * sizes[:, None], sizes, threshold), v, sizes, least, reassign)
-    names = spark.createDataFrame([(r["label"], int(x)) for r, x in zip(micro, labels, strict=True)], "label int, cluster int")
-    return placed.join(F.broadcast(names), "label").select(key, "cluster")
+    rows = saved(numbered(saved(vectors.select(F.col(key).alias("_key"), unit(F.col("vector")).alias("v")), "units"), [], [F.col("_key")], "_row"), "units")
+    groups = saved(rows.groupBy("v").agg(F.min("_row").alias("id"), F.count(F.lit(1)).alias("n")), "groups")
+    roots, _ = linked(groups, threshold, DIRECT, average_linkage)
+    label = F.coalesce("root", "id").alias("label")
+    placed = saved(rows.join(groups.select("v", "id"), "v").join(roots, F.col("id") == F.col("gone"), "left").select("_key", "v", F.col("_row"), label), "placed")
+    done = _tidy_table(placed.select(F.col("_row").alias("id"), "v", "label"), least, reassign)
+    return placed.select("_key", "_row").join(done, F.col("_row") == F.col("id")).select(F.col("_key").alias(key), "cluster")
 
 
 def cue_rates(segments: DataFrame, lang: Language = ENGLISH) -> DataFrame:

@@ -64,9 +64,9 @@ class Analysis:
 
 
 def content(segments: DataFrame, prototypes: DataFrame, threshold: float) -> DataFrame:
-    """Segments that are not boilerplate, or all of a document that has nothing else. prototypes: a fixed list, broadcast."""
-    packed = prototypes.agg(F.collect_list("vector").alias("_p"))
-    near = segments.crossJoin(F.broadcast(packed)).withColumn("boilerplate", F.exists("_p", lambda p: dot(F.col("vector"), p) >= threshold)).drop("_p")
+    """Segments that are not boilerplate, or all of a document that has nothing else. prototypes: a fixed list."""
+    listed = prototypes.select(F.monotonically_increasing_id().alias("_p"), F.col("vector").alias("centroid"))
+    near = themes.nearest(segments, listed, threshold, "_p").withColumn("boilerplate", F.col("_p").isNotNull()).drop("_p", "similarity")
     only = F.min(F.col("boilerplate").cast("int")).over(Window.partitionBy("doc_id")) == 1
     return near.withColumn("_only", only).filter(~F.col("boilerplate") | F.col("_only")).drop("_only", "boilerplate")
 

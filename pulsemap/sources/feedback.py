@@ -7,7 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..functions.ranking import numbered
+from ..functions.shared import saved
+from . import csvscan
 
 # The column names that exports use, first match first.
 ALIASES = {
@@ -57,45 +60,56 @@ def peek(spark: SparkSession, path: str, n: int = PEEK) -> bytes:
         stream.close()
 
 
-def _windows_1254(df: DataFrame) -> DataFrame:
-    """Latin-1 text as Windows-1254, where every byte has a meaning there."""
+def _cp1254() -> tuple[str, str]:
+    """Characters of Latin-1, and what their bytes are in Windows-1254 where the two differ."""
     pairs = [(bytes([b]).decode("latin-1"), bytes([b]).decode("cp1254", "ignore")) for b in range(128, 256)]
     old, new = ("".join(x) for x in zip(*[(a, b) for a, b in pairs if b and a != b], strict=True))
-    return df.select(*[F.translate(F.col(f"`{c}`"), old, new).alias(c.translate(str.maketrans(old, new))) for c in df.columns])
+    return old, new
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings. UTF-16 and UTF-8 by their marks, else UTF-8 if valid throughout, else Windows-1254, else Latin-1."""
-    head = peek(spark, path)
-    legacy = False
-    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        encoding = "UTF-16"
-    elif spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count():
-        encoding, legacy = "ISO-8859-1", True
-    else:
-        encoding = "UTF-8"
-    line = head.decode({"UTF-16": "utf-16", "UTF-8": "utf-8-sig"}.get(encoding, "latin-1"), "ignore").split("\n")[0]
-    sep = max(",;\t|", key=lambda c: (line.count(c), -",;\t|".index(c)))
-    df = spark.read.options(header=True, sep=sep, encoding=encoding, multiLine=True, escape='"').csv(path)
-    undefined = "[\x81\x8d\x8e\x8f\x90\x9d\x9e]"
-    if legacy and not spark.read.options(sep=sep, encoding=encoding, multiLine=True).csv(path).filter(reduce(lambda a, b: a | b, [F.coalesce(F.col(f"_c{k}").rlike(undefined), F.lit(False)) for k in range(len(df.columns))])).limit(1).count():
-        df = _windows_1254(df)
-    return df
+def source_place() -> Column:
+    """Where a row of a file lies: file, first byte of the range, place in the range."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
+
 
+def read_csv(spark: SparkSession, path: str, place: str | None = None) -> DataFrame:
+    """All columns as strings. UTF-16 and UTF-8 by their marks, else UTF-8 if valid throughout, else Windows-1254, else Latin-1.
 
-def read_table(source: str | DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """A DataFrame as it is, or a file by its suffix."""
+    Ranges of the file are read by tasks of their own, quoted line breaks or not; UTF-16, whose line ends the text source doesn't know, is one task. ``place`` names a column for source_place().
+    """
+    head = peek(spark, path)
+    wide = head[:2] in (b"\xff\xfe", b"\xfe\xff")
+    line = head.decode("utf-16" if wide else "utf-8-sig" if head.startswith(csvscan.BOM) else "latin-1", "ignore")
+    line_end = "\n" if "\n" in line or "\r" not in line else "\r"
+    line = line.split(line_end)[0]
+    sep = max(",;\t|", key=lambda c: (line.count(c), -",;\t|".index(c)))
+    options = {"header": True, "sep": sep, "multiLine": True, "escape": '"'}
+    if wide:
+        df = spark.read.options(encoding="UTF-16", **options).csv(path)
+        return df.withColumn(place, source_place()) if place else df
+    found = csvscan.scan(spark, path, sep, line_end)
+    names = spark.read.options(encoding="UTF-8" if found.valid else "ISO-8859-1", **options).csv(path).columns
+    text = F.col("rec").cast("string") if found.valid else F.decode("rec", "ISO-8859-1")
+    if not found.valid and not found.undefined:
+        old, new = _cp1254()
+        text, names = F.translate(text, old, new), [c.translate(str.maketrans(old, new)) for c in names]
+    text = F.regexp_replace(text, "\r$", "") if line.endswith("\r") else text
+    rows = found.records.filter("block != 0 or seq != 0").select(text.alias("_rec"), F.struct("file", "block", "seq").alias("_place"))
+    return rows.select(*csvscan.fields(F.col("_rec"), names, sep), *([F.col("_place").alias(place)] if place else []))
+
+
+def read_table(source: str | DataFrame, spark: SparkSession | None = None, place: str | None = None) -> DataFrame:
+    """A DataFrame as it is, or a file by its suffix. ``place`` names a column for where each row lies in its source; of a DataFrame, in its partitions."""
     if isinstance(source, DataFrame):
-        return source
+        return source.withColumn(place, F.monotonically_increasing_id()) if place else source
     spark = spark or SparkSession.getActiveSession()
     suffix = source.rsplit(".", 1)[-1].lower()
     if suffix in ("xlsx", "xls"):
         raise SchemaError("Excel files need a reader that is not installed; export the sheet as CSV")
-    if suffix in ("json", "jsonl"):
-        return spark.read.option("multiLine", suffix == "json").json(source)
-    if suffix in ("parquet", "orc"):
-        return spark.read.format(suffix).load(source)
-    return read_csv(spark, source)
+    if suffix not in ("json", "jsonl", "parquet", "orc"):
+        return read_csv(spark, source, place)
+    df = spark.read.option("multiLine", suffix == "json").json(source) if suffix.startswith("json") else spark.read.format(suffix).load(source)
+    return df.withColumn(place, source_place()) if place else df
 
 
 NUMERIC = r"^\s*(\d{1,2})([./-])(\d{1,2})\2(\d{2,4})"
@@ -139,45 +153,36 @@ def with_subject(df: DataFrame) -> Column:
     return F.nullif(plain, F.lit(""))
 
 
-def numbered(df: DataFrame, name: str, bucket: Column, *order: str) -> DataFrame:
-    """df with the place of each row, from 0, in the order of bucket, then ``order``. Buckets are sorted apart; only their sizes, one row a bucket, are summed in one place."""
-    df = df.withColumn("_bucket", bucket)
-    rising = Window.orderBy("_bucket")
-    before = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).select("_bucket", (F.sum("_n").over(rising) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
-    return df.withColumn("_place", place).join(F.broadcast(before), "_bucket").withColumn(name, F.col("_before") + F.col("_place")).drop("_bucket", "_place", "_before")
-
-
 def load_feedback(source: str | DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Rows with text and a date, typed, with defaults, and ``doc_id`` in order of time, then of the source."""
-    df = resolve(read_table(source, spark), FEEDBACK)
+    df = resolve(read_table(source, spark, "_at"), FEEDBACK)
     if missing := [c for c in ("text", "created_at") if c not in df.columns]:
-        raise SchemaError(f"missing columns: {', '.join(missing)}; found: {', '.join(df.columns)}")
-    df = df.withColumn("_at", F.monotonically_increasing_id())
+        raise SchemaError(f"missing columns: {', '.join(missing)}; found: {', '.join(c for c in df.columns if c != '_at')}")
     df = df.withColumns({"text": with_subject(df), "created_at": parse_dates(df, "created_at")}).filter("text is not null and created_at is not null")
+    df = saved(df, "loaded")
+    if df.isEmpty():
+        raise SchemaError("no rows with text and a date")
     if "feedback_id" not in df.columns:
-        df = numbered(df, "_row", F.shiftright("_at", 33), "_at").withColumn("feedback_id", F.format_string("FB-%05d", F.col("_row") + 1)).drop("_row")
+        df = saved(numbered(df, [], [F.col("_at")], "_row").withColumn("feedback_id", F.format_string("FB-%05d", F.col("_row") + 1)).drop("_row"), "loaded")
+    df = numbered(df, [], [F.col("created_at"), F.col("_at")], "doc_id").drop("_at")
     df = df.withColumn("feedback_id", F.col("feedback_id").cast("string"))
     df = df.withColumn("account_id", F.col("account_id").cast("string") if "account_id" in df.columns else F.col("feedback_id"))
     df = df.withColumn("channel", F.col("channel").cast("string") if "channel" in df.columns else F.lit("unknown"))
-    df = df.withColumn("rating", F.expr("try_cast(rating as double)") if "rating" in df.columns else F.lit(None).cast("double"))
-    if df.isEmpty():
-        raise SchemaError("no rows with text and a date")
-    return numbered(df, "doc_id", F.date_trunc("hour", "created_at"), "created_at", "_at").drop("_at")
+    return df.withColumn("rating", F.expr("try_cast(rating as double)") if "rating" in df.columns else F.lit(None).cast("double"))
 
 
-def keep_first(df: DataFrame, key: str) -> DataFrame:
-    """The first row of each key, in source order."""
-    df = df.withColumn("_at", F.monotonically_increasing_id())
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("_at"))).filter("_k = 1").drop("_k", "_at")
+def keep_first(df: DataFrame, key: str, place: str) -> DataFrame:
+    """The first row of each key, by place, without the place. Partial aggregation keeps a frequent key from one task."""
+    rows = df.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*df.columns), place).alias("_row"))
+    return rows.select("_row.*").drop(place)
 
 
 def load_accounts(source: str | DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    df = resolve(read_table(source, spark), ("account_id", "mrr"))
+    df = resolve(read_table(source, spark, "_at"), ("account_id", "mrr"))
     if missing := [c for c in ("account_id", "mrr") if c not in df.columns]:
         raise SchemaError(f"missing columns: {', '.join(missing)}")
     df = df.withColumns({"account_id": F.col("account_id").cast("string"), "mrr": F.coalesce(F.expr("try_cast(mrr as double)"), F.lit(0.0))})
-    return keep_first(df if "plan" in df.columns else df.withColumn("plan", F.lit("unknown")), "account_id")
+    return keep_first(df if "plan" in df.columns else df.withColumn("plan", F.lit("unknown")), "account_id", "_at")
 
 
 def load_releases(source: str | DataFrame, spark: SparkSession | None = None) -> DataFrame:
@@ -190,16 +195,25 @@ def load_releases(source: str | DataFrame, spark: SparkSession | None = None) ->
     return df.orderBy("date")
 
 
+def stem(name: str) -> str:
+    """A path's last part without its suffix, if it is one that read_table knows."""
+    return re.sub(r"(?i)(?<=.)\.(csv|tsv|txt|jsonl?|parquet|orc|xlsx?)$", "", name.rstrip("/").rsplit("/", 1)[-1])
+
+
+def channel_of(name: str) -> str:
+    """A name without the date at its end, so that monthly exports are one channel."""
+    return re.sub(r"[_\-. ]*\d{4,8}$", "", name) or name
+
+
 def combine_feedback(sources: dict[str, str | DataFrame], spark: SparkSession | None = None) -> DataFrame:
-    """Several exports as one: ids carry the export's name, which also is the channel of an export without one."""
+    """Several exports as one, in order of time, then of the exports as given, then of their rows. Ids carry the export's name, of a path its stem, which without a date at its end also is the channel of an export without one."""
     parts = []
-    for name, source in sources.items():
-        raw = read_table(source, spark)
-        accounts = "account_id" in resolve(raw, FEEDBACK).columns
-        df = load_feedback(raw)
-        stem = re.sub(r"[_\-. ]*\d{4,8}$", "", re.sub(r"\.[^./]*$", "", name.rsplit("/", 1)[-1]))
+    for k, (given, source) in enumerate(sources.items()):
+        name = stem(given)
+        accounts = "account_id" in resolve(read_table(source, spark), FEEDBACK).columns
+        df = load_feedback(source, spark)
         known = df.filter("channel != 'unknown'").limit(1).count()
         df = df.withColumn("feedback_id", F.concat(F.lit(f"{name}:"), "feedback_id"))
-        parts.append(df.withColumns({"channel": F.col("channel") if known else F.lit(stem), "account_id": F.col("account_id") if accounts else F.col("feedback_id")}))
-    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return numbered(out.drop("doc_id"), "doc_id", F.date_trunc("hour", "created_at"), "created_at", "feedback_id")
+        parts.append(df.withColumns({"channel": F.col("channel") if known else F.lit(channel_of(name)), "account_id": F.col("account_id") if accounts else F.col("feedback_id"), "_source": F.lit(k)}))
+    out = saved(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).withColumnRenamed("doc_id", "_place"), "combined")
+    return numbered(out, [], [F.col("created_at"), F.col("_source"), F.col("_place")], "doc_id").drop("_source", "_place")

@@ -70,13 +70,24 @@ def weekly_mentions(mentions: DataFrame, feedback: DataFrame) -> DataFrame:
     return grid.join(counts, ["week", "theme_id"], "left").select("week", "theme_id", F.coalesce("n", F.lit(0)).alias("n"), "total")
 
 
-def daily_grid(mentions: DataFrame) -> DataFrame:
-    """(day, theme_id, n) for every theme and day between the first and the last."""
-    days = mentions.agg(F.min(F.to_date("created_at")).alias("a"), F.max(F.to_date("created_at")).alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
+def calendar(items: DataFrame) -> DataFrame:
+    """(day): every day from the first item's to the last's."""
+    return items.agg(F.min(F.to_date("created_at")).alias("a"), F.max(F.to_date("created_at")).alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
+
+
+def daily_grid(mentions: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """(day, theme_id, n) for every theme and day between the first and the last mention, or item where items are given."""
     counts = mentions.groupBy(F.to_date("created_at").alias("day"), "theme_id").agg(F.countDistinct("doc").alias("n"))
+    days = calendar(mentions if items is None else items)
     return days.crossJoin(mentions.select("theme_id").distinct()).join(counts, ["day", "theme_id"], "left").select("day", "theme_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def daily_items(items: DataFrame) -> DataFrame:
+    """(day, n) of all items, days without any too."""
+    counts = items.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return calendar(items).join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def trailing(grid: DataFrame) -> DataFrame:
     """The grid with the sums of the last 7 days and of the 28 before, and the naive rule of twice the usual and at least 5."""
     w = Window.partitionBy("theme_id").orderBy("day")

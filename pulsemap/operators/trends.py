@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .mentions import window_counts
+from .mentions import daily_grid, daily_items, window_counts
 from .stats import benjamini_hochberg, compare_rates, volume_ratio
 
 RECENT_DAYS, BASELINE_DAYS, ALPHA, QUIET, EMERGING = 28, 84, 0.05, 5, 1.5
@@ -40,24 +41,22 @@ def detect_trends(mentions: DataFrame, feedback: DataFrame, as_of: Column, recen
     return benjamini_hochberg(rows).withColumn("status", status(alpha))
 
 
-def backtest(mentions: DataFrame, recent_days: int = RECENT_DAYS, baseline_days: int = BASELINE_DAYS, from_day: int = 42, alpha: float = ALPHA) -> DataFrame:
-    """(day, theme_id, ..., status): what detect_trends would have said at the end of each day, from day from_day on.
+def backtest(mentions: DataFrame, items: DataFrame, recent_days: int = RECENT_DAYS, baseline_days: int = BASELINE_DAYS, from_day: int = 42, alpha: float = ALPHA, method: str = "median_of_ratios") -> DataFrame:
+    """(day, theme_id, ..., status): what detect_trends would have said at the end of each day, from day from_day of the items on.
 
-    One query instead of a loop over days: windows are running sums over the dense grid of days and
-    themes, the tests are rows, and false discovery is controlled within each day. A document has one day,
-    so daily distinct counts add up.
+    One query instead of a loop over days: windows are running sums over the dense grid of days and themes
+    and over the days' items, the tests are rows, and false discovery is controlled within each day. A
+    document has one day, so daily distinct counts add up; totals count every item once, with or without themes.
     """
-    from pyspark.sql.window import Window
+    by_theme, by_day = Window.partitionBy("theme_id").orderBy("day"), Window.partitionBy(F.lit(0)).orderBy("day")  # one row a day
 
-    from .mentions import daily_grid
+    def windows(w, n: str, a: str, b: str) -> list[Column]:
+        return [F.sum(n).over(w.rowsBetween(1 - recent_days, 0)).alias(a), F.coalesce(F.sum(n).over(w.rowsBetween(1 - recent_days - baseline_days, -recent_days)), F.lit(0)).alias(b)]
 
-    w = Window.partitionBy("theme_id").orderBy("day")
-    sums = daily_grid(mentions).select(
-        "day", "theme_id", F.sum("n").over(w.rowsBetween(1 - recent_days, 0)).alias("a"), F.coalesce(F.sum("n").over(w.rowsBetween(1 - recent_days - baseline_days, -recent_days)), F.lit(0)).alias("b"), F.row_number().over(w).alias("i"),
-    )
-    day = Window.partitionBy("day")
-    counts = sums.filter(F.col("i") > from_day).withColumns({"ta": F.sum("a").over(day), "tb": F.sum("b").over(day)})
-    expected = volume_ratio(counts, F.col("ta"), F.col("tb"), ("day",))
+    sums = daily_grid(mentions, items).select("day", "theme_id", *windows(by_theme, "n", "a", "b"))
+    totals = daily_items(items).select("day", *windows(by_day, "n", "ta", "tb"), F.row_number().over(by_day).alias("i")).filter(F.col("i") > from_day)
+    counts = sums.join(totals, "day")
+    expected = volume_ratio(counts, F.col("ta"), F.col("tb"), ("day",), method)
     tested = counts.join(expected, "day").withColumn("r", compare_rates(F.col("a"), F.col("b"), F.col("expected")))
     rows = tested.select("day", "theme_id", F.col("a").alias("recent_mentions"), F.col("b").alias("baseline_mentions"), F.col("r.ratio").alias("lift"), F.col("r.p_value").alias("p_value"))
     return benjamini_hochberg(rows, by=("day",)).withColumn("status", status(alpha))

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import saved
 from ..operators import evaluate, mentions, trends
 from ..sources.synthetic import Dataset
 from .analysis import Analysis
@@ -24,10 +25,11 @@ def _primary(a: Analysis, truth: DataFrame) -> DataFrame:
 
 def evaluate_all(a: Analysis, data: Dataset, warmup_days: int = 42) -> dict[str, DataFrame]:
     """Every measure as a small table."""
-    table, named = _primary(a, data.ground_truth), named_themes(a, data.ground_truth).cache()
+    config, table = a.config, _primary(a, data.ground_truth)
+    named = saved(named_themes(a, data.ground_truth), "named")
     quality = evaluate.sentiment_quality(a.feedback.join(data.ground_truth, "feedback_id"))
-    replayed = trends.backtest(a.mentions, a.config.recent_days, a.config.baseline_days, warmup_days, a.config.alpha).cache()
-    log = evaluate.alert_log(replayed, mentions.trailing(mentions.daily_grid(a.mentions)), named, data.events).cache()
+    replayed = saved(trends.backtest(a.mentions, a.feedback, config.recent_days, config.baseline_days, warmup_days, config.alpha, config.volume_normalization), "replayed")
+    log = saved(evaluate.alert_log(replayed, mentions.trailing(mentions.daily_grid(a.mentions, a.feedback)), named, data.events), "alerts")
     detected = evaluate.detection(log, data.events)
     out = {
         "themes": evaluate.agreement(table), "coverage": evaluate.coverage(table), "recovery": evaluate.recovery(table), "sentiment": quality, "sign_accuracy": evaluate.sign_accuracy(quality), "detection": detected, "alerts": evaluate.alert_summary(log, detected),

@@ -173,9 +173,23 @@ def sentiment(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", F.round(text_sentiment(F.col("text")), 6).alias("sentiment"))
 
 
+def _items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(mentions, items): every event is an item; views have no theme, and dear events have one more than their type."""
+    e = _t(spark, d, "events").select(F.col("event_id").alias("doc"), F.col("event_type").alias("theme_id"), F.col("ts").alias("created_at"), "value")
+    typed, dear = e.filter("theme_id != 'view'"), e.filter("value >= 10").withColumn("theme_id", F.lit("dear"))
+    return typed.unionByName(dear).drop("value"), e.select("created_at")
+
+
+def _replay(spark: SparkSession, d: str, method: str = "median_of_ratios") -> DataFrame:
+    return trends.backtest(*_items(spark, d), recent_days=5, baseline_days=10, from_day=12, alpha=0.5, method=method)
+
+
 def backtest(spark: SparkSession, d: str) -> DataFrame:
-    got = trends.backtest(_events(spark, d)[0], recent_days=5, baseline_days=10, from_day=12)
-    return got.select("day", "theme_id", "recent_mentions", "baseline_mentions", _r("lift"), _r("p_value"), _r("q_value"), "status")
+    return _replay(spark, d).select("day", "theme_id", "recent_mentions", "baseline_mentions", _r("lift"), _r("p_value"), _r("q_value"), "status")
+
+
+def backtest_by_volume(spark: SparkSession, d: str) -> DataFrame:
+    return _replay(spark, d, "total").select("day", "theme_id", "recent_mentions", "baseline_mentions", _r("lift"), _r("p_value"), _r("q_value"), "status")
 
 
 EVENTS = (("click", 6, 12, "spike"), ("purchase", 3, None, "gradual growth"), ("view", 14, 15, "drop"))
@@ -190,28 +204,22 @@ def _known(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return events, e.select(F.col("event_type").alias("theme_id")).distinct().withColumn("true_theme", F.col("theme_id"))
 
 
-def _naive_log(spark: SparkSession, d: str) -> DataFrame:
-    """The evaluation's log over the dense grid, with a plain status in place of the tested one: at least a quarter above the day before."""
-    from pyspark.sql.window import Window
-
-    m = _events(spark, d)[0]
-    grid = mentions.daily_grid(m)
-    before = F.lag("n").over(Window.partitionBy("theme_id").orderBy("day"))
-    replayed = grid.withColumn("status", F.when(F.col("n") >= 1.25 * before, "emerging").otherwise("stable"))
+def _alert_log(spark: SparkSession, d: str) -> DataFrame:
+    """The evaluation's log of the replay."""
     events, named = _known(spark, d)
-    return evaluate.alert_log(replayed, mentions.trailing(grid), named, events, grace=2)
+    return evaluate.alert_log(_replay(spark, d), mentions.trailing(mentions.daily_grid(*_items(spark, d))), named, events, grace=2)
 
 
 def alert_log(spark: SparkSession, d: str) -> DataFrame:
-    return _naive_log(spark, d)
+    return _alert_log(spark, d)
 
 
 def alert_detection(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.detection(_naive_log(spark, d), _known(spark, d)[0])
+    return evaluate.detection(_alert_log(spark, d), _known(spark, d)[0])
 
 
 def alert_summary(spark: SparkSession, d: str) -> DataFrame:
-    log = _naive_log(spark, d)
+    log = _alert_log(spark, d)
     return evaluate.alert_summary(log, evaluate.detection(log, _known(spark, d)[0]))
 
 
@@ -266,13 +274,59 @@ def _p(a: str, b: str, f: str) -> str:
     return f"case when {a} + {b} = 0 or {f} is null or isnan({f}) then 1.0 else least(1.0, list_sum(list_transform(list_filter(range(0, ({a} + {b} + 1)::bigint), lambda k: {term('k')} <= {term(a)} + ln(1 + 1e-7)), lambda k: exp({term('k')})))) end"
 
 
-_STATUS = "case when a + b < 5 then 'quiet' when q < 0.05 and b = 0 then 'new' when q < 0.05 and lift >= 1.5 then 'emerging' when q < 0.05 and lift > 1 then 'rising' when q < 0.05 and lift < 1 then 'declining' else 'stable' end"
+_STATUS_AT = lambda alpha: f"case when a + b < 5 then 'quiet' when q < {alpha} and b = 0 then 'new' when q < {alpha} and lift >= 1.5 then 'emerging' when q < {alpha} and lift > 1 then 'rising' when q < {alpha} and lift < 1 then 'declining' else 'stable' end"
+_STATUS = _STATUS_AT(0.05)
 _EXPECTED = "case when count(*) filter (a + b >= 10) >= 4 then exp(median(case when a + b >= 10 then ln((a + 0.5) / (b + 0.5)) end)) when max(ta) > 0 and max(tb) > 0 then max(ta)::double / max(tb) else 'nan'::double end"
 _AGREE = "with c as (select lang as t, source as p, count(*) as n from documents group by 1, 2), rt as (select t, sum(n) as m from c group by 1), cp as (select p, sum(n) as m from c group by 1)"
 
 _DAILY = "with g as (select day::date as day, theme_id from (select unnest(generate_series((select min(ts)::date from events), (select max(ts)::date from events), interval 1 day)) as day) cross join (select distinct event_type as theme_id from events)), c as (select ts::date as day, event_type as theme_id, count(*) as n from events group by 1, 2), d as (select day, theme_id, coalesce(n, 0) as n from g left join c using (day, theme_id)), s as (select *, sum(n) over (partition by theme_id order by day rows between 6 preceding and current row)::bigint as last7, coalesce(sum(n) over (partition by theme_id order by day rows between 34 preceding and 7 preceding), 0)::bigint as prior28, lag(n) over (partition by theme_id order by day) as before from d)"
 _KNOWN = "select theme, lo + a::int as start_date, lo + b::int as end_date, kind from (select min(ts)::date as lo from events), (values " + ", ".join(f"('{t}', {a}, {'null' if b is None else b}, '{k}')" for t, a, b, k in EVENTS) + ") as v(theme, a, b, kind)"
-_LOG = _DAILY + f", known as ({_KNOWN}), raw as (select day, 'rate_test' as method, theme_id from s where n >= 1.25 * before union all select day, 'naive_2x' as method, theme_id from s where last7 >= 2 * prior28 / 4 and last7 >= 5), log as (select day, method, theme_id, theme_id as true_theme, exists (select 1 from known where kind in ('spike', 'gradual growth') and theme = theme_id and day >= start_date and (end_date is null or day <= end_date + 2)) as expected from raw)"
+_VOLUME = "case when max(ta) > 0 and max(tb) > 0 then max(ta)::double / max(tb) else 'nan'::double end"
+
+
+def _replay_sql(expected: str) -> str:
+    """The replay: windows of 5 and of 10 days before, from the 13th day of the items on."""
+    return f"""
+with m as (
+  select event_id as doc, ts::date as day, event_type as theme_id from events where event_type != 'view'
+  union all select event_id, ts::date, 'dear' from events where value >= 10
+), days as (
+  select unnest(generate_series(min(ts)::date, max(ts)::date, interval 1 day))::date as day from events
+), items as (
+  select days.day, count(event_id) as n from days left join events on ts::date = days.day group by 1
+), totals as (
+  select day, sum(n) over (order by day rows between 4 preceding and current row)::bigint as ta,
+    coalesce(sum(n) over (order by day rows between 14 preceding and 5 preceding), 0)::bigint as tb, row_number() over (order by day) as i
+  from items
+), told as (
+  select day, theme_id, count(distinct doc) as n from m group by 1, 2
+), dense as (
+  select day, theme_id, coalesce(n, 0) as n from days cross join (select distinct theme_id from m) left join told using (day, theme_id)
+), s as (
+  select day, theme_id, sum(n) over (w rows between 4 preceding and current row)::bigint as a,
+    coalesce(sum(n) over (w rows between 14 preceding and 5 preceding), 0)::bigint as b,
+    sum(n) over (w rows between 6 preceding and current row)::bigint as last7,
+    coalesce(sum(n) over (w rows between 34 preceding and 7 preceding), 0)::bigint as prior28
+  from dense window w as (partition by theme_id order by day)
+), t as (select s.*, ta, tb from s join totals using (day) where i > 12),
+f as (select day, {expected} as f from t group by 1),
+r as (select day, theme_id, a, b, last7, prior28, (a + 0.5) / (b + 0.5) / f as lift, {_p("a", "b", "f")} as p from t join f using (day)),
+k as (select *, row_number() over (partition by day order by p) as rk, count(*) over (partition by day) as n from r),
+q as (select *, least(1, min(p * n / rk) over (partition by day order by rk rows between current row and unbounded following)) as q from k),
+replay as (select *, {_STATUS_AT(0.5)} as status from q)
+"""
+
+
+_REPLAYED = "select day, theme_id, a as recent_mentions, b as baseline_mentions, round(lift, 6) as lift, round(p, 6) as p_value, round(q, 6) as q_value, status from replay"
+_LOG = _replay_sql(_EXPECTED) + f"""
+, known as ({_KNOWN}), raw as (
+  select day, 'rate_test' as method, theme_id from replay where status in ('new', 'emerging')
+  union all select day, 'naive_2x', theme_id from replay where last7 >= 2 * prior28 / 4 and last7 >= 5
+), log as (
+  select day, method, theme_id, case when theme_id in (select event_type from events) then theme_id end as true_theme,
+    exists (select 1 from known where kind in ('spike', 'gradual growth') and theme = theme_id and day >= start_date and (end_date is null or day <= end_date + 2)) as expected
+  from raw
+)"""
 _DETECTED = "select theme as spike, start_date as started, m.method, min(day) as first_alert, datediff('day', start_date, min(day))::int as days_to_detect from (select * from known where kind = 'spike') cross join (values ('rate_test'), ('naive_2x')) as m(method) left join log on log.method = m.method and true_theme = theme and day >= start_date group by 1, 2, 3"
 _RELEASED = ", ".join(f"({v!r}, " + (repr(x) if x else "null") + ")" for v, _, x in RELEASES)
 _MAP = lambda d: "map {" + ", ".join(f"'{k}': {v}" for k, v in d.items()) + "}"
@@ -298,7 +352,8 @@ ORACLE = {
     "accounts_joined": "select coalesce(c_mktsegment, 'unknown') as plan, count(*) as items, round(sum(coalesce(greatest(c_acctbal, 0), 0)), 2) as mrr from orders left join customer on o_custkey + 3 = c_custkey group by 1",
     "theme_centroids": "with f as (select label, unnest(range(1, len(embedding) + 1)) as k, unnest(embedding)::double as x, vec_id from embeddings), s as (select label, k, avg(x) as x, count(*) as n from f group by 1, 2), u as (select label, k, x / sqrt(sum(x * x) over (partition by label)) as x, n from s), l as (select vec_id, sqrt(sum(x * x)) as l from f group by 1), d as (select f.label, vec_id, sum(f.x * u.x) as d from f join u using (label, k) group by 1, 2) select label, (select max(n) from u where u.label = d.label) as size, round(avg(d / l), 5) as cohesion, round((select x from u where u.label = d.label and k = 1), 5) as first_component from d join l using (vec_id) group by label",
     "nearest_theme": "with f as (select label, unnest(range(1, len(embedding) + 1)) as k, unnest(embedding)::double as x, vec_id from embeddings), s as (select label, k, avg(x) as x from f group by 1, 2), u as (select label, k, x / sqrt(sum(x * x) over (partition by label)) as x from s), d as (select vec_id, u.label, sum(f.x * u.x) as d from f join u using (k) group by 1, 2), b as (select *, row_number() over (partition by vec_id order by d desc, label) as r from d) select vec_id, case when d >= 0.2 then label end as label, round(d, 5) as similarity from b where r = 1",
-    "backtest": f"with g as (select day::date as day, theme_id from (select unnest(generate_series((select min(ts)::date from events), (select max(ts)::date from events), interval 1 day)) as day) cross join (select distinct event_type as theme_id from events)), c as (select ts::date as day, event_type as theme_id, count(*) as n from events group by 1, 2), d as (select day, theme_id, coalesce(n, 0) as n from g left join c using (day, theme_id)), s as (select day, theme_id, sum(n) over (partition by theme_id order by day rows between 4 preceding and current row)::bigint as a, coalesce(sum(n) over (partition by theme_id order by day rows between 14 preceding and 5 preceding), 0)::bigint as b, row_number() over (partition by theme_id order by day) as i from d), t as (select *, sum(a) over (partition by day) as ta, sum(b) over (partition by day) as tb from s where i > 12), f as (select day, {_EXPECTED} as f from t group by 1), r as (select day, theme_id, a, b, (a + 0.5) / (b + 0.5) / f as lift, {_p('a', 'b', 'f')} as p from t join f using (day)), k as (select *, row_number() over (partition by day order by p) as rk, count(*) over (partition by day) as n from r), q as (select *, least(1, min(p * n / rk) over (partition by day order by rk rows between current row and unbounded following)) as q from k) select day, theme_id, a as recent_mentions, b as baseline_mentions, round(lift, 6) as lift, round(p, 6) as p_value, round(q, 6) as q_value, {_STATUS} as status from q",
+    "backtest": _replay_sql(_EXPECTED) + _REPLAYED,
+    "backtest_by_volume": _replay_sql(_VOLUME) + _REPLAYED,
     "alert_episodes": _DAILY + ", hit as (select theme_id, day from s where n >= prior28 / 28 and n > 0), z as (select *, day - (row_number() over (partition by theme_id order by day))::int as run from hit) select theme_id, min(day) as first_day, max(day) as last_day from z group by theme_id, run",
     "alert_log": _LOG + " select * from log",
     "alert_detection": _LOG + f", det as ({_DETECTED}) select * from det",
@@ -319,7 +374,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         theme_metrics, theme_mix, weekly, daily_trailing, alert_episodes, early_warnings, false_discovery, priority_scores, release_radar, release_verdicts, theme_agreement, theme_recovery, rating_scores, folded, accounts_joined,
-        theme_centroids, nearest_theme, theme_keywords, segments, redacted, sentiment, backtest,
+        theme_centroids, nearest_theme, theme_keywords, segments, redacted, sentiment, backtest, backtest_by_volume,
         alert_log, alert_detection, alert_summary, sentiment_quality, release_matching, side_effects_checked, score_parts, window_counts, first_mentions, majority_theme, timeline_shares, release_windows,
     )
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,3 +39,13 @@ def forget(*tables: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._saved_at)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def side_by_side(*work: Callable[[], object]) -> list:
+    """Results of functions that start Spark jobs, run at the same time: small jobs of one leave room for those of another."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    with ThreadPoolExecutor(len(work)) as pool:
+        return [x.result() for x in [pool.submit(inheritable_thread_target(f)) for f in work]]

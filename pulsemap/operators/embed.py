@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
@@ -131,10 +132,11 @@ class TfidfEmbedder:
     def _decomposed(self, termed: DataFrame, k: int) -> np.ndarray:
         """The leading k right singular vectors of the weights (texts x terms), columns of unit length.
 
-        Subspace iteration: each pass multiplies the terms' vectors by the weights and their transpose, in
-        tasks that give one matrix each; between passes the columns are made orthogonal on the driver.
+        Subspace iteration: each pass multiplies the terms' vectors by the weights and their transpose, and
+        then makes the columns orthogonal on the driver. Weights of up to MOST_HELD bytes are multiplied
+        there too; more stay in a table, whose tasks give one matrix each.
         """
-        sc, size, held = termed.sparkSession.sparkContext, len(self.weight), termed.sparkSession.sparkContext.broadcast(self.weight)
+        size, held = len(self.weight), termed.sparkSession.sparkContext.broadcast(self.weight)
 
         def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -143,52 +145,50 @@ class TfidfEmbedder:
 
         sparse = saved(termed.mapInArrow(weights, "at array<int>, x array<float>"), "weights")
         total = sparse.agg(F.sum(F.size("at").cast("long"))).first()[0] or 0
-        tasks = int(total // TASK_WEIGHTS + 1)
-        dealt = saved(sparse.repartition(tasks), "dealt")
-        forget(sparse)
-
-        def squared(w: np.ndarray) -> np.ndarray:
-            vectors = sc.broadcast(w.astype(np.float32))
-
-            def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                v, out = vectors.value, None
-                for batch in batches:
-                    at, x, ends = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy(), batch.column(0).offsets.to_numpy()
-                    ends, row = ends - ends[0], 0
-                    while row < batch.num_rows:
-                        to = max(row + 1, int(np.searchsorted(ends, ends[row] + LOT, "right")) - 1)
-                        i, y, owner = at[ends[row] : ends[to]], x[ends[row] : ends[to]], np.repeat(np.arange(to - row), np.diff(ends[row : to + 1]))
-                        row = to
-                        if not len(i):
-                            continue
-                        out = np.zeros_like(v) if out is None else out
-                        texts = np.zeros((owner[-1] + 1, v.shape[1]), np.float32)
-                        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-                        texts[owner[first]] = np.add.reduceat(v[i] * y[:, None], first)
-                        order = np.argsort(i, kind="stable")
-                        i, sums = i[order], texts[owner[order]] * y[order, None]
-                        first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-                        out[i[first]] += np.add.reduceat(sums, first)
-                for a in range(0, 0 if out is None else len(out), BLOCK_TERMS):
-                    yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([out[a : a + BLOCK_TERMS].tobytes()], pa.binary())], ["a", "m"])
-
-            z = np.zeros(w.shape)
-            parts = dealt.mapInArrow(part, "a long, m binary")
-            for r in (parts if tasks <= self.sizes.merged else decompose.added(parts, ["a"])).toLocalIterator():
-                got = np.frombuffer(r["m"], np.float32).reshape(-1, w.shape[1])
-                z[r["a"] : r["a"] + len(got)] += got
-            vectors.unpersist()
-            return z
-
+        local = 8 * total <= MOST_HELD
+        dealt = None if local else saved(sparse.repartition(int(total // TASK_WEIGHTS + 1)), "dealt")
+        squared = _squared_here(sparse.toArrow(), size) if local else lambda w: self._squared(dealt, int(total // TASK_WEIGHTS + 1), w)
         w = np.linalg.qr(decompose.start(0, size, min(k + SPARE, size)).astype(float))[0]
         for _ in range(PASSES):
             w = np.linalg.qr(squared(w))[0]
         values, turn = np.linalg.eigh(w.T @ squared(w))
-        forget(dealt)
+        forget(sparse, *([] if local else [dealt]))
         top = np.argsort(-values)[:k]
         top = top[values[top] > 1e-6 * values.max()]
         return (w @ turn[:, top]).astype(np.float32)
 
+    def _squared(self, dealt: DataFrame, tasks: int, w: np.ndarray) -> np.ndarray:
+        """The product of the weights' transpose, the weights and w, from tasks that hold w."""
+        vectors = dealt.sparkSession.sparkContext.broadcast(w.astype(np.float32))
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            v, out = vectors.value, None
+            for batch in batches:
+                at, x, ends = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy(), batch.column(0).offsets.to_numpy()
+                ends, row = ends - ends[0], 0
+                while row < batch.num_rows:
+                    to = max(row + 1, int(np.searchsorted(ends, ends[row] + LOT, "right")) - 1)
+                    i, y, owner = at[ends[row] : ends[to]], x[ends[row] : ends[to]], np.repeat(np.arange(to - row), np.diff(ends[row : to + 1]))
+                    row = to
+                    if not len(i):
+                        continue
+                    out = np.zeros_like(v) if out is None else out
+                    texts = np.zeros((owner[-1] + 1, v.shape[1]), np.float32)
+                    rows, sums = decompose.summed_by(owner, v[i] * y[:, None])
+                    texts[rows] = sums
+                    order = np.argsort(i, kind="stable")
+                    terms, sums = decompose.summed_by(i[order], texts[owner[order]] * y[order, None])
+                    out[terms] += sums
+            for a in range(0, 0 if out is None else len(out), BLOCK_TERMS):
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([out[a : a + BLOCK_TERMS].tobytes()], pa.binary())], ["a", "m"])
+
+        z, parts = np.zeros(w.shape), dealt.mapInArrow(part, "a long, m binary")
+        for r in (parts if tasks <= self.sizes.merged else decompose.added(parts, ["a"])).toLocalIterator():
+            got = np.frombuffer(r["m"], np.float32).reshape(-1, w.shape[1])
+            z[r["a"] : r["a"] + len(got)] += got
+        vectors.unpersist()
+        return z
+
     def encode(self, df: DataFrame, text: str = "text") -> DataFrame:
         spark = df.sparkSession
         python_ready(spark)
@@ -212,6 +212,30 @@ class TfidfEmbedder:
         return df.select("*", self.terms(F.coalesce(F.col(text), F.lit(""))).alias("_terms")).mapInArrow(run, schema)
 
 
+def _squared_here(weights: pa.Table, size: int) -> Callable[[np.ndarray], np.ndarray]:
+    """The product of the weights' transpose, the weights and a matrix, from weights in memory; a thread for each few columns."""
+    lists, threads = weights["at"].combine_chunks(), 8
+    at, x = lists.flatten().to_numpy(), weights["x"].combine_chunks().flatten().to_numpy()
+    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    order = np.argsort(at, kind="stable")
+
+    def added(into: np.ndarray, to: np.ndarray, of: np.ndarray, source: np.ndarray, by: np.ndarray) -> np.ndarray:
+        for a in range(0, len(to), LOT):
+            rows, sums = decompose.summed_by(to[a : a + LOT], source[of[a : a + LOT]] * by[a : a + LOT, None])
+            into[rows] += sums
+        return into
+
+    def some(v: np.ndarray) -> np.ndarray:
+        y = added(np.zeros((len(lists), v.shape[1]), np.float32), owner, at, v, x)
+        return added(np.zeros((size, v.shape[1]), np.float32), at[order], owner[order], y, x[order])
+
+    def squared(w: np.ndarray) -> np.ndarray:
+        with ThreadPoolExecutor(threads) as pool:
+            return np.concatenate(list(pool.map(some, np.array_split(np.ascontiguousarray(w, np.float32), min(threads, w.shape[1]), axis=1))), axis=1).astype(float)
+
+    return squared
+
+
 def _numbering() -> list[Column]:
     """Terms are numbered in this order, which deals frequent ones evenly over blocks."""
     return [F.xxhash64("term"), F.col("term")]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.shared import saved
 from .stats import benjamini_hochberg, compare_rates, volume_ratio
 
 WINDOW_DAYS, ALPHA, SIDE_LIFT, SIDE_LEAST = 28, 0.05, 1.5, 5
@@ -49,9 +50,9 @@ def release_radar(mentions: DataFrame, feedback: DataFrame, releases: DataFrame,
     """(one row a release, one row a suspected side effect). releases: version, date, title, theme_id (null without a match)."""
     low, high = feedback.agg(F.min(F.to_date("created_at")), F.date_add(F.max(F.to_date("created_at")), 1)).first()
     placed = windows(releases, F.lit(low), F.lit(high), days)
-    counts = release_counts(mentions, feedback, placed).cache()  # releases x themes, read four times
+    counts = saved(release_counts(mentions, feedback, placed), "release-counts")  # releases x themes, read four times
     expected = volume_ratio(counts.withColumnsRenamed({"post": "a", "pre": "b"}), F.col("n_post"), F.col("n_pre"), ("version",), method)
-    tested = counts.join(expected, "version").filter("n_pre > 0 and n_post > 0").withColumn("r", compare_rates(F.col("post"), F.col("pre"), F.col("expected"))).select("version", "theme_id", F.col("pre").alias("pre_mentions"), F.col("post").alias("post_mentions"), F.col("r.ratio").alias("rate_ratio"), F.col("r.ci_low").alias("ci_low"), F.col("r.ci_high").alias("ci_high"), F.col("r.p_value").alias("p_value")).cache()
+    tested = saved(counts.join(expected, "version").filter("n_pre > 0 and n_post > 0").withColumn("r", compare_rates(F.col("post"), F.col("pre"), F.col("expected"))).select("version", "theme_id", F.col("pre").alias("pre_mentions"), F.col("post").alias("post_mentions"), F.col("r.ratio").alias("rate_ratio"), F.col("r.ci_low").alias("ci_low"), F.col("r.ci_high").alias("ci_high"), F.col("r.p_value").alias("p_value")), "release-tests")
     per_release = counts.groupBy("version").agg(F.max("n_pre").alias("n_pre"), F.max("n_post").alias("n_post"))
     radar = placed.join(per_release, "version", "left").join(tested, ["version", "theme_id"], "left").withColumns({"pre_days": F.datediff("pre_end", "pre_start"), "post_days": F.datediff("post_end", "pre_end")})
     empty = (F.coalesce("n_pre", F.lit(0)) == 0) | (F.coalesce("n_post", F.lit(0)) == 0)

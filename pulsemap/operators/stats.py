@@ -102,7 +102,7 @@ def compare(a: int, b: int, f: float) -> tuple[float, float, float, float]:
 
 def compare_rates(a: Column, b: Column, f: Column) -> Column:
     """struct<ratio, ci_low, ci_high, p_value>. Spark has no incomplete beta, so this is a pandas UDF; a row takes O(log n)."""
-    python_ready(SparkSession.getActiveSession())
+    python_ready(SparkSession.builder.getOrCreate())
 
     @F.pandas_udf("ratio double, ci_low double, ci_high double, p_value double")
     def run(a: pd.Series, b: pd.Series, f: pd.Series) -> pd.DataFrame:

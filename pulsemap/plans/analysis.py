@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.lexicon import language, stop_words, with_plain_variants
 from ..functions.sentiment import score_feedback
-from ..functions.shared import forget, saved
+from ..functions.shared import forget, saved, side_by_side
 from ..functions.text import dot, fold, redact, segment_feedback
 from ..operators import impact, mentions, scoring, themes, trends
 from ..operators.embed import Embedder, get_embedder
@@ -238,22 +238,28 @@ def analyze_model(model: Model, releases: DataFrame | None = None, as_of=None) -
     rows = saved(mentions.mentions_of(placed, fb), "mentions")
     last = F.lit(fb.agg(F.max("created_at")).first()[0]) if as_of is None else as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
     seen, seen_fb = mentions.visible(rows, last), mentions.visible(fb, last)
-    described = describe(tagged, fb, config)
-    window = mentions.score_window(seen, last, config.score_window_days)
-    n = mentions.score_window(seen_fb, last, config.score_window_days).count()
-    metrics = mentions.theme_metrics(window, n)
-    warned = trends.detect_trends(seen, seen_fb, last, config.recent_days, config.baseline_days, config.alpha, config.volume_normalization)
-    always = seen.groupBy("theme_id").agg(F.countDistinct("doc").alias("mentions_all_time"))
-    table = described.join(metrics, "theme_id", "left").join(always, "theme_id", "left").join(warned, "theme_id", "left")
-    for column in ("plan", "channel"):
-        table = table.join(mentions.mix(window, column), "theme_id", "left")
-    table = table.na.fill(0, ["mentions", "primary_mentions", "accounts", "mrr_exposed", "mrr_weighted", "negative_share", "arr_exposed", "share", "mentions_all_time"])
-    scored = saved(scoring.score_themes(table, usable_weights(config.weights, has_revenue)), "themes")
-    radar = effects = None
-    if releases is not None:
+
+    def themed() -> tuple[DataFrame, DataFrame, DataFrame]:
+        described = describe(tagged, fb, config)
+        window = mentions.score_window(seen, last, config.score_window_days)
+        n = mentions.score_window(seen_fb, last, config.score_window_days).count()
+        metrics = mentions.theme_metrics(window, n)
+        warned = trends.detect_trends(seen, seen_fb, last, config.recent_days, config.baseline_days, config.alpha, config.volume_normalization)
+        always = seen.groupBy("theme_id").agg(F.countDistinct("doc").alias("mentions_all_time"))
+        table = described.join(metrics, "theme_id", "left").join(always, "theme_id", "left").join(warned, "theme_id", "left")
+        for column in ("plan", "channel"):
+            table = table.join(mentions.mix(window, column), "theme_id", "left")
+        table = table.na.fill(0, ["mentions", "primary_mentions", "accounts", "mrr_exposed", "mrr_weighted", "negative_share", "arr_exposed", "share", "mentions_all_time"])
+        return described, warned, saved(scoring.score_themes(table, usable_weights(config.weights, has_revenue)), "themes")
+
+    def released() -> tuple[DataFrame | None, DataFrame | None]:
+        if releases is None:
+            return None, None
         matched = saved(match_releases(releases.filter(F.col("date") <= last), themes.centroids(tagged, "theme_id"), model.embedder, config.release_match_similarity), "releases")
         radar, effects = impact.release_radar(seen, seen_fb, matched, config.impact_window_days, config.alpha, config.volume_normalization)
-        radar, effects = saved(radar, "radar"), saved(effects, "side-effects")
+        return tuple(side_by_side(lambda: saved(radar, "radar"), lambda: saved(effects, "side-effects")))
+
+    (described, warned, scored), (radar, effects) = side_by_side(themed, released)
     return Analysis(fb, placed, rows, described, warned, scored, radar, effects, has_revenue, config)
 
 

@@ -328,6 +328,52 @@ _LOG = _replay_sql(_EXPECTED) + f"""
   from raw
 )"""
 _DETECTED = "select theme as spike, start_date as started, m.method, min(day) as first_alert, datediff('day', start_date, min(day))::int as days_to_detect from (select * from known where kind = 'spike') cross join (values ('rate_test'), ('naive_2x')) as m(method) left join log on log.method = m.method and true_theme = theme and day >= start_date group by 1, 2, 3"
+
+
+def _share_sql(a: str, n: str) -> str:
+    """Lower Clopper-Pearson bound of a in n: 60 halvings, the tail as a sum of all its probabilities."""
+    term = f"exp(lgamma({n} + 1) - lgamma(k + 1) - lgamma({n} - k + 1) + k * ln((s.l + s.h) / 2) + ({n} - k) * ln(1 - (s.l + s.h) / 2))"
+    tail = f"list_sum(list_transform(range(({a})::bigint, ({n} + 1)::bigint), lambda k: {term}))"
+    halved = f"case when {tail} > 0.025 then {{'l': s.l, 'h': (s.l + s.h) / 2}} else {{'l': (s.l + s.h) / 2, 'h': s.h}} end"
+    return f"case when {a} = 0 then 0.0 else list_reduce(list_transform(range(61), lambda i: {{'l': 0.0::double, 'h': 1.0::double}}), lambda s, x: {halved}).l end"
+
+
+_VERDICTS = f"""
+with e as (
+  select min(ts)::date as lo, max(ts)::date + 1 as hi from events
+), rel as (
+  select version, lo + k::int as day, theme_id, lo, hi from e, (values {", ".join(f"('{v}', {k}, " + (repr(x) if x else "null") + ")" for v, k, x in RELEASES)}) as x(version, k, theme_id)
+), pl as (
+  select version, theme_id, day, greatest(day - 7, coalesce(lag(day) over (order by day), day - 7), lo) as s,
+    least(day + 7, coalesce(lead(day) over (order by day), day + 7), hi) as z
+  from rel
+), tt as (
+  select version, count(*) filter (ts::date >= s and ts::date < day) as tb, count(*) filter (ts::date >= day and ts::date < z) as ta from pl, events group by 1
+), c as (
+  select version, event_type as th, count(*) filter (ts::date >= s and ts::date < day) as b, count(*) filter (ts::date >= day and ts::date < z) as a from pl, events group by 1, 2
+), cc as (select c.*, ta, tb from c join tt using (version)),
+f as (select version, {_EXPECTED} as f from cc group by 1),
+r as (
+  select version, th, a, b, ta, tb, f, (a + 0.5) / (b + 0.5) / f as ratio, {_p("a", "b", "f")} as p,
+    {_share_sql("a", "(a + b)")} as q0, 1 - {_share_sql("b", "(a + b)")} as q1
+  from cc join f using (version) where ta > 0 and tb > 0
+), told as (
+  select *, q0 / (1 - q0) / f as ci_low, case when q1 >= 1 then 'infinity'::double else q1 / (1 - q1) / f end as ci_high from r
+), others as (
+  select told.*, row_number() over (partition by version order by p) as rk, count(*) over (partition by version) as n
+  from told join pl using (version) where theme_id is null or theme_id != th
+), q as (
+  select *, least(1, min(p * n / rk) over (partition by version order by rk rows between current row and unbounded following)) as q from others
+), effects as (
+  select version, count(*) as effects from q where q < 0.05 and ratio >= 1.5 and a >= 5 group by 1
+)
+select pl.version, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high, coalesce(effects, 0) as effects,
+  case when coalesce(tt.ta, 0) = 0 or coalesce(tt.tb, 0) = 0 then 'Not enough data' when theme_id is null then 'No matching theme'
+    when ratio is null or isnan(ratio) then 'Not enough data'
+    when p >= 0.05 and (a + b < 20 or ci_low <= 0 or ci_high / ci_low > 6) then 'Inconclusive' when p >= 0.05 then 'No detectable change'
+    when ratio <= 0.5 then 'Resolved' when ratio < 1 then 'Improved' else 'Worse' end as verdict
+from pl left join tt using (version) left join told on told.version = pl.version and th = theme_id left join effects on effects.version = pl.version
+"""
 _RELEASED = ", ".join(f"({v!r}, " + (repr(x) if x else "null") + ")" for v, _, x in RELEASES)
 _MAP = lambda d: "map {" + ", ".join(f"'{k}': {v}" for k, v in d.items()) + "}"
 _SENTIMENT = (
@@ -364,6 +410,7 @@ ORACLE = {
     "window_counts": f"with {M} select theme_id, count(distinct case when created_at >= '1995-01-01' and created_at < '1996-01-01' then doc end) as early, count(distinct case when created_at >= '1996-01-01' and created_at < '1997-01-01' then doc end) as late from m group by 1",
     "first_mentions": f"with {M} select doc, theme_id, position, prim as \"primary\" from m",
     "majority_theme": _AGREE + " select p, t from (select *, row_number() over (partition by p order by n desc, t) as k from c) where k = 1",
+    "release_verdicts": _VERDICTS,
     "release_windows": f"with e as (select min(ts)::date as lo, max(ts)::date + 1 as hi from events), rel as (select version, lo + k::int as day, lo, hi from e, (values {', '.join(f'({v!r}, {k})' for v, k, _ in RELEASES)}) as x(version, k)) select version, greatest(day - 7, coalesce(lag(day) over (order by day), day - 7), lo) as pre_start, day as pre_end, least(day + 7, coalesce(lead(day) over (order by day), day + 7), hi) as post_end from rel",
     "sentiment": _SENTIMENT,
 }

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.digest import table_digest
 from ..functions.lexicon import language, stop_words, with_plain_variants
 from ..functions.sentiment import score_feedback
 from ..functions.shared import forget, saved, side_by_side
@@ -230,6 +232,30 @@ def analyze(feedback: DataFrame, accounts: DataFrame | None = None, releases: Da
     return replace(a, scored=review.overlaid(a.scored, told))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def analyze_once(root: str, feedback: DataFrame, accounts: DataFrame | None = None, releases: DataFrame | None = None, config: Config = Config()) -> Analysis:
+    """analyze(), or the tables of an earlier one under root, if content of the inputs and settings are the same.
+
+    The folder's name is the digest of both; it counts once its last file is there, so a broken run is done anew.
+    """
+    spark = feedback.sparkSession
+    at = f"{root}/{table_digest(feedback, accounts, releases)}-{hashlib.sha256(repr(config).encode()).hexdigest()[:16]}"
+    tables = ("feedback", "segments", "mentions", "themes", "trends", "scored", "radar", "side_effects")
+    if not _exists(spark, f"{at}/done/_SUCCESS"):
+        a = analyze(feedback, accounts, releases, config)
+        for name in tables:
+            if getattr(a, name) is not None:
+                getattr(a, name).write.mode("overwrite").parquet(f"{at}/{name}")
+        spark.createDataFrame([(a.has_revenue,)], "has_revenue boolean").coalesce(1).write.mode("overwrite").parquet(f"{at}/done")
+        a.forget()
+    held = [spark.read.parquet(f"{at}/{name}") if _exists(spark, f"{at}/{name}") else None for name in tables]
+    return Analysis(*held, spark.read.parquet(f"{at}/done").first()[0], config)
+
+
 def analyze_model(model: Model, releases: DataFrame | None = None, as_of=None) -> Analysis:
     """Mentions, metrics, warnings, scores and release effects of a model, as seen at the end of the day of as_of."""
     fb, placed, config = model.feedback, model.segments, model.config

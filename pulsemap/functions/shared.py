@@ -47,5 +47,6 @@ def side_by_side(*work: Callable[[], object]) -> list:
 
     from pyspark import inheritable_thread_target
 
+    target = inheritable_thread_target(SparkSession.builder.getOrCreate())
     with ThreadPoolExecutor(len(work)) as pool:
-        return [x.result() for x in [pool.submit(inheritable_thread_target(f)) for f in work]]
+        return [x.result() for x in [pool.submit(target(f)) for f in work]]

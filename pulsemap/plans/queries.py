@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import ENGLISH
+from ..functions.shared import saved
 from ..functions.sentiment import rating_sentiment, text_sentiment
 from ..functions.text import fold, redact, segment_feedback
 from ..operators import evaluate, impact, mentions, scoring, stats, themes, trends
@@ -205,9 +206,10 @@ def _known(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _alert_log(spark: SparkSession, d: str) -> DataFrame:
-    """The evaluation's log of the replay."""
+    """The evaluation's log of the replay, written since its readers read it more than once."""
     events, named = _known(spark, d)
-    return evaluate.alert_log(_replay(spark, d), mentions.trailing(mentions.daily_grid(*_items(spark, d))), named, events, grace=2)
+    log = evaluate.alert_log(_replay(spark, d), mentions.trailing(mentions.daily_grid(*_items(spark, d))), named, events, grace=2)
+    return saved(log, "alerts")
 
 
 def alert_log(spark: SparkSession, d: str) -> DataFrame:

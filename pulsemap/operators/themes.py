@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.lexicon import ENGLISH, Language
 from ..functions.ranking import numbered
-from ..functions.shared import saved
+from ..functions.shared import forget, saved
 from ..functions.text import dot, fold, tr_lower, unit
 from ..functions.workers import python_ready
 from .linkage import closest, linked, matrix
@@ -26,6 +26,8 @@ DIRECT, MICRO = 6000, 3000
 SAME = 1e-12
 #: Terms looked at first for each keyword wanted; more are where these overlap.
 LOOK = 20
+#: Bytes of text whose terms are counted in one task. Rows a task holds while it looks for each theme's strongest terms.
+BYTES_A_TASK, HELD = 16 << 20, 200_000
 OTHER = -1
 
 
@@ -191,31 +193,65 @@ def overlap(a: Column, b: Column) -> Column:
     return F.contains(a, b) | F.contains(b, a)
 
 
+def leading(terms: DataFrame, k: int) -> DataFrame:
+    """The rows (theme_id, term, weight, ...) that can be among their theme's k strongest, equal ones by term: each task keeps k or a few more a theme of what it reads, without sorting it whole."""
+    python_ready(terms.sparkSession)
+
+    def strongest(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("theme_id", "ascending"), ("weight", "descending"), ("term", "ascending")])
+        theme, at = pc.dictionary_encode(rows["theme_id"], null_encoding="encode").combine_chunks().indices.to_numpy(), np.arange(rows.num_rows)
+        begin = np.maximum.accumulate(np.where(np.diff(theme, prepend=-1) != 0, at, 0))
+        return rows.filter(pa.array(at - begin < k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) > HELD:
+                held = strongest(pa.Table.from_batches(held)).to_batches()
+                if sum(b.num_rows for b in held) > HELD // 2:  # many themes
+                    yield from held
+                    held = []
+        if any(b.num_rows for b in held):
+            yield from strongest(pa.Table.from_batches(held)).to_batches()
+
+    return terms.mapInArrow(run, terms.schema)
+
+
 def keywords(segments: DataFrame, stop: tuple[str, ...] = (), top: int = 6, lang: Language = ENGLISH) -> DataFrame:
-    """(theme_id, term, weight): the strongest one- and two-word terms of each theme by class-based TF-IDF."""
+    """(theme_id, term, weight): the strongest one- and two-word terms of each theme by class-based TF-IDF.
+
+    Texts are dealt into pieces of BYTES_A_TASK, their counts into as many parts by term, so a task holds no more in a large table or for a theme with most of the terms.
+    """
+    spark = segments.sparkSession
     found = F.regexp_extract_all(tr_lower(F.col("text")), F.lit(r"(?U)([^\W\d_]{2,})"), F.lit(1)) if lang.code == "tr" else F.regexp_extract_all(F.lower("text"), F.lit(r"\b([a-z][a-z-]+)\b"), F.lit(1))
     words = F.filter(found, lambda w: ~w.isin(*stop) if stop else F.lit(True))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.expr("cast(array() as array<string>)"))
-    tf = segments.select("theme_id", words.alias("w")).select("theme_id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("theme_id", "term").count()
-    n = segments.select("theme_id").distinct().count()
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = tf.join(df, "term").withColumn("raw", (1 + F.ln("count")) * (F.ln((1 + n) / (1 + F.col("df"))) + 1))
-    norm = raw.withColumn("weight", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("theme_id"))) * F.when(F.contains("term", F.lit(" ")), 1.6).otherwise(1.0))
-    norm = norm.select("theme_id", "term", "weight")
-    by = Window.partitionBy("theme_id")
-    best = norm.withColumns({"k": F.row_number().over(by.orderBy(F.desc("weight"), "term")), "terms": F.count(F.lit(1)).over(by)}).filter(F.col("k") <= LOOK * top)
+    n, size = segments.groupBy("theme_id").agg(F.sum(F.octet_length("text")).alias("bytes")).agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    parts = max(spark.sparkContext.defaultParallelism, -(-(size or 0) // BYTES_A_TASK))
+    piece = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+    pieces = segments.select("theme_id", "text", piece.alias("_piece")).repartitionById(parts, "_piece").select("_piece", "theme_id", words.alias("w"))
+    counted = pieces.select("_piece", "theme_id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("_piece", "theme_id", "term").count()
+    tf = counted.repartition(parts, "term").groupBy("theme_id", "term").agg(F.sum("count").alias("count"))
+    df = F.count(F.lit(1)).over(Window.partitionBy("term"))  # one row a theme that has the term
+    terms = saved(tf.withColumn("df", df).select("theme_id", "term", ((1 + F.ln("count")) * (F.ln((1 + n) / (1 + F.col("df"))) + 1)).alias("raw")), "terms")
+    norms = terms.groupBy(F.col("theme_id").alias("_theme")).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("_norm"), F.count(F.lit(1)).alias("terms"))
+    weight = F.col("raw") / F.col("_norm") * F.when(F.contains("term", F.lit(" ")), 1.6).otherwise(1.0)
+    norm = terms.join(F.broadcast(norms), F.col("theme_id").eqNullSafe(F.col("_theme"))).select("theme_id", "term", weight.alias("weight"), "terms")
+    by = Window.partitionBy("theme_id").orderBy(F.desc("weight"), "term")
+    best = leading(norm, LOOK * top).withColumn("k", F.row_number().over(by)).filter(F.col("k") <= LOOK * top)
     listed = best.groupBy("theme_id").agg(F.array_sort(F.collect_list(F.struct("k", "term", "weight"))).alias("all"), F.max("terms").alias("terms"))  # at most LOOK x top terms a theme
     empty = F.expr("cast(array() as array<struct<k:int,term:string,weight:double>>)")
     chosen = F.aggregate("all", empty, lambda acc, x: F.when((F.size(acc) < top) & ~F.exists(acc, lambda y: overlap(y["term"], x["term"])), F.array_append(acc, x)).otherwise(acc))
     rows = [(r["theme_id"], x["term"], x["weight"], len(r["chosen"]) < top and r["terms"] > LOOK * top) for r in listed.select("theme_id", "terms", chosen.alias("chosen")).collect() for x in r["chosen"]]  # at most top rows a theme
     found = {(t, w): x for t, w, x, _ in rows}
     short = {t for t, _, _, more in rows if more}
-    spark = segments.sparkSession
     while short:  # themes whose best terms nearly all overlap: a further term each, from all there are
         held = {t: [w for u, w in found if u == t] for t in short}
         known = spark.createDataFrame(list(held.items()), f"theme_id {dict(norm.dtypes)['theme_id']}, held array<string>")
         free = norm.join(F.broadcast(known), "theme_id").filter(~F.exists("held", lambda y: overlap(y, F.col("term"))))
-        more = free.groupBy("theme_id").agg(F.min(F.struct((-F.col("weight")).alias("w"), "term")).alias("x")).select("theme_id", "x.term", (-F.col("x.w")).alias("weight")).collect()
+        more = leading(free.select("theme_id", "term", "weight"), 1).groupBy("theme_id").agg(F.min(F.struct((-F.col("weight")).alias("w"), "term")).alias("x")).select("theme_id", "x.term", (-F.col("x.w")).alias("weight")).collect()
         found |= {(r["theme_id"], r["term"]): r["weight"] for r in more}
         short = {r["theme_id"] for r in more if len(held[r["theme_id"]]) + 1 < top}
+    forget(terms)
     return spark.createDataFrame([(t, w, x) for (t, w), x in found.items()], f"theme_id {dict(norm.dtypes)['theme_id']}, term string, weight double")

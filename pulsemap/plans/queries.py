@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import ENGLISH
+from ..functions.ranking import tasks_for
 from ..functions.shared import saved
 from ..functions.sentiment import rating_sentiment, text_sentiment
 from ..functions.text import fold, redact, segment_feedback
@@ -29,12 +30,14 @@ def _feedback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mentions(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
-    """only: the feedback looked at; other orders' lines go before they are grouped."""
+    """only: the feedback looked at; other orders' lines go before they are grouped. Both sides lie by order, in as many parts as the lines ask for, so later steps by order need no other shuffle and no task grows with the tables."""
     lines, part = _t(spark, d, "lineitem"), _t(spark, d, "part")
-    segments = lines.join(part, lines["l_partkey"] == part["p_partkey"]).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("position"), F.col("p_brand").alias("theme_id"))
-    if only is None:
-        return mentions.mentions_of(segments, _feedback(spark, d))
-    return mentions.mentions_of(segments.join(only.select("doc_id"), "doc_id", "left_semi"), only)
+    parts = tasks_for(lines)
+    segments = lines.join(part, lines["l_partkey"] == part["p_partkey"]).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("position"), F.col("p_brand").alias("theme_id")).repartition(parts, "doc_id")
+    feedback = (_feedback(spark, d) if only is None else only).repartition(parts, "doc_id")
+    if only is not None:
+        segments = segments.join(feedback.select("doc_id"), "doc_id", "left_semi")
+    return mentions.mentions_of(segments, feedback)
 
 
 def _events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

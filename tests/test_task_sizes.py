@@ -73,3 +73,7 @@ def mentions_lie_in_parts_by_their_number(spark, d, name):
 
 def test_weekly_in_parts(spark, many_lines):
     mentions_lie_in_parts_by_their_number(spark, many_lines, "weekly")
+
+
+def test_timeline_shares_in_parts(spark, many_lines):
+    mentions_lie_in_parts_by_their_number(spark, many_lines, "timeline_shares")

@@ -6,7 +6,8 @@ three-character grams are hashed into ``BUCKETS``.  Training counts grams of at
 fitted to; every language is learned.  The matrix of log-probabilities (buckets x languages) is broadcast; it
 has at most ``MOST_CELLS`` numbers, so beyond a thousand languages there are fewer buckets, a power of two.
 Scoring adds the matrix rows of a batch's grams up by document in numpy, over whole texts, in pieces whose
-size falls with the number of languages.
+size falls with the number of languages.  Texts become Python strings and grams in lots of about ``LOT``
+characters, so a worker holds little beside the batch at hand, however large its texts and batches.
 
 Contract: null text, or text without a letter: ``und`` with score 0; equal probability goes to the first
 language by name; without training rows every document is ``und``; very long texts are scored in pieces
@@ -27,13 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import python_ready, texts
+from .idtable import batches_of
 
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.1
 ROWS_PER_LANG, MOST_LANGS = 2000, 1 << 15
 #: Numbers in the broadcast matrix (128 MB), and languages that a training task counts before it hands on.
 MOST_CELLS, OPEN_LANGS = 1 << 25, 64
-#: Characters scored at once, and characters times languages.
+#: Characters of one text scored at once, and characters times languages.
 PIECE, CELLS = 1 << 20, 1 << 23
+#: Characters of several texts scored at once, and bytes of texts that are Python strings at once.
+LOT, PART_BYTES = 1 << 17, 1 << 20
 UNKNOWN = "und"
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
@@ -68,14 +72,14 @@ def grams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pieces_of(texts_: list[str], most: int = PIECE) -> Iterator[tuple[list[str], list[int]]]:
-    """Whole texts in lots of about ``most`` characters, longer ones cut: pieces and the numbers of their texts."""
+    """Whole texts in lots of about LOT characters, those longer than ``most`` cut: pieces and the numbers of their texts."""
     lot, owner, size = [], [], 0
     for i, t in enumerate(texts_):
         for k in range(0, max(1, len(t)), most):
             lot.append(t[k : k + most])
             owner.append(i)
             size += len(lot[-1])
-            if size >= most:
+            if size >= LOT:
                 yield lot, owner
                 lot, owner, size = [], [], 0
     if lot:
@@ -150,8 +154,8 @@ def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            names, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for part in (p for b in batches for p in batches_of(b, 1, PART_BYTES)):
+            names, bodies = part.column(0).to_pylist(), part.column(1).to_pylist()
             for lot, owner in pieces_of(bodies):
                 hashed, start, _ = grams(lot)
                 hashed = hashed & np.uint32(buckets - 1)
@@ -182,9 +186,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, score = held.value.predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+        for part in (p for b in batches for p in batches_of(b, 1, PART_BYTES)):
+            langs, score = held.value.predict(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -197,11 +201,11 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     at, lang = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, _, letter = held.value.judge([t or "" for t in batch.column(at).to_pylist()])
+        for part in (p for b in batches for p in batches_of(b, at, PART_BYTES)):
+            found, _, letter = held.value.judge([t or "" for t in part.column(at).to_pylist()])
             if lang is not None and held.value.langs:
-                filled = pc.coalesce(batch.column(lang), pa.array(found, batch.schema.field(lang).type))
-                batch = pa.RecordBatch.from_arrays([filled if k == lang else c for k, c in enumerate(batch.columns)], schema=batch.schema)
-            yield batch.filter(pa.array(letter, pa.bool_()))
+                filled = pc.coalesce(part.column(lang), pa.array(found, part.schema.field(lang).type))
+                part = pa.RecordBatch.from_arrays([filled if k == lang else c for k, c in enumerate(part.columns)], schema=part.schema)
+            yield part.filter(pa.array(letter, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

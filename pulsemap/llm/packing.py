@@ -34,7 +34,7 @@ END_ID = 1
 #: Words remembered per Python worker.
 WORD_CACHE = 600_000
 #: Bytes of text encoded at once; a longer text is encoded in parts, cut at spaces.
-BATCH_BYTES, OUT_BYTES = 8 << 20, 4 << 20
+BATCH_BYTES, OUT_BYTES = 4 << 20, 4 << 20
 #: Latin letters lie below this; of them the dotted capital I ends in a composing mark once lower-cased.
 LATIN_END, DOTTED_I = chr(0x250), chr(0x130)
 #: Marks that join a-z, but not A-Z, to one character (as U+1E96): the library composes before it lower-cases.

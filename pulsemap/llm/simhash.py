@@ -33,12 +33,15 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .common import forget, python_ready, saved, texts
+from .idtable import batches_of
 
 BITS, BUDGET, SHINGLE, SEED = 64, 3, 3, 42
 #: Largest part of a group, in fingerprints; larger groups are cut, by at most CUT_BITS bits before the hash.
 BLOCK_ROWS, CUT_BITS = 2048, 20
 #: Node pairs walked at once, and shingles summed at once.
 WALK, SUM = 1 << 18, 1 << 16
+#: Bytes of texts that are Python strings at once.
+PART_BYTES = 1 << 20
 
 
 def fingerprint(text: str) -> int:
@@ -66,9 +69,9 @@ def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     python_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        for part in (p for b in batches for p in batches_of(b, 1, PART_BYTES)):
+            fps = np.array([fingerprint(t) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     return texts(docs, text, doc_id).mapInArrow(run, "doc_id long, fp long")
 
@@ -243,9 +246,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([fingerprint(t or "") for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema)), pa.array(fps, pa.int64())], ["row", "fp"])
+        for part in (p for b in batches for p in batches_of(b, at, PART_BYTES)):
+            fps = np.array([fingerprint(t or "") for t in part.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(part.columns, fields=list(part.schema)), pa.array(fps, pa.int64())], ["row", "fp"])
 
     # the row travels as one struct, so no column of the input can clash
     rows = saved(docs.mapInArrow(run, StructType([StructField("row", docs.schema), StructField("fp", LongType())])), "simhash-rows")

@@ -210,7 +210,8 @@ from placed join subroots using (tree) join ends using (tree, place) left join p
 
 def later_snapshot(docs: DataFrame) -> DataFrame:
     """What op12 compares documents with."""
-    key, text, lang, source = map(F.col, ("doc_id", "text", "lang", "source"))
+    # a column without any value may have another type than string
+    key, text, lang, source = F.col("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")]
     rows = docs.select(key, text, lang, source, (F.crc32(key.cast("string")) % 10).alias("h"))
     h, moved = F.col("h"), -1 - key
     keys = F.when(h == 5, F.array(key, moved)).when(h.isin(3, 4), F.array(moved)).otherwise(F.array(key))
@@ -224,7 +225,7 @@ def later_snapshot(docs: DataFrame) -> DataFrame:
 
 def op12_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, columns = table(spark, sf_dir, "documents"), ["text", "lang", "source"]
-    row = F.sha2(F.concat_ws("\n", *[F.coalesce(F.col(c), F.lit("~")) for c in columns]), 256)
+    row = F.sha2(F.concat_ws("\n", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256)
     return snapshots.compare(docs, later_snapshot(docs), "doc_id", columns, {"row_sha256": row})
 
 

@@ -80,3 +80,17 @@ def test_empty_sides(spark):
     none = some.limit(0)
     ops = lambda a, b: Counter(r["op"] for r in snapshots.compare(a, b, "k", ["v"]).collect())
     assert ops(none, none) == {} and ops(some, none) == {"delete": 2} and ops(none, some) == {"insert": 2}
+
+
+def test_columns_without_any_value(spark, tmp_path):
+    """Parquet may know no type for them; Spark then reads another than string."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n, got = 40, []
+    for kind in (pa.null(), pa.string()):
+        at = tmp_path / str(kind)
+        at.mkdir()
+        pq.write_table(pa.table({"doc_id": pa.array(range(n), pa.int64()), "text": [f"t{k % 7}" for k in range(n)], "lang": ["en"] * n, "source": pa.array([None] * n, kind)}), at / "documents.parquet")
+        got.append(sorted(map(str, queries.op12_snapshots(spark, str(at)).collect())))
+    assert got[0] == got[1] and len(got[0]) >= n
